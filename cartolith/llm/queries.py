@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolith.llm import canonical, ranking
+from cartolith.llm import bpe, canonical, packing, ranking
 from cartolith.session import table
 
 
@@ -36,11 +36,23 @@ def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.ranked(scored, "investigation_id", "hyp_id")
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode_documents(table(spark, folder, "documents"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in containers of each capacity."""
+    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
 }
 
 _COPIES = r"""
