@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,22 @@ def build_session(app: str = "cartolith", master: str | None = None, **conf: obj
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per context, so that Python operators load there."""
+    context = spark.sparkContext
+    if getattr(context, "_cartolith_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="cartolith-package-"), "cartolith.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in (n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.join("cartolith", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._cartolith_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir`` (shared storage on a cluster).
 
