@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from cartolith.session import ship_package
+
 #: Folder of the public vocabulary files; a parameter of every operator here.
 VOCABULARIES = "/opt/tokenizers"
 
@@ -301,6 +303,7 @@ def encode_documents(
     input row gives one row, repeated rows and null ids included; only the two
     named columns are read.
     """
+    ship_package(documents.sparkSession)
     source = documents.select(documents[doc_id].alias("doc_id"), documents[text].cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
 

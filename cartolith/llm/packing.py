@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.bpe import VOCABULARIES, encode_documents
-from cartolith.session import cut_lineage
+from cartolith.session import cut_lineage, ship_package
 
 #: Items that one task packs together; each such lot leaves at most one badly filled container.
 LOT = 20_000
@@ -98,6 +98,7 @@ def fill_containers(items: DataFrame, packs: DataFrame, item: str = "doc_id", si
     items without id are left out, as they can't be assigned; an item given
     twice is placed twice; null capacities or such below 1 are ignored.
     """
+    ship_package(items.sparkSession)
     kinds = {
         r["pack_name"]: int(r["capacity"]) for r in packs.where(F.col("capacity") >= 1).orderBy("capacity").collect()
     }

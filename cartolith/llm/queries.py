@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, canonical, packing, ranking
+from cartolith.llm import bpe, canonical, neighbors, packing, ranking
 from cartolith.session import table
 
 
@@ -36,6 +37,20 @@ def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.ranked(scored, "investigation_id", "hyp_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of symbols with a cosine of 0.90 or more of which one is among the other's five most similar."""
+    near = neighbors.nearest_neighbors(table(spark, folder, "code_embeddings"), k=5, least=0.90)
+    return near.select(F.least("q", "d").alias("vec_id_a"), F.greatest("q", "d").alias("vec_id_b")).distinct()
+
+
+def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar symbols of every row whose id is divisible by 100, against all rows."""
+    near = neighbors.nearest_neighbors(
+        table(spark, folder, "code_embeddings"), k=5, queries=lambda i: i % 100 == 0, probes=neighbors.DEEP_PROBES
+    )
+    return near.select(F.col("q").alias("vec_id"), F.col("d").alias("near_id"), "place", F.round("cosine", 6).alias("cosine"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(table(spark, folder, "documents"))
@@ -51,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
+    "p4_found": p4_found,
+    "p4_neighbors": p4_neighbors,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
@@ -109,7 +126,26 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY round(closeness, 9) DESC, hyp_id) AS place FROM scored)
 """
 
+_PAIRS = """
+WITH latest AS (
+  SELECT vec_id, embedding FROM (
+    SELECT vec_id, embedding, row_number() OVER (PARTITION BY repo_key, file_path, symbol_name
+                                                 ORDER BY updated_at DESC, vec_id DESC) AS rn
+    FROM code_embeddings) WHERE rn = 1),
+vectors AS (
+  SELECT vec_id, embedding::DOUBLE[64] AS v FROM latest
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+pairs AS (
+  SELECT a.vec_id AS q, b.vec_id AS d, array_cosine_similarity(a.v, b.v) AS cosine
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE array_cosine_similarity(a.v, b.v) >= 0.90),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cosine, 12) DESC, d) AS place FROM pairs)
+"""
+
 SQL = {
+    "p4_found": _PAIRS
+    + "SELECT DISTINCT least(q, d) AS vec_id_a, greatest(q, d) AS vec_id_b FROM ranked WHERE place <= 5",
     "p2_found": _COPIES + "SELECT first_id, entry_id FROM grouped WHERE entry_id <> first_id",
     "p2_collapsed": _COPIES + "SELECT first_id, count(*) AS copies FROM grouped GROUP BY first_id",
     "p3_found": _RANKED + "SELECT investigation_id, hyp_id FROM placed WHERE place = 1",
