@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, canonical, neighbors, packing, ranking
+from cartolith.llm import bpe, canonical, docpairs, neighbors, packing, ranking
 from cartolith.session import table
 
 
@@ -51,6 +51,16 @@ def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("q").alias("vec_id"), F.col("d").alias("near_id"), "place", F.round("cosine", 6).alias("cosine"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions and methods with a body and a description that says something."""
+    return docpairs.documented_functions(table(spark, folder, "symbol_entries")).select("entry_id")
+
+
+def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and description of each documented function or method."""
+    return docpairs.documented_functions(table(spark, folder, "symbol_entries"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(table(spark, folder, "documents"))
@@ -68,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_ranking": p3_ranking,
     "p4_found": p4_found,
     "p4_neighbors": p4_neighbors,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
