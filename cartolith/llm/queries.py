@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, canonical, docpairs, neighbors, packing, ranking
+from cartolith.llm import bpe, canonical, docpairs, neighbors, packing, ranking, readability
 from cartolith.session import table
 
 
@@ -71,6 +71,17 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Band of reading level of every document with enough English prose."""
+    levels = readability.reading_levels(table(spark, folder, "documents"))
+    return levels.where(F.col("band").isNotNull()).select("doc_id", "band")
+
+
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and sentences of English prose, grade and band of every document."""
+    return readability.reading_levels(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
@@ -82,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 
 _COPIES = r"""
