@@ -67,8 +67,9 @@ def is_indented(language: Column, file: Column) -> Column:
 
 
 def lexed_tokens(sources: DataFrame) -> DataFrame:
-    """Explode ``source_id, text, indented`` into one row per token: ``source_id, indented, pos, tok, kind``.
+    """Explode ``source_id, text, indented`` into one row per token: ``source_id, indented, pos, tok, kind, head``.
 
+    ``head`` holds the text and all further columns, on the first token only.
     ``sources`` is already distributed by source_id, and exploding keeps that,
     so that the windows that follow sort within partitions only.
     """
@@ -90,8 +91,12 @@ def lexed_tokens(sources: DataFrame) -> DataFrame:
         .when(F.trim(F.translate("tok", "\t\r\u00a0\u2009\ufeff\u200b", "")) == "", "space")
         .otherwise("word")
     )
-    tokens = sources.select("source_id", "indented", F.posexplode(lex).alias("pos", "tok")).withColumn("kind", kind)
-    return tokens.where(F.col("kind") != "space")
+    rest = [c for c in sources.columns if c not in ("source_id", "indented", "text")]
+    tokens = sources.select("source_id", "indented", "text", *rest, F.posexplode(lex).alias("pos", "tok"))
+    head = F.when(F.col("pos") == 0, F.struct("text", *rest)).alias("head")
+    return tokens.select("source_id", "indented", "pos", "tok", kind.alias("kind"), head).where(
+        (F.col("kind") != "space") | F.col("head").isNotNull()
+    )
 
 
 def delimited_functions(tokens: DataFrame) -> DataFrame:
@@ -103,7 +108,8 @@ def delimited_functions(tokens: DataFrame) -> DataFrame:
     with the code that follows them.  Within a unit the header ends at the
     first brace, colon (where blocks are indented) or semicolon outside
     brackets.  ``before`` is the comment block before the header, ``docstring``
-    a string directly after it, ``statements`` the number of words beyond.
+    a string directly after it, ``statements`` the number of words beyond;
+    ``head`` is that of the text, in its first unit.
     """
     order = Window.partitionBy("source_id").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,7 +126,7 @@ def delimited_functions(tokens: DataFrame) -> DataFrame:
                 order.rowsBetween(Window.unboundedPreceding, -1)
             ),
         }
-    ).where(~is_("line"))
+    ).where(~is_("line", "space") | F.col("head").isNotNull())
     outside = F.col("brackets") <= 0
     margin = F.col("gap").isNull() | F.col("gap").rlike("^\n\r?$")
     ended = F.when(
@@ -134,7 +140,7 @@ def delimited_functions(tokens: DataFrame) -> DataFrame:
     stop = outside & F.when(F.col("indented"), is_("colon", "end")).otherwise(is_("open", "end") )
     ends = depth.withColumns(
         {
-            "starts": F.min(F.when(~is_("comment", "doc"), F.col("pos"))).over(whole),
+            "starts": F.min(F.when(~is_("comment", "doc", "line", "space"), F.col("pos"))).over(whole),
             "header_end": F.min(F.when(stop, F.col("pos"))).over(whole),
         }
     ).withColumn("previous", F.lag("pos").over(within))
@@ -150,6 +156,7 @@ def delimited_functions(tokens: DataFrame) -> DataFrame:
             "\n",
         ).alias("before"),
         F.min(F.when(is_("doc") & (F.col("previous") == F.col("header_end")), F.col("tok"))).alias("docstring"),
+        F.first("head", ignorenulls=True).alias("head"),
         F.count_if(beyond & is_("word") & F.col("tok").rlike(r"[\p{L}\p{N}]")).alias("statements"),
     )
 
@@ -212,11 +219,14 @@ def documented_functions(entries: DataFrame) -> DataFrame:
     mark = F.col("text").rlike(r"^[\s\x{FEFF}\x{200B}]*(?://|/\*|#|\"\"\"|''')|\"\"\"|'''")
     sources = named.where(F.when(F.col("comment").isNull(), mark).otherwise(told)).dropDuplicates(["source_id"])
     functions = delimited_functions(lexed_tokens(sources))
-    first = functions.where(F.col("statements") > 0).groupBy("source_id").agg(
-        F.min_by(F.struct("before", "docstring"), "unit").alias("f")
+    first = functions.groupBy("source_id").agg(
+        F.min_by(F.struct("before", "docstring"), F.when(F.col("statements") > 0, F.col("unit"))).alias("f"),
+        F.first("head", ignorenulls=True).alias("head"),
+        F.max("statements").alias("statements"),
     )
-    description = F.coalesce("comment", F.coalesce(F.nullif(F.col("f.before"), F.lit("")), F.col("f.docstring")))
-    pairs = sources.join(first, "source_id").withColumn("told", telling_text(description))
+    first = first.where("statements > 0").select("source_id", "f.*", "head.*")
+    description = F.coalesce("comment", F.nullif(F.col("before"), F.lit("")), "docstring")
+    pairs = first.withColumn("told", telling_text(description))
     return pairs.where(
         F.col("comment").isNotNull() | says_something(F.col("told"), F.col("name"), F.col("signature"))
     ).select(
