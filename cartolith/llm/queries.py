@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, canonical, docpairs, neighbors, packing, ranking, readability
+from cartolith.llm import bpe, canonical, docpairs, generated, neighbors, packing, ranking, readability
 from cartolith.session import table
 
 
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that were not written by hand for their repository, with the reason."""
+    return generated.not_written_by_hand(
+        table(spark, folder, "code_embeddings"),
+        table(spark, folder, "source_files"),
+        table(spark, folder, "upstream_files"),
+    )
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that were not written by hand for their repository."""
+    return p1_files(spark, folder).select("repo_key", "file_path")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Entries whose body is a copy of another entry's, with the first of the group."""
     return canonical.copy_members(table(spark, folder, "symbol_entries"))
@@ -83,6 +97,8 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_files": p1_files,
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
