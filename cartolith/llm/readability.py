@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -83,11 +84,20 @@ def hyphenated(words: Column) -> Column:
     return F.regexp_replace(t, r"([aeiouy])([^aeiouy\W\d]{0,3}?)([^aeiouy\W\d]?)(?=[aeiouy])(?!(?<=[aeiouy])[aeiouy])", "$1$2-$3")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _median(values: Column) -> Column:
     """Median of a non-empty array; of an even number the mean of the middle two."""
-    n = F.size(values)
-    at = F.array_sort(values)
-    return (F.element_at(at, F.floor((n + 1) / 2).cast("int")) + F.element_at(at, F.floor((n + 2) / 2).cast("int"))) / 2
+
+    def middle(at: Column) -> Column:
+        n = F.size(at)
+        low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
+        return (F.element_at(at, low) + F.element_at(at, high)) / 2
+
+    return _let(F.array_sort(values), middle)
 
 
 def _grades(words: Column, letters: Column, syllables: Column, long_words: Column) -> Column:
@@ -120,48 +130,56 @@ def reading_levels(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     def member(words: list[str]) -> str:
         return r"(?i)(?<![\p{L}'])(?:" + "|".join(words) + r")(?![\p{L}'])"
 
-    base = documents.select(F.col(doc_id).alias("doc_id"), prose_of(F.coalesce(text, F.lit(""))).alias("prose"))
-    pieces = base.select(
-        "doc_id", F.filter(F.split("prose", _SENTENCE_END), lambda s: F.regexp_count(s, F.lit(WORD)) >= LEAST_SENTENCE).alias("s")
-    )
-
     def measured(sentence: Column) -> Column:
-        split = hyphenated(sentence)
-        words = F.regexp_count(sentence, F.lit(WORD))
-        return F.struct(
-            words.alias("words"),
-            F.length(F.regexp_replace(sentence, r"[^\p{L}\p{N}]+", "")).alias("letters"),
-            F.greatest(words, F.regexp_count(split, F.lit(r"[aeiouy]+"))).alias("syllables"),
-            F.regexp_count(split, F.lit(r"(?:[a-z]+-){2,}[a-z]+")).alias("long_words"),
-            F.regexp_count(sentence, F.lit(member(ENGLISH))).alias("english"),
-            (
-                F.regexp_count(sentence, F.lit(member(OTHERS)))
-                + F.regexp_count(sentence, F.lit(r"[\p{L}&&[^\p{IsLatin}]]{2,}|[\p{L}&&[^a-zA-Z]]+"))
-            ).alias("other"),
+        return F.transform(
+            F.array(F.struct(sentence.alias("s"), hyphenated(sentence).alias("split"))),
+            lambda x: F.struct(
+                F.regexp_count(x["s"], F.lit(WORD)).alias("words"),
+                F.length(F.regexp_replace(x["s"], r"[^\p{L}\p{N}]+", "")).alias("letters"),
+                F.regexp_count(x["split"], F.lit(r"[aeiouy]+")).alias("vowels"),
+                F.regexp_count(x["split"], F.lit(r"(?:[a-z]+-){2,}[a-z]+")).alias("long_words"),
+                F.regexp_count(x["s"], F.lit(member(ENGLISH))).alias("english"),
+                (
+                    F.regexp_count(x["s"], F.lit(member(OTHERS)))
+                    + F.regexp_count(x["s"], F.lit(r"[\p{L}&&[^\p{IsLatin}]]{2,}|[\p{L}&&[^a-zA-Z]]+"))
+                ).alias("other"),
+            ),
+        )[0]
+
+    def total(m: Column, field: str) -> Column:
+        return F.aggregate(m, F.lit(0), lambda a, x: a + x[field])
+
+    def english(m: Column) -> Column:
+        leans = total(m, "english") > total(m, "other")
+        return _let(
+            leans,
+            lambda leans: F.filter(
+                m,
+                lambda x: ((x["english"] > x["other"]) & (leans | (x["english"] > 1)))
+                | ((x["english"] == x["other"]) & (x["english"] == 0) & leans),
+            ),
         )
 
-    found = pieces.select("doc_id", F.transform("s", measured).alias("m"))
+    def grade(x: Column) -> Column:
+        syllables = F.greatest(x["words"], x["vowels"])
+        return _median(_grades(x["words"].cast("double"), x["letters"], syllables, x["long_words"]))
 
-    def total(field: str) -> Column:
-        return F.aggregate("m", F.lit(0), lambda a, m: a + m[field])
+    def level(m: Column) -> Column:
+        words = total(m, "words")
+        return F.struct(
+            words.alias("words"),
+            F.size(m).alias("sentences"),
+            F.when(words >= LEAST_WORDS, F.round(_median(F.transform(m, grade)), 2)).alias("grade"),
+        )
 
-    leaning = found.withColumn("leans", total("english") > total("other"))
-    english = leaning.select(
-        "doc_id",
-        F.filter(
-            "m",
-            lambda m: ((m["english"] > m["other"]) & (F.col("leans") | (m["english"] > 1)))
-            | ((m["english"] == m["other"]) & (m["english"] == 0) & F.col("leans")),
-        ).alias("m"),
+    sentences = F.filter(
+        F.split(prose_of(F.coalesce(text, F.lit(""))), _SENTENCE_END),
+        lambda s: F.regexp_count(s, F.lit(WORD)) >= LEAST_SENTENCE,
+    )
+    levels = documents.select(
+        F.col(doc_id).alias("doc_id"),
+        F.inline(F.array(_let(F.transform(sentences, measured), lambda m: _let(english(m), level)))),
     )
-    graded = english.select(
-        "doc_id",
-        total("words").alias("words"),
-        F.size("m").alias("sentences"),
-        F.transform(
-            "m", lambda m: _median(_grades(m["words"].cast("double"), m["letters"], m["syllables"], m["long_words"]))
-        ).alias("grades"),
-    ).withColumn("grade", F.when(F.col("words") >= LEAST_WORDS, F.round(_median(F.col("grades")), 2)))
     bands = [(BASIC, "basic"), (MIDDLE, "middle"), (float("inf"), "advanced")]
     band = reduce(lambda c, b: c.when(F.col("grade") < b[0], b[1]), bands[1:], F.when(F.col("grade") < bands[0][0], bands[0][1]))
-    return graded.select("doc_id", "words", "sentences", "grade", band.alias("band"))
+    return levels.withColumn("band", band)
