@@ -128,11 +128,15 @@ def reading_levels(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
 
     def member(words: list[str]) -> str:
-        return r"(?i)(?<![\p{L}'])(?:" + "|".join(words) + r")(?![\p{L}'])"
+        by_first: dict[str, list[str]] = {}
+        for word in words:
+            by_first.setdefault(word[0], []).append(word[1:])
+        branches = "|".join(first + "(?:" + "|".join(rest) + ")" for first, rest in by_first.items())
+        return r"(?<![\p{L}'])(?:" + branches + r")(?![\p{L}'])"
 
     def measured(sentence: Column) -> Column:
         return F.transform(
-            F.array(F.struct(sentence.alias("s"), hyphenated(sentence).alias("split"))),
+            F.array(F.struct(F.lower(sentence).alias("s"), hyphenated(sentence).alias("split"))),
             lambda x: F.struct(
                 F.regexp_count(x["s"], F.lit(WORD)).alias("words"),
                 F.length(F.regexp_replace(x["s"], r"[^\p{L}\p{N}]+", "")).alias("letters"),
