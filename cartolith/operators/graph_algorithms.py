@@ -395,21 +395,16 @@ def flows(g: Graph, ranked: DataFrame, depth: int = 8, limit: int = 50) -> DataF
             found.append((max(about[n].pagerank for n in seen), entry, leaf, [n.split("\0")[0] for n in seen]))
         found.sort(key=lambda f: (-f[0], f[1]))
         found = found[:limit]
+        columns = ["graph", "entry", "entry_file", "leaf", "members", "priority"]
+        own = rows["graph"].iloc[0]
         return pd.DataFrame(
-            {
-                "graph": [rows["graph"].iloc[0]] * len(found),
-                "entry": [f[1].split("\0")[0] for f in found],
-                "entry_file": [f[1].split("\0")[1] for f in found],
-                "leaf": [f[2].split("\0")[0] for f in found],
-                "members": pd.Series([f[3] for f in found], dtype=object),
-                "priority": pd.Series([f[0] for f in found], dtype=float),
-            }
-        )
+            [(own, *f[1].split("\0"), f[2].split("\0")[0], "\n".join(f[3]), f[0]) for f in found], columns=columns, dtype=object
+        ).astype({"graph": "int64", "priority": "float64"})
 
     both = nodes.unionByName(links, allowMissingColumns=True)
     return both.groupBy("graph").applyInPandas(
-        run, "graph bigint, entry string, entry_file string, leaf string, members array<string>, priority double"
-    )
+        run, "graph bigint, entry string, entry_file string, leaf string, members string, priority double"
+    ).withColumn("members", F.split("members", "\n"))
 
 
 def trace_tree(edges: DataFrame, depth: int = 5) -> DataFrame:

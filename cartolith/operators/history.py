@@ -50,7 +50,7 @@ def hotspots(churned: DataFrame, complexity: DataFrame, limit: int | None = 20)
     shared = cumulative_share(cumulative_share(both, "score", "churn_share"), "complexity", "complexity_share")
     product = F.col("churn_share") * F.col("complexity_share")
     band = F.when(product >= 0.81, "critical").when(product >= 0.64, "high").when(product >= 0.36, "medium").otherwise("low")
-    found = shared.select("path", F.round(product, 6).alias("hotspot"), band.alias("band"))
+    found = shared.select("path", F.round(product, 9).alias("hotspot"), band.alias("band"))
     return found if limit is None else found.orderBy(F.desc("hotspot"), "path").limit(limit)
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("history_queries", "graph_queries")
+MODULES = ("history_queries", "graph_queries", "incident_queries", "quality_queries")
 
 
 def _all() -> list:
