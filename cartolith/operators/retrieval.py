@@ -24,9 +24,14 @@ def bm25f(docs: DataFrame, queries: DataFrame, low_priority: Column | None = Non
     that a frequent token is summed early; documents' lengths and the corpus'
     size come from the same counts.  Only query terms are joined on.
     """
+
+
+    def weigh(column: str, weight: float) -> Column:
+        tokens = field_tokens(F.coalesce(column, F.lit("")))
+        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
     weighted = [
-        F.transform(field_tokens(F.coalesce(column, F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w")))
-        for column, w in (("symbol", FIELD_WEIGHTS["symbol"]), ("path", FIELD_WEIGHTS["path"]), ("doc_text", FIELD_WEIGHTS["doc"]))
+        weigh(column, FIELD_WEIGHTS[field]) for column, field in (("symbol", "symbol"), ("path", "path"), ("doc_text", "doc"))
     ]
     low = F.lit(False) if low_priority is None else low_priority
     all_tokens = docs.select("doc", low.alias("low"), F.concat(*weighted).alias("t"))
