@@ -272,12 +272,14 @@ def two_cycles(imports: DataFrame) -> DataFrame:
 # --- Algorithms whose result depends on an order of steps: one task a graph -----------------------------------
 
 
-def louvain_levels(edges: dict[tuple[str, str], float], nodes: list[str], resolution: float = 1.0) -> dict[str, int]:
+def louvain_levels(
+    edges: dict[tuple[str, str], float], nodes: list[str], resolution: float = 1.0, summed: bool = True
+) -> dict[str, int]:
     """Communities by sequential local moves and contraction; ties go to the lowest community number.
 
     Nodes are visited in sorted order, at most 50 passes a level and 10 levels;
     loops that contraction makes are dropped and weights between communities
-    summed.
+    are summed, or 1 if not ``summed``.
     """
     members = {k: [n] for k, n in enumerate(sorted(nodes))}
     number = {n: k for k, n in enumerate(sorted(nodes))}
@@ -313,6 +315,8 @@ def louvain_levels(edges: dict[tuple[str, str], float], nodes: list[str], resolu
         if not moved_once:
             break
         renumber = {c: k for k, c in enumerate(sorted(set(community.values())))}
+        if len(renumber) == 1:  # a level at which all fall into one says nothing and is not taken over
+            break
         merged: dict[int, list[str]] = {k: [] for k in renumber.values()}
         joined: dict[int, dict[int, float]] = {k: {} for k in renumber.values()}
         for k, c in community.items():
@@ -320,7 +324,7 @@ def louvain_levels(edges: dict[tuple[str, str], float], nodes: list[str], resolu
             for j, w in links[k].items():
                 if community[j] != c:
                     target = joined[renumber[c]]
-                    target[renumber[community[j]]] = target.get(renumber[community[j]], 0.0) + w
+                    target[renumber[community[j]]] = target.get(renumber[community[j]], 0.0) + w if summed else 1.0
         members, links = merged, joined
     return {n: k for k, c in enumerate(sorted(members.values(), key=min)) for n in c}
 
@@ -346,7 +350,7 @@ def louvain(g: Graph, weighted: bool = True, resolution: float = 1.0) -> DataFra
         for r in rows[rows["b"].notna()].itertuples():
             pair = (min(r.a, r.b), max(r.a, r.b))
             pairs[pair] = max(r.w, pairs.get(pair, 0.0))
-        found = louvain_levels(pairs, rows.loc[rows["b"].isna(), "a"].tolist(), resolution)
+        found = louvain_levels(pairs, rows.loc[rows["b"].isna(), "a"].tolist(), resolution, summed=weighted)
         names = [k.split("\0", 1) for k in found]
         return pd.DataFrame(
             {"graph": rows["graph"].iloc[0], "name": [n[0] for n in names], "file": [n[1] for n in names], "detected": list(found.values())}

@@ -29,7 +29,7 @@ def walk_files(spark: SparkSession, folder: str, max_bytes: int = 1_000_000) ->
     )
     return rows.select(
         "path", "size", F.col("modificationTime").alias("mod_time"), language_of(F.col("path")).alias("language"),
-        F.when(reason.isNull(), F.decode("content", F.lit("UTF-8"))).alias("content"), reason.alias("skipped"),
+        F.when(reason.isNull(), F.decode("content", "UTF-8")).alias("content"), reason.alias("skipped"),
     )
 
 
