@@ -233,5 +233,5 @@ def documented_functions(entries: DataFrame) -> DataFrame:
         F.col("source_id").alias("entry_id"),
         F.col("text").alias("code"),
         "signature",
-        F.trim(F.regexp_replace("told", r"\n\s*\n", "\n")).alias("description"),
+        F.regexp_replace(F.regexp_replace("told", r"\n\s*\n", "\n"), r"^\s+|\s+$", "").alias("description"),
     )

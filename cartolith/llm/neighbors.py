@@ -85,7 +85,7 @@ def probe(vectors: np.ndarray, forest: Forest, probes: int) -> np.ndarray:
     """
     n, trees, nodes = len(vectors), forest.trees, 2**forest.depth - 1
     probes = max(probes, trees)
-    planes = forest.planes.reshape(trees * nodes, -1)
+    planes = forest.planes.reshape(trees * nodes, vectors.shape[1])
     offsets = forest.offsets.reshape(-1)
     dense = vectors @ planes.T - offsets if len(planes) <= 4096 else None
     tree = np.tile(np.arange(trees, dtype=np.int32), (n, 1))
