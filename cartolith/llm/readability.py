@@ -28,7 +28,7 @@ _LINES = (
     r"\d\d:\d\d:\d\d[^\n]*",
     r"[^\n]*[;{}\[][^\S\n]*",
     r"[^\S\n]*[})\]][^\n]*",
-    r"[^\n]*(?::=|\+=|-=|\*=|=>|->|==|!=|&&|\|\|)[^\n]*",
+    r"[^\n]*(?:[:+*!=-]=|[=-]>|&&|\|\|)[^\n]*",
     r"[+-]?[^\S\n]*[\w.\[\]\"']+[^\S\n]*[=:][^\S\n]*[\w.\[\]\"'-]*,?[^\S\n]*",
     r"[^\S\n]*[\w.\[\]]+ = [^\n]*",
     r"[^\S\n]*(?:if|for|while|elif|else|def|func|fn|class|switch|try|except|catch|with)\b[^\n]*[:{][^\S\n]*",
@@ -68,20 +68,26 @@ def prose_of(text: Column) -> Column:
     return F.regexp_replace(t, r"(?m)^[^\S\n]*(?:[*+>-]+|\d+[.)])[^\S\n]+", "\n\n")
 
 
-def hyphenated(words: Column) -> Column:
-    """Lower-case English with a hyphen between syllables, by rules in the manner of hyphenation.
+def divided(words: Column) -> Column:
+    """Lower-case English in which each syllable has one vowel group, by rules in the manner of hyphenation.
 
-    Mute endings go first (-e, -es, -ed, not after t or d, nor -le after a
-    consonant), then vowels that stand apart are divided (ia, io, eo, ua, not
-    in -tion and the like), then each vowel group is divided from the next
-    before the last consonant between them.
+    A mute e goes (at the end of a word, or before s or d there, where the
+    letters before it make it mute, but not in the few words that have no other
+    vowel), and vowels that stand apart are divided by a hyphen (ia, io, eo,
+    ua, not in -tion and the like).
     """
-    t = F.lower(words)
-    t = F.regexp_replace(t, r"([aeiouy][a-z]*(?:[aeiouy]l|[bcdfghjkmnpqrstvwxz]))e\b", "$1")
-    t = F.regexp_replace(t, r"([aeiouy][a-z]*(?:[aeiouy]l|[bdfjkmnpqrtvw]))es\b", "$1s")
-    t = F.regexp_replace(t, r"([aeiouy][a-z]*[^aeioutd\W])ed\b", "$1d")
-    t = F.regexp_replace(t, r"(?<![tscgx])i(?=[ao])|(?<=[^aeiouqg\W])u(?=a)|e(?=o)|y(?=[aeiou])(?<=[aeiou]y)", "$0-")
-    return F.regexp_replace(t, r"([aeiouy])([^aeiouy\W\d]{0,3}?)([^aeiouy\W\d]?)(?=[aeiouy])(?!(?<=[aeiouy])[aeiouy])", "$1$2-$3")
+    t = F.regexp_replace(
+        F.lower(words),
+        r"e(?:\b(?<=(?:[bcdfghjkmnpqrstvwxz]|[aeiouy]l)e)(?<!\b(?:th|h|sh|w|b|m)e)"
+        r"|(?=s\b)(?<=(?:[bdfjkmnpqrtvw]|[aeiouy]l)e)"
+        r"|(?=d\b)(?<=[^aeioutd\W]e)(?<!\b(?:r|b|l|f|w|sh|sl)e))",
+        "",
+    )
+    return F.regexp_replace(t, r"i(?<![tscgx]i)(?=[ao])|u(?<=[^aeiouqg\W]u)(?=a)|e(?=o)", "$0-")
+
+
+#: Words of three or more vowel groups in divided text.
+LONG_WORD = r"(?<![a-z-])[^aeiouy\W]*+[aeiouy]++(?:[^aeiouy\W]++|-)[aeiouy]++(?:[^aeiouy\W]++|-)[aeiouy]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,26 +133,16 @@ def reading_levels(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     read whole.
     """
 
-    def member(words: list[str]) -> str:
-        by_first: dict[str, list[str]] = {}
-        for word in words:
-            by_first.setdefault(word[0], []).append(word[1:])
-        branches = "|".join(first + "(?:" + "|".join(rest) + ")" for first, rest in by_first.items())
-        return r"(?<![\p{L}'])(?:" + branches + r")(?![\p{L}'])"
-
     def measured(sentence: Column) -> Column:
         return F.transform(
-            F.array(F.struct(F.lower(sentence).alias("s"), hyphenated(sentence).alias("split"))),
+            F.array(F.struct(divided(sentence).alias("split"), F.regexp_extract_all(F.lower(sentence), F.lit(WORD), F.lit(0)).alias("w"))),
             lambda x: F.struct(
-                F.regexp_count(x["s"], F.lit(WORD)).alias("words"),
-                F.length(F.regexp_replace(x["s"], r"[^\p{L}\p{N}]+", "")).alias("letters"),
-                F.regexp_count(x["split"], F.lit(r"[aeiouy]+")).alias("vowels"),
-                F.regexp_count(x["split"], F.lit(r"(?:[a-z]+-){2,}[a-z]+")).alias("long_words"),
-                F.regexp_count(x["s"], F.lit(member(ENGLISH))).alias("english"),
-                (
-                    F.regexp_count(x["s"], F.lit(member(OTHERS)))
-                    + F.regexp_count(x["s"], F.lit(r"[\p{L}&&[^\p{IsLatin}]]{2,}|[\p{L}&&[^a-zA-Z]]+"))
-                ).alias("other"),
+                F.size(x["w"]).alias("words"),
+                F.length(F.array_join(x["w"], "")).alias("letters"),
+                F.regexp_count(x["split"], F.lit("[aeiouy]+")).alias("vowels"),
+                F.regexp_count(x["split"], F.lit(LONG_WORD)).alias("long_words"),
+                F.size(F.filter(x["w"], lambda w: w.isin(*ENGLISH))).alias("english"),
+                F.size(F.filter(x["w"], lambda w: w.isin(*OTHERS) | w.rlike(r"[^\x00-\x7F]"))).alias("other"),
             ),
         )[0]
 
@@ -176,13 +172,10 @@ def reading_levels(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
             F.when(words >= LEAST_WORDS, F.round(_median(F.transform(m, grade)), 2)).alias("grade"),
         )
 
-    sentences = F.filter(
-        F.split(prose_of(F.coalesce(text, F.lit(""))), _SENTENCE_END),
-        lambda s: F.regexp_count(s, F.lit(WORD)) >= LEAST_SENTENCE,
-    )
+    pieces = F.transform(F.split(prose_of(F.coalesce(text, F.lit(""))), _SENTENCE_END), measured)
     levels = documents.select(
         F.col(doc_id).alias("doc_id"),
-        F.inline(F.array(_let(F.transform(sentences, measured), lambda m: _let(english(m), level)))),
+        F.inline(F.array(_let(F.filter(pieces, lambda x: x["words"] >= LEAST_SENTENCE), lambda m: _let(english(m), level)))),
     )
     bands = [(BASIC, "basic"), (MIDDLE, "middle"), (float("inf"), "advanced")]
     band = reduce(lambda c, b: c.when(F.col("grade") < b[0], b[1]), bands[1:], F.when(F.col("grade") < bands[0][0], bands[0][1]))
