@@ -16,6 +16,10 @@ ARTIFACT = r"(?:\.(?:o|so|a|dll|exe|class|jar|pyc|wasm|map|lock)$|\.min\.(?:js|c
 FIX_MESSAGE = r"(?i)\b(?:fix|fixes|fixed|hotfix|bug|bugfix|revert|regress|regression)\b"
 BINARY = r"(?i)\.(?:png|jpe?g|gif|ico|pdf|zip|gz|tar|woff2?|ttf|eot|mp[34]|mov|bin|so|dylib|dll|exe|class|jar|pyc)$"
 HEALTH_ROUTE = r"^/?(?:health|healthz|ready|readyz|live|livez|metrics|ping|status|version)/?$"
+ENTRY_POINT = (
+    r"^(?:main|init|setUp|tearDown|setup|teardown)$|^(?:[Tt]est|Benchmark|Example|Fuzz)|^__\w+__$|^(?:constructor|New[A-Z]?\w*)$|"
+    r"(?:Handler|Middleware|Hook)$|^(?:String|Error|ServeHTTP|MarshalJSON|UnmarshalJSON|Close|Read|Write|Len|Less|Swap)$"
+)
 
 #: Languages by file extension.
 EXTENSIONS = {
@@ -128,7 +132,4 @@ def is_junk_route(path: Column) -> Column:
 
 def is_entry_point(name: Column) -> Column:
     """Names that are called from outside, so that no call is expected: mains, tests, dunders, constructors, handlers."""
-    return name.rlike(
-        r"^(?:main|init|setUp|tearDown|setup|teardown)$|^(?:[Tt]est|Benchmark|Example|Fuzz)|^__\w+__$|^(?:constructor|New[A-Z]?\w*)$|"
-        r"(?:Handler|Middleware|Hook)$|^(?:String|Error|ServeHTTP|MarshalJSON|UnmarshalJSON|Close|Read|Write|Len|Less|Swap)$"
-    )
+    return name.rlike(ENTRY_POINT)

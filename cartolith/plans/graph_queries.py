@@ -179,6 +179,24 @@ def paths_sql(edges: str, depth: int) -> str:
     return ", " + ",\n".join(parts) + f"\n{union}"
 
 
+def trace_sql(depth: int) -> str:
+    """Call trees of the roots by chained joins, with a mark where a path meets itself."""
+    key = "{0} || chr(0) || {1}"
+    parts = [
+        "stc AS MATERIALIZED (SELECT DISTINCT graph, src, src_file, dst, dst_file FROM calls)",
+        f"l0 AS (SELECT DISTINCT s.graph, src AS root, src_file AS root_file, src AS name, src_file AS file, 0::INT AS depth, [{key.format('src', 'src_file')}] AS path, false AS cycle FROM stc s"
+        " WHERE NOT EXISTS (SELECT 1 FROM stc t WHERE t.graph = s.graph AND t.dst = s.src AND t.dst_file = s.src_file))",
+    ]
+    at = key.format("s.dst", "s.dst_file")
+    for k in range(1, depth + 1):
+        parts.append(
+            f"l{k} AS (SELECT l.graph, l.root, l.root_file, s.dst AS name, s.dst_file AS file, {k}::INT AS depth, list_append(l.path, {at}) AS path, list_contains(l.path, {at}) AS cycle"
+            f" FROM l{k - 1} l JOIN stc s ON s.graph = l.graph AND s.src = l.name AND s.src_file = l.file WHERE NOT l.cycle)"
+        )
+    union = " UNION ALL ".join(f"SELECT graph, root, root_file, name, file, depth, cycle FROM l{k}" for k in range(depth + 1))
+    return ", " + ",\n".join(parts) + "\n" + union
+
+
 def reach_sql(edges: str, seeds: str, depth: int) -> str:
     """Least distances by chained frontiers; ``edges``: graph, a, af, b, bf; ``seeds``: graph, name, file."""
     parts = [
@@ -266,6 +284,7 @@ SQL: dict[str, str] = {
     "g6_surprise": _PR + _SURPRISE + "SELECT * FROM scores",
     "a5_node_surprise": _PR + _SURPRISE + "SELECT graph, name, file, round(max(score) / 6, 6) AS surprise FROM (SELECT graph, src AS name, src_file AS file, score FROM scores UNION ALL SELECT graph, dst, dst_file, score FROM scores) GROUP BY ALL",
     "g7_top_surprises": _PR + _SURPRISE + "SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, graph, src, src_file, dst, dst_file LIMIT 10",
+    "g8_trace": W + trace_sql(3),
     "g9_trace_bfs": W + reach_sql("SELECT graph, src AS a, src_file AS af, dst AS b, dst_file AS bf FROM calls", "SELECT * FROM symbols WHERE kind = 'method'", 3) + " SELECT graph, seed, seed_file, name, file, distance FROM reached",
     "g10_impact": W + reach_sql("SELECT graph, dst AS a, dst_file AS af, src AS b, src_file AS bf FROM calls", "SELECT graph, dst AS name, dst_file AS file FROM calls", 5) + f"""
         , rolled AS (SELECT r.graph, seed, seed_file, count(*) AS callers, count(DISTINCT {package_sql('r.file')}) AS packages, count(DISTINCT s.community) AS communities,

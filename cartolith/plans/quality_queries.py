@@ -163,6 +163,7 @@ _CAMEL = (
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'),"
     r" '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')"
 )
+_LANGUAGES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in predicates.EXTENSIONS.items())
 SQL = {
     "a14_function_metrics": f"{_E}, {_FM} SELECT * FROM fm",
     "a15_repository_ratios": f"{_F}, {_RR} SELECT * FROM rr",
@@ -183,6 +184,13 @@ SQL = {
     "a21_languages": _F + """ SELECT repo, language, files, round(files / sum(files) OVER (PARTITION BY repo), 6) AS share,
       row_number() OVER (PARTITION BY repo ORDER BY files DESC, language) = 1 AS dominant FROM (SELECT repo, language, count(*) AS files FROM files WHERE language IS NOT NULL GROUP BY ALL)""",
     "a22_relations": _G + "SELECT label, count(*) AS edges, count(DISTINCT (graph, src, src_file)) AS subjects FROM edges GROUP BY label",
+    "g11_unused": _G + f"""SELECT graph, name, file, kind,
+        CASE WHEN NOT CASE language WHEN 'go' THEN regexp_matches(name, '^[A-Z]') WHEN 'python' THEN NOT starts_with(name, '_') ELSE NOT regexp_matches(name, '^[_#]') END THEN 'high'
+             WHEN kind = 'function' THEN 'medium' ELSE 'low' END AS confidence
+      FROM (SELECT *, CASE lower(regexp_extract(file, '[.](\\w+)$', 1)) {_LANGUAGES} END AS language FROM symbols) s
+      WHERE kind IN ('function', 'method') AND NOT regexp_matches(name, '{predicates.ENTRY_POINT}') AND NOT regexp_matches(file, '{_TEST}')
+        AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.label IN ('CALLS', 'USES') AND e.graph = s.graph AND e.dst = s.name AND e.dst_file = s.file)
+        AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.label = 'IMPLEMENTS' AND e.graph = s.graph AND e.src = s.name AND e.src_file = s.file)""",
     "g12_dead_code_prior": _G + """SELECT graph, name, file, round(1 / (1 + exp(-(CASE WHEN starts_with(name, '_') THEN 1.2 WHEN regexp_matches(name, '^(get|set|is|has)') THEN 0.8 ELSE 1.0 END
       * CASE WHEN regexp_matches(file, '(^|/)(cmd|main)') THEN 0.5 WHEN regexp_matches(file, '(^|/)internal/') THEN 1.1 ELSE 1.0 END * (1 + ln(1 + complexity) / 10)))), 6) AS prior FROM symbols""",
     "j13_resolve_callees": f"""{_E}, {_CALLS}, c AS (SELECT s.repo, caller_file, s.callee, h.file AS callee_file,

@@ -48,6 +48,14 @@ QUERIES = {
 
 SQL = {
     "z7_tumbling": "SELECT event_type AS key, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events FROM events GROUP BY ALL",
+    "s21_sections": r"""WITH lines AS (
+        SELECT doc_id, pos, line, regexp_matches(line, '^#{1,6} ') AS head FROM (
+          SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (
+            SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+      numbered AS (SELECT *, sum((head AND pos > 1)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM lines),
+      parts AS (SELECT doc_id, section::INT AS section, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS part, max(CASE WHEN head THEN nullif(regexp_extract(line, '^#{1,6} (.*)$', 1), '') END) AS title, bool_or(true) AS x, max(pos) AS last_pos, min(pos) AS first_pos
+                FROM numbered GROUP BY ALL)
+      SELECT doc_id, section, title FROM parts p WHERE trim(CASE WHEN last_pos = (SELECT max(last_pos) FROM parts q WHERE q.doc_id = p.doc_id) THEN left(part, length(part) - 1) ELSE part END, ' ') <> ''""",
     "k3_upsert": """SELECT repo_key, file_path, symbol_name, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, file_path, symbol_name ORDER BY updated_at DESC, vec_id DESC) AS rn FROM code_embeddings) WHERE rn = 1""",
     "s7_imports": "WITH " + FILES_SQL + r""", l AS (SELECT repo, path AS file, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS text FROM files WHERE content IS NOT NULL),
       t AS (SELECT repo, file, regexp_extract(text, '^\s*(?:import\s+(?:\w+\s+)?"([^"]+)"|import\s+.*from\s+["'']([^"'']+)["'']|(?:import|from)\s+([\w.]+)|use\s+([\w:]+))', 0) AS m FROM l)

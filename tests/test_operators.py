@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith.functions import predicates, stats, text
-from cartolith.operators import duplicates, graph_algorithms, history, incident, quality, retrieval
+from cartolith.operators import duplicates, evaluation, graph_algorithms, history, incident, policy, quality, retrieval
 from cartolith.operators.snapshots import next_in_order, snapshot_changes
 from cartolith.sources import scanners
 from cartolith.sources.routes import normal_route
@@ -263,3 +263,31 @@ class TestStreaming:
 
         df = spark.createDataFrame([event("opened", "u", "User"), event("opened", "x[bot]", "Bot"), event("closed", "u", "User")], "json string")
         assert rows(changes.webhook_pushes(df)) == [("o/r", "opened", 1, "u")]
+
+
+class TestEvaluationAndPolicy:
+    def test_t_test(self, spark):
+        assert evaluation.two_tailed(2.262157, 9) == pytest.approx(0.05, abs=1e-5)
+        df = spark.createDataFrame([("x", 1.0, 2.0), ("x", 2.0, 2.5), ("x", 3.0, 4.5), ("y", 1.0, 1.0)], "g string, a double, b double")
+        found = {r["g"]: r for r in evaluation.paired_t_test(df, "g", "a", "b").collect()}
+        assert found["x"]["t"] == pytest.approx(3.4641, abs=1e-3) and found["x"]["p"] == pytest.approx(0.0742, abs=1e-3)
+        assert found["y"]["t"] is None and found["y"]["p"] is None
+        assert one(spark, a=evaluation.gate(F.lit(0.1), F.lit(0.01), F.lit(0.0), F.lit(0.5)), b=evaluation.gate(F.lit(0.1), F.lit(0.2), F.lit(0.0), F.lit(0.5))) == ("PASS", "FAIL")
+
+    def test_rules(self, spark):
+        imports = spark.createDataFrame([("r", "ui/a.go", "db/sql"), ("r", "db/b.go", "db/sql")], "repo string, file string, target string")
+        rules = spark.createDataFrame([("no-db", "^ui/", "^db/")], "rule string, path_pattern string, import_pattern string")
+        assert rows(policy.forbidden_imports(imports, rules)) == [("no-db", "r", "ui/a.go", "db/sql")]
+        need = spark.createDataFrame([("docs", "^api/", "^docs/")], "rule string, when_pattern string, then_pattern string")
+        changed = spark.createDataFrame([("r", "api/x"), ("s", "api/x"), ("s", "docs/y")], "repo string, file string")
+        assert rows(policy.missing_companions(changed, need)) == [("docs", "r")]
+        code = 'x = "// no" // yes\ny /* a\nb */ z'
+        assert one(spark, a=policy.without_comments(F.lit(code)))[0] == 'x = "// no" \ny  z'
+
+    def test_review(self, spark):
+        symbols = spark.createDataFrame([("r", "f", "a", 1, 9), ("r", "f", "b", 20, 30)], "repo string, file string, name string, start_line int, end_line int")
+        hunks = spark.createDataFrame([("r", "f", 9, 12)], "repo string, file string, start_line int, end_line int")
+        changed = policy.changed_symbols(symbols, hunks)
+        impact = spark.createDataFrame([("r", "f", "a", 25, "high")], "repo string, file string, name string, callers int, band string")
+        found = rows(policy.review_risk(changed, impact, changed.limit(0)))
+        assert found == [("r", "f", "a", 25, "untested,many_callers,high_impact", "high")]
