@@ -18,7 +18,7 @@ LEAF, MAX_LEAVES, TREES = 1200, 16_384, 3
 #: Vectors on which the forest is fitted, at most; every vector is indexed.
 FIT_SAMPLE = 65_536
 #: Leaves that the shared queue yields for each query.
-PROBES = 8
+PROBES = 12
 #: The same where only some rows are queries and neighbours of any similarity are wanted.
 DEEP_PROBES = 96
 #: Rows of a leaf that are compared at once; larger leaves are cut into blocks of about this size.
