@@ -45,7 +45,7 @@ CHECKS = (
 
 MEASURES = FEATURES + CHECKS
 
-# Wordings by which tools and copies announce themselves, on comment lines at the head of a file.
+# Wordings by which tools and copies announce themselves, on comment lines at the head or foot of a file.
 TOOL_NOTICE = (
     r"(?i)code generated by|@generated|auto-?generated(?! method)|generated code\b|automatically (?:produced|generated|created)|"
     r"automatisch erzeugt|machine[- ](?:written|generated|made)|\bgenerated (?:on build|from|by|with|using)\b|"
@@ -71,6 +71,10 @@ COPY_PATH = (
 MINIFIED_PATH = r"(?i)(?:[._-]min\.\w+$|[._-](?:all|bundle|bundled|prod)\.(?:js|css|mjs|cjs)$|(?:^|/)bundle\.[0-9a-f]{6,}\.\w+$)"
 
 _COMMENT_LINE = re.compile(r"\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')")
+#: At the foot, indented comments belong to the code above them.
+_FOOT_LINE = re.compile(r"//|#|--\s|;[;\s]")
+_FOOT_BLOCKS = (("*/", "/*"), ("-->", "<!--"), ('"""', '"""'), ("'''", "'''"))
+_FOOT_BLOCK = re.compile(r"/\*(?:(?!\*/).)*\*/|<!--(?:(?!-->).)*-->|(\"\"\"|''')(?:(?!\1).)*\1", re.S)
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w]")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b\d[\w.]*")
 _IDENTIFIER = re.compile(r"[A-Za-z_]\w*")
@@ -93,8 +97,27 @@ def head_and_rest(content: str) -> tuple[str, str]:
     return "\n".join(lines[:k]), "\n".join(lines[k:])
 
 
+def code_and_foot(rest: str) -> tuple[str, str]:
+    """What follows a head without the comments after its last line of code, and those comments."""
+    lines = rest.split("\n")
+    k = len(lines)
+    while k:
+        line = lines[k - 1].rstrip()
+        if not line or _FOOT_LINE.match(line):
+            k -= 1
+            continue
+        begin = next((begin for end, begin in _FOOT_BLOCKS if line.endswith(end)), None)
+        if begin is None:
+            break
+        opens = next((j for j in range(k - 1, -1, -1) if begin in (lines[j] if j < k - 1 else line[: -len(begin)])), None)
+        if opens is None or not _FOOT_BLOCK.fullmatch("\n".join([*lines[opens : k - 1], line])):
+            break
+        k = opens
+    return "\n".join(lines[:k]), "\n".join(lines[k:])
+
+
 def measure(code: str) -> list[float]:
-    """The features and checks of a file's code, which no longer has its head."""
+    """The features and checks of a file's code, which no longer has its head and foot."""
     raw = code.encode("utf-8", "replace")
     tokens = Counter(_TOKEN.findall(code))
     n = sum(tokens.values())
@@ -182,18 +205,21 @@ def file_evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
             rows = []
             for content in batch.column(2).to_pylist():
                 head, code = head_and_rest(content or "")
-                lines = [x for x in head.split("\n") if not other.search(x)]
+                marked = "sourceMappingURL=" in code
+                banner = code.startswith("/*!")
+                code, foot = code_and_foot(code)
+                ends = f"{head}\n{foot}"
+                lines = [x for x in ends.split("\n") if not other.search(x)]
                 hashes = shingle_hashes(content or "")
                 hits = hashes
                 if at is not None:
                     hits = hashes[at[np.minimum(np.searchsorted(at, hashes), len(at) - 1)] == hashes] if len(at) else hashes[:0]
-                marked = "sourceMappingURL=" in code
                 rows.append(
                     (
                         not (content or "").strip(),
                         marked or any(map(tool.search, lines)),
-                        any(map(copy.search, lines)) or code.startswith("/*!"),
-                        bool(hand.search(head)),
+                        any(map(copy.search, lines)) or banner,
+                        bool(hand.search(ends)),
                         len(hashes),
                         hits,
                         *measure(re.sub(r"^/\*!.*?\*/|(?://|#)# sourceMappingURL=.*", "", code, flags=re.S)),
@@ -221,8 +247,8 @@ def copied_share(evidence: DataFrame, upstream: DataFrame) -> DataFrame:
 def scored(evidence: DataFrame) -> DataFrame:
     """Add ``probability``: a random forest's vote on the features alone.
 
-    It is trained on at most ``TRAINING_FILES`` files that their head labels:
-    a tool's notice against a notice of the repository's own.  Both heads are
+    It is trained on at most ``TRAINING_FILES`` files that their head or foot labels:
+    a tool's notice against a notice of the repository's own.  Heads and feet are
     cut off before the features are taken.  With labels of one kind only the
     probability is null.
     """
@@ -251,12 +277,12 @@ def scored(evidence: DataFrame) -> DataFrame:
 def not_written_by_hand(symbols: DataFrame, files: DataFrame, upstream: DataFrame) -> DataFrame:
     """``repo_key, file_path, reason`` of each file named in ``symbols`` that was not written for its repository.
 
-    Reasons, of which the first that holds is given: ``notice`` (its head says
+    Reasons, of which the first that holds is given: ``notice`` (its head or foot says
     that a tool wrote it or that it is a copy), ``copy`` (most of its shingles
     of five words are those of one upstream file), ``forest`` (the random
     forest votes for it, and it is indeed minified, nothing but data, or one
     pattern of lines over and over), ``data`` (nearly all of it is literals and nothing is
-    defined or done outside them; heads do not say so, so that the forest has
+    defined or done outside them; notices do not say so, so that the forest has
     no such label to learn from), ``path`` (a name or folder that tools or package managers use).
 
     Defined cases: a file without content goes by its path, as does one whose

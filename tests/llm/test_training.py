@@ -307,6 +307,21 @@ class TestGenerated:
             ("r", "t.go"): "data", (None, "a_pb2.py"): "path", ("r", "win\\x.min.js"): "path",
         }
 
+    def test_notices_at_the_foot(self, spark):
+        note = "Code generated by x v0.9. DO NOT EDIT."
+        py = 'def load(a):\n    """Loads code that was generated by x."""\n    return a\n\n\nclass Stale(Exception):\n    """Raised for code generated by x."""\n'
+        files = [
+            ("r", "a.go", self.code + "// " + note), ("r", "b.go", self.code + f"\n/*\n {note}\n*/\n\n"), ("r", "c.go", self.code + "\n// lib v1.2.3\n"),
+            ("r", "d.go", "// Part of the x suite.\n" + self.code + "\r\n// " + note + "\r\n"), ("r", "e.py", py), ("r", "f.py", py + f'"""\n{note}\n"""\n'),
+            ("r", "g.go", self.code + "// Written by hand. Earlier versions were generated.\n"), ("r", "h.py", py + "    # Lines are generated by x.\n"),
+        ]
+        assert self.found(spark, files) == {("r", name): "notice" for name in ("a.go", "b.go", "c.go", "d.go", "f.py")}
+        head, rest = generated.head_and_rest("// One.\n" + self.code + "\n// " + note + "\n")
+        code, foot = generated.code_and_foot(rest)
+        assert head == "// One." and code == self.code.rstrip() and foot.strip() == "// " + note
+        for whole in ("", "/* a */ b(); /* c */", "/*! lib */function a(){}", ";(function(){})()", 'x = """\na\n"""'):
+            assert generated.code_and_foot(whole) == (whole, "")
+
     def test_absent_files_repeats_and_empty(self, spark):
         files = [("r", "a.go", None), ("r", "a.go", "// @generated\n" + self.code)]
         assert self.found(spark, files, [("r", "a.go"), ("r", "a.go"), ("r", "vendor/z.go"), ("q", "z.go")]) == {("r", "a.go"): "notice", ("r", "vendor/z.go"): "path"}
