@@ -44,7 +44,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    """Every hypothesis with its closeness to the ideal point and its place in its investigation."""
+    """Every hypothesis with its closeness to the ideal point and its place in its investigation; ties by id, as its SQL says."""
+    scored = ranking.investigation_scores(
+        table(spark, folder, "hypotheses"), table(spark, folder, "research_scores")
+    )
+    return ranking.ranked(scored.drop("unclipped"), "investigation_id", "hyp_id")
+
+
+def p3_places(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``p3_ranking``, ties by the values before winsorising, then by id."""
     scored = ranking.investigation_scores(
         table(spark, folder, "hypotheses"), table(spark, folder, "research_scores")
     )
@@ -103,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
+    "p3_places": p3_places,
     "p4_found": p4_found,
     "p4_neighbors": p4_neighbors,
     "p6_found": p6_found,

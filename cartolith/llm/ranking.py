@@ -33,6 +33,7 @@ def ideal_point_scores(
     scores: Sequence[str],
     say: Sequence[float] | None = None,
     winsor: tuple[float, float] = WINSOR,
+    ties: bool = False,
 ) -> DataFrame:
     """``group, item, closeness`` in 0..1: how close each item is to the best value in every score.
 
@@ -42,6 +43,9 @@ def ideal_point_scores(
     score.  Distances to both are weighted by ``say`` over the spread of the
     normalised score, so that no score wins by its range; closeness is the
     distance to the anti-ideal point over the sum of both, to nine decimals.
+    Winsorising draws the best items of a large group to one value; with
+    ``ties`` a column ``unclipped`` has the closeness of the values as they
+    are, by which ``first_places`` and ``ranked`` order items of equal closeness.
 
     A missing score (null, NaN, infinite or negative) is the lowest of its
     group.  A score that is the same or missing throughout a group has no say
@@ -62,7 +66,21 @@ def ideal_point_scores(
     bounds = rows.groupBy("g").agg(
         *[F.percentile_approx(f"s{k}", list(winsor), 10000).alias(f"q{k}") for k in n],
         *[F.min(f"s{k}").alias(f"m{k}") for k in n],
+        *[F.max(f"s{k}").alias(f"x{k}") for k in n if ties],
     )
+
+    def closeness(to_ideal: Column, to_anti: Column) -> Column:
+        return F.round(F.when(to_ideal + to_anti > 0, to_anti / (to_ideal + to_anti)).otherwise(0.5), 9)
+
+    def unclipped() -> Column:
+        best, worst = [], []
+        for k in n:
+            share = (F.coalesce(f"s{k}", f"m{k}") - F.col(f"m{k}")) / (F.col(f"x{k}") - F.col(f"m{k}"))
+            for parts, gap in ((best, 1 - share), (worst, share)):
+                gap = gap * F.lit(say[k])
+                parts.append(F.when(F.col(f"x{k}") > F.col(f"m{k}"), gap * gap).otherwise(0.0))
+        return closeness(*[F.sqrt(reduce(lambda a, b: a + b, parts)) for parts in (best, worst)])
+
     drawn = rows.join(_spread(bounds), ["g", "_salt"]).select(
         "g",
         "i",
@@ -75,6 +93,7 @@ def ideal_point_scores(
             ).alias(f"v{k}")
             for k in n
         ],
+        *([unclipped().alias("unclipped")] if ties else []),
     )
     norms = drawn.groupBy("g").agg(
         *[F.sqrt(F.sum(F.col(f"v{k}") * F.col(f"v{k}"))).alias(f"n{k}") for k in n],
@@ -95,21 +114,24 @@ def ideal_point_scores(
     return scaled.select(
         F.col("g").alias(group),
         F.col("i").alias(item),
-        F.round(
-            F.when(to_ideal + to_anti > 0, to_anti / (to_ideal + to_anti)).otherwise(0.5), 9
-        ).alias("closeness"),
+        closeness(to_ideal, to_anti).alias("closeness"),
+        *(["unclipped"] if ties else []),
     )
 
 
+def _tie(scored: DataFrame) -> Column:
+    return F.col("unclipped") if "unclipped" in scored.columns else F.lit(0.0)
+
+
 def first_places(scored: DataFrame, group: str, item: str) -> DataFrame:
-    """The item in first place of each group; of equals the smallest id.  Combined before the shuffle."""
+    """The item in first place of each group; of equals the best by ``unclipped``, then the smallest id.  Combined before the shuffle."""
     return scored.groupBy(group).agg(
-        F.min_by(item, F.struct(-F.col("closeness"), F.col(item))).alias(item)
+        F.min_by(item, F.struct(-F.col("closeness"), -_tie(scored), F.col(item))).alias(item)
     )
 
 
 def ranked(scored: DataFrame, group: str, item: str) -> DataFrame:
-    """Add ``place`` (1 is best, ties by id) to scored items.
+    """Add ``place`` (1 is best, ties by ``unclipped``, then by id) to scored items.
 
     Closeness is cut into steps; rows are ordered within a step and the rows of
     higher steps counted before, so that one group is ranked by many tasks.
@@ -118,7 +140,7 @@ def ranked(scored: DataFrame, group: str, item: str) -> DataFrame:
     counts = stepped.groupBy(group, "_step").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(group, "_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(group, "_step").orderBy(F.col("closeness").desc(), item)
+    within = Window.partitionBy(group, "_step").orderBy(F.col("closeness").desc(), _tie(scored).desc(), item)
     return (
         stepped.join(counts, [group, "_step"])
         .withColumn("place", F.row_number().over(within) + F.col("_before"))
@@ -158,5 +180,5 @@ def investigation_scores(hypotheses: DataFrame, research: DataFrame) -> DataFram
         fused.select("investigation_id", "rel_path", "f.fused_score"), ["investigation_id", "rel_path"], "left"
     )
     return ideal_point_scores(
-        joined, "investigation_id", "hyp_id", ["span_count", "anomaly_score", "fused_score"]
+        joined, "investigation_id", "hyp_id", ["span_count", "anomaly_score", "fused_score"], ties=True
     )

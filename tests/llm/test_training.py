@@ -80,6 +80,20 @@ class TestRanking:
         order = sorted(range(5000), key=lambda k: (-(k % 1000) / 1000, k))
         assert all(placed[k] == n + 1 for n, k in enumerate(order))
 
+    def test_leader_of_a_large_investigation(self, spark):
+        n = 20_000
+        both, leads = F.abs(F.xxhash64("id")) % 1000, F.col("id") == n - 1
+        own = [F.when(leads, 2000).otherwise(both + F.abs(F.xxhash64("id", F.lit(k))) % 800) for k in range(3)]
+        made = spark.range(n).select(
+            F.lit(1).alias("investigation_id"), F.col("id").alias("hyp_id"), F.lit("r").alias("repo_key"), F.concat(F.lit("f"), "id").alias("file"),
+            own[0].alias("span_count"), (own[1] / 1e3).alias("anomaly_score"), F.lit(NOW).alias("reported_at"), own[2].alias("fused_score"),
+        )
+        research = made.select("investigation_id", F.col("file").alias("rel_path"), F.col("fused_score").cast("double"), F.lit(NOW).alias("scored_at"))
+        scored = ranking.investigation_scores(made.drop("fused_score"), research).cache()
+        assert scored.where("closeness = 1").count() > 20
+        assert rows(ranking.first_places(scored, "investigation_id", "hyp_id")) == [(1, n - 1)]
+        assert [r["hyp_id"] for r in ranking.ranked(scored, "investigation_id", "hyp_id").where("place = 1").collect()] == [n - 1]
+
     def test_paths(self, spark):
         df = spark.createDataFrame([("./a\\b.go", "r"), ("/srv/checkouts/r/a/b.go", "r"), ("a/b.go", "r"), (None, "r"), ("a", None)], "f string, r string")
         assert [x[0] for x in df.select(ranking.clean_path(F.col("f"), F.col("r"))).collect()] == ["a/b.go"] * 3 + [None, "a"]
