@@ -14,6 +14,8 @@ from cartolith.sources.tables import Graph, package_of
 NODE = ["graph", "name", "file"]
 #: Rounds after which lineage is cut.
 CUT_EVERY = 5
+#: Edges from which the paths of each length are staged.
+LONG_PATH = 4
 
 
 def _shares(edges: DataFrame, weight: str | None) -> DataFrame:
@@ -112,6 +114,8 @@ def paths(edges: DataFrame, depth: int) -> DataFrame:
     """``graph, src, src_file, dst, dst_file, hops``: pairs joined by a path of 1 to ``depth`` edges, with each length.
 
     No edge is used twice in a path; a pair comes out once for each length.
+    Paths of ``LONG_PATH`` edges and more are staged, and of those that join the
+    same pair over the same edges one goes on, as all have the same continuations.
     """
     ids = edges.select(
         "graph", "src", "src_file", "dst", "dst_file",
@@ -133,6 +137,8 @@ def paths(edges: DataFrame, depth: int) -> DataFrame:
                 F.array_append("used", F.col("edge")).alias("used"),
             )
         )
+        if k >= LONG_PATH:
+            current = cut_lineage(current.withColumn("used", F.array_sort("used")).distinct(), "paths")
         result.append(current.select(*ends, F.lit(k).alias("hops")))
     return reduce(DataFrame.unionByName, result).distinct()
 

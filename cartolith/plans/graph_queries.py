@@ -79,6 +79,7 @@ QUERIES: dict[str, Query] = {
     ),
     "j6_dead_code": _graph(gt.dead_code),
     "j8_call_chain": _graph(lambda g: ga.paths(g.calls(), 3)),
+    "j8_call_chain_10": _graph(lambda g: ga.paths(g.calls(), 10)),
     "j8_subtypes": _graph(lambda g: ga.paths(g.edges.where(F.col("label") == "INHERITS"), 5)),
     "j9_call_depth": _graph(lambda g: ga.longest_chain(g.calls(), 10)),
     "a1_most_connected": _graph(gt.most_connected),
@@ -116,6 +117,8 @@ QUERIES: dict[str, Query] = {
     "g9_trace_bfs": _graph(
         lambda g: ga.reach(g.calls(), g.symbols.where(F.col("kind") == "method"), 3)
     ),
+    "g8_trace_5": _graph(lambda g: ga.trace_tree(g.calls(), 5)),
+    "g9_trace_bfs_5": _graph(lambda g: ga.reach(g.calls(), g.symbols.where(F.col("kind") == "method"), 5)),
     "g10_impact": _graph(ga.impact),
     "g13_flows": _with_rank(
         lambda r, g: ga.flows(g, r.withColumn("pagerank", F.round("pagerank", 9))).withColumn("members", F.array_join("members", ","))
@@ -246,6 +249,7 @@ SQL: dict[str, str] = {
         SELECT graph, name, file FROM symbols s WHERE kind = 'function'
         AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.graph = s.graph AND c.dst = s.name AND c.dst_file = s.file)""",
     "j8_call_chain": W + paths_sql("SELECT * FROM calls", 3),
+    "j8_call_chain_10": W + paths_sql("SELECT * FROM calls", 10),
     "j8_subtypes": W + paths_sql("SELECT * FROM edges WHERE label = 'INHERITS'", 5),
     "j9_call_depth": W + "," + ",\n".join(
         ["h1 AS MATERIALIZED (SELECT DISTINCT graph, dst, dst_file FROM calls)"]
@@ -286,6 +290,8 @@ SQL: dict[str, str] = {
     "g7_top_surprises": _PR + _SURPRISE + "SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, graph, src, src_file, dst, dst_file LIMIT 10",
     "g8_trace": W + trace_sql(3),
     "g9_trace_bfs": W + reach_sql("SELECT graph, src AS a, src_file AS af, dst AS b, dst_file AS bf FROM calls", "SELECT * FROM symbols WHERE kind = 'method'", 3) + " SELECT graph, seed, seed_file, name, file, distance FROM reached",
+    "g8_trace_5": W + trace_sql(5),
+    "g9_trace_bfs_5": W + reach_sql("SELECT graph, src AS a, src_file AS af, dst AS b, dst_file AS bf FROM calls", "SELECT * FROM symbols WHERE kind = 'method'", 5) + " SELECT graph, seed, seed_file, name, file, distance FROM reached",
     "g10_impact": W + reach_sql("SELECT graph, dst AS a, dst_file AS af, src AS b, src_file AS bf FROM calls", "SELECT graph, dst AS name, dst_file AS file FROM calls", 5) + f"""
         , rolled AS (SELECT r.graph, seed, seed_file, count(*) AS callers, count(DISTINCT {package_sql('r.file')}) AS packages, count(DISTINCT s.community) AS communities,
                 round(avg(greatest(0.1, 1 - 0.2 * (distance - 1))), 6) AS confidence, max(distance)::INT AS depth

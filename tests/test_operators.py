@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import predicates, stats, text
 from cartolith.operators import duplicates, evaluation, graph_algorithms, history, incident, policy, quality, retrieval
 from cartolith.operators.snapshots import next_in_order, snapshot_changes
+from cartolith.plans import graph_queries
 from cartolith.sources import scanners
 from cartolith.sources.routes import normal_route
 from cartolith.sources.tables import Graph
@@ -99,6 +100,21 @@ class TestGraph:
         assert trace.where("cycle").count() == 2  # from a and from e back to b
         assert graph_algorithms.longest_chain(graph.calls(), 10).first()["call_depth"] == 10
 
+    def test_long_paths(self, spark):
+        calls = [(f"n{k}", f"n{k + 1}") for k in range(12)] + [(a, b) for a in "wxyz" for b in "wxyz" if a != b]
+        edges = spark.createDataFrame([(1, a, "f", b, "f") for a, b in calls], "graph int, src string, src_file string, dst string, dst_file string")
+        found = {(r["src"], r["dst"], r["hops"]) for r in graph_algorithms.paths(edges, 10).collect()}
+        true, current = set(), [(a, b, {(a, b)}) for a, b in calls]
+        for k in range(1, 11):
+            true |= {(a, b, k) for a, b, _ in current}
+            current = [(a, d, used | {(b, d)}) for a, b, used in current for c, d in calls if c == b and (b, d) not in used]
+        assert found == true and ("n0", "n10", 10) in found
+
+    def test_registered_depths(self, spark, small):
+        queries = graph_queries.QUERIES
+        assert queries["j8_call_chain_10"](spark, small).agg(F.max("hops")).first()[0] == 10
+        assert queries["g8_trace_5"](spark, small).agg(F.max("depth")).first()[0] == 5
+
     def test_components(self, spark):
         pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
         found = dict(map(tuple, graph_algorithms.components(pairs).collect()))
