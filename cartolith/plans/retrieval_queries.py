@@ -76,6 +76,11 @@ def r8_rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.fuse_ranks(arms(spark, folder), window=10)
 
 
+def r8_rank_fusion_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of every arm fused, as the reference does by default."""
+    return retrieval.fuse_ranks(arms(spark, folder), window=None)
+
+
 def r11_score_fusion(spark: SparkSession, folder: str) -> DataFrame:
     signals = files(spark, folder).select(
         F.concat_ws("#", "repo", "path").alias("file"), F.col("size").cast("double").alias("size"), F.col("lines").cast("double").alias("lines")
@@ -91,23 +96,39 @@ def r14_stale(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.demote_stale(rows, F.lit("2025-02-01").cast("timestamp")).select("query", "doc", "stale", "new_place")
 
 
-def r17_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Fused lists judged by high confidence."""
+def _metrics(spark: SparkSession, folder: str, fused: DataFrame) -> DataFrame:
     good = table(spark, folder, "hypotheses").where(F.col("confidence") == "high").select(
         F.col("investigation_id").alias("query"), F.col("hyp_id").alias("doc"), F.lit(1).alias("relevant")
     ).distinct()
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    judged = r8_rank_fusion(spark, folder).withColumn("place", F.row_number().over(order)).join(good, ["query", "doc"], "left").na.fill(0, ["relevant"])
+    judged = fused.withColumn("place", F.row_number().over(order)).join(good, ["query", "doc"], "left").na.fill(0, ["relevant"])
     total = good.groupBy("query").agg(F.count("*").alias("n"))
     return retrieval.ranking_metrics(judged, total)
 
 
-def a25_mean_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def r17_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Fused lists judged by high confidence."""
+    return _metrics(spark, folder, r8_rank_fusion(spark, folder))
+
+
+def r17_metrics_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _metrics(spark, folder, r8_rank_fusion_all(spark, folder))
+
+
+def _means(spark: SparkSession, folder: str, metrics: DataFrame) -> DataFrame:
     repos = table(spark, folder, "hypotheses").select(F.col("investigation_id").alias("query"), "repo_key").distinct()
-    means = retrieval.mean_metrics(r17_metrics(spark, folder).join(repos, "query"), ["repo_key"])
+    means = retrieval.mean_metrics(metrics.join(repos, "query"), ["repo_key"])
     return means.withColumn("repo_key", F.coalesce("repo_key", F.lit("*")))
 
 
+def a25_mean_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return _means(spark, folder, r17_metrics(spark, folder))
+
+
+def a25_mean_metrics_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _means(spark, folder, r17_metrics_all(spark, folder))
+
+
 def a26_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.percentiles(table(spark, folder, "events"), "event_type", "value")
 
@@ -118,10 +139,13 @@ QUERIES = {
     "t2_dense": t2_dense,
     "t3_sparse": t3_sparse,
     "r8_rank_fusion": r8_rank_fusion,
+    "r8_rank_fusion_all": r8_rank_fusion_all,
     "r11_score_fusion": r11_score_fusion,
     "r14_stale": r14_stale,
     "r17_metrics": r17_metrics,
+    "r17_metrics_all": r17_metrics_all,
     "a25_mean_metrics": a25_mean_metrics,
+    "a25_mean_metrics_all": a25_mean_metrics_all,
     "a26_percentiles": a26_percentiles,
 }
 
@@ -198,3 +222,5 @@ SQL = {
       FROM m GROUP BY GROUPING SETS ((repo_key), ())""",
     "a26_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type",
 }
+#: The same over every place.
+SQL |= {f"{name}_all": SQL[name].replace(" WHERE place <= 10 GROUP BY ALL", " GROUP BY ALL") for name in ("r8_rank_fusion", "r17_metrics", "a25_mean_metrics")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import predicates, stats, text
 from cartolith.operators import duplicates, evaluation, graph_algorithms, history, incident, policy, quality, retrieval
 from cartolith.operators.snapshots import next_in_order, snapshot_changes
-from cartolith.plans import graph_queries
+from cartolith.plans import graph_queries, retrieval_queries
 from cartolith.sources import scanners
 from cartolith.sources.routes import normal_route
 from cartolith.sources.tables import Graph
@@ -115,6 +115,13 @@ class TestGraph:
         assert queries["j8_call_chain_10"](spark, small).agg(F.max("hops")).first()[0] == 10
         assert queries["g8_trace_5"](spark, small).agg(F.max("depth")).first()[0] == 5
 
+    def test_fusion_keeps_every_row(self, spark, small):
+        asked = retrieval_queries.arms(spark, small).select("query", "doc").distinct()
+        assert retrieval_queries.QUERIES["r8_rank_fusion_all"](spark, small).count() == asked.count()
+        lists = spark.createDataFrame([("q", "semantic", "d", 1), ("q", "keyword", "d", 2), ("q", "keyword", "e", 1)], "query string, arm string, doc string, place int")
+        assert {(r["doc"], r["source"]) for r in retrieval.fuse_ranks(lists, window=1).collect()} == {("d", "semantic"), ("e", "keyword")}
+        assert {(r["doc"], r["source"]) for r in retrieval.fuse_ranks(lists).collect()} == {("d", "hybrid"), ("e", "keyword")}
+
     def test_components(self, spark):
         pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
         found = dict(map(tuple, graph_algorithms.components(pairs).collect()))
