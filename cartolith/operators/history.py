@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cartolith.functions import stats
 from cartolith.session import broadcast_if_bounded, cut_lineage
 
+#: Files of a time bucket that one part of its pairs starts from.
+BUCKET_PART = 1000
+
 
 def churn(commits: DataFrame) -> DataFrame:
     """``path, commits, additions, deletions, score``: distinct commits plus a hundredth of the changed lines."""
@@ -81,8 +84,9 @@ def window_cochange(
     """Files of different repositories touched in the same time buckets, with lift, Wilson bound and G squared.
 
     ``touches``: repo, file, ts.  Files in more than ``ubiquity`` of the
-    buckets are left out, as they go with everything.  A bucket is a time span,
-    so that its distinct files bound the pairs.
+    buckets are left out, as they go with everything; files in fewer than
+    ``least`` cannot make a pair.  The pairs of a bucket grow with the square of
+    its distinct files and are found in parts of ``BUCKET_PART`` files against all.
     """
     bucketed = touches.select(
         F.floor(F.unix_timestamp("ts") / window).alias("bucket"), "repo", "file"
@@ -91,10 +95,15 @@ def window_cochange(
     total = bucketed.agg(F.count_distinct("bucket").alias("n"))
     counts = bucketed.groupBy("repo", "file").agg(F.count("*").alias("k")).crossJoin(F.broadcast(total))  # one row
     usual = counts.where(F.col("k") <= ubiquity * F.col("n"))
-    kept = bucketed.join(usual.select("repo", "file"), ["repo", "file"])
-    other = kept.select("bucket", F.col("repo").alias("repo_b"), F.col("file").alias("file_b"))
+    kept = bucketed.join(usual.where(F.col("k") >= least).select("repo", "file"), ["repo", "file"])
+    kept = cut_lineage(kept, "touch-kept")
+    parts = kept.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_PART).cast("int").alias("parts"))
+    kept = kept.join(parts, "bucket")
+    other = kept.select(
+        "bucket", F.col("repo").alias("repo_b"), F.col("file").alias("file_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
     pairs = (
-        kept.join(other, "bucket")
+        kept.withColumn("part", F.pmod(F.xxhash64("repo", "file"), "parts").cast("int")).join(other, ["bucket", "part"])
         .where(F.col("repo") < F.col("repo_b"))
         .groupBy("repo", "file", "repo_b", "file_b")
         .agg(F.count("*").alias("co"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cartolith.operators import history
 from cartolith.operators.snapshots import snapshot_changes
 from cartolith.session import cut_lineage, table
-from cartolith.sources.tables import COMMITS_SQL, ENTRIES_SQL, TOUCHES_SQL, commits, entries, files, touches
+from cartolith.sources.tables import COMMITS_SQL, ENTRIES_SQL, TOUCHES_SQL, all_touches, commits, entries, files, touches
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +47,10 @@ def a13_window_cochange(spark: SparkSession, folder: str) -> DataFrame:
     return history.window_cochange(touches(spark, folder))
 
 
+def a13_window_cochange_all(spark: SparkSession, folder: str) -> DataFrame:
+    return history.window_cochange(all_touches(spark, folder))
+
+
 def a30_reviewers(spark: SparkSession, folder: str) -> DataFrame:
     own = commits(spark, folder)
     pairs = cut_lineage(history.coupled_files(own, limit=None).where(F.col("together") >= 2), "partners")
@@ -83,6 +87,7 @@ QUERIES = {
     "a11_coupled_files": a11_coupled_files,
     "j18_commit_pairs": j18_commit_pairs,
     "a13_window_cochange": a13_window_cochange,
+    "a13_window_cochange_all": a13_window_cochange_all,
     "a30_reviewers": a30_reviewers,
     "a31_file_health": a31_file_health,
     "x16_recent_commits": x16_recent_commits,
@@ -189,3 +194,5 @@ SELECT repo_key, snapshot_id, place::INT AS place FROM (
   SELECT repo_key, snapshot_id, row_number() OVER (PARTITION BY repo_key ORDER BY snapshot_at DESC, snapshot_id DESC) AS place
   FROM (SELECT DISTINCT repo_key, snapshot_id, snapshot_at FROM code_graph_snapshots)) WHERE place <= 5""",
 }
+#: The same with every user as a file of its own.
+SQL["a13_window_cochange_all"] = SQL["a13_window_cochange"].replace("(user_id % 30)", "user_id")

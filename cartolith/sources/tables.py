@@ -107,6 +107,13 @@ def touches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def all_touches(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``touches``, every user a file of its own."""
+    return table(spark, folder, "events").select(
+        F.col("event_type").alias("repo"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), "ts"
+    )
+
+
 TOUCHES_SQL = "touches AS (SELECT event_type AS repo, 'u' || (user_id % 30) AS file, ts FROM events)"
 
 

@@ -122,6 +122,16 @@ class TestGraph:
         assert {(r["doc"], r["source"]) for r in retrieval.fuse_ranks(lists, window=1).collect()} == {("d", "semantic"), ("e", "keyword")}
         assert {(r["doc"], r["source"]) for r in retrieval.fuse_ranks(lists).collect()} == {("d", "hybrid"), ("e", "keyword")}
 
+    def test_bucket_in_parts(self, spark, monkeypatch):
+        monkeypatch.setattr(history, "BUCKET_PART", 3)
+        data = [(r, f"f{k}", dt.datetime(2025, 1, 1, h)) for r in "ab" for k in range(10) for h in range(k % 5 + 1)] + [("c", "z", dt.datetime(2025, 1, 2))]
+        touched = {}
+        for r, f, t in data:
+            touched.setdefault((r, f), set()).add(t)
+        true = {(*a, *b, len(x & y)) for a, x in touched.items() for b, y in touched.items() if a[0] < b[0] and len(x & y) >= 3}
+        found = history.window_cochange(spark.createDataFrame(data, "repo string, file string, ts timestamp"))
+        assert {(r["repo_a"], r["file_a"], r["repo_b"], r["file_b"], r["co"]) for r in found.collect()} == true
+
     def test_components(self, spark):
         pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
         found = dict(map(tuple, graph_algorithms.components(pairs).collect()))
