@@ -9,9 +9,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -19,45 +20,59 @@ from pyspark.sql import functions as F
 
 from cartolith.session import BROADCAST_ROWS, broadcast_if_bounded, cut_lineage, ship_package
 
-#: Labelled files on which the forest is trained, at most; all files are scored.
+#: Labelled files on which the forest is trained, at most, half of them of each label; all files are scored.
 TRAINING_FILES = 20_000
-TREES, DEPTH = 40, 6
-#: Probability from which a file without notice is looked at, and share of a file that makes a copy.
-LEAST_PROBABILITY, LEAST_COPIED = 0.5, 0.5
+TREES, DEPTH = 60, 8
+#: Probability from which the forest's vote counts, and share of a file that makes a copy.
+LEAST_PROBABILITY, LEAST_COPIED = 0.75, 0.5
 #: Words in a shingle.
 SHINGLE = 5
+#: Characters and tokens in a window of the local measures; windows overlap by half.
+WINDOW, TOKENS = 512, 96
+#: Files with a head of their own below which any file without a notice is taken for one written by hand.
+LEAST_HAND = 50
 
 FEATURES = (
     "compression",  # bytes after and before compression
+    "masked_compression",  # the same with all digits alike
+    "least_ratio",  # the best and worst compressed window, digits alike
+    "most_ratio",
     "entropy",  # bits per token
-    "identifier_length",
-    "comment_density",
+    "evenness",  # the entropy as a share of its greatest possible value
+    "least_entropy",  # the lowest and highest entropy of a window
+    "most_entropy",
+    "line_entropy",  # of the shapes of lines, as a share of its greatest possible value
+    "line_variety",  # distinct lines, digits alike, of all lines
     "line_length",
     "longest_share",  # the longest line's share of the code outside strings
-    "literal_share",  # numbers and strings, of all characters but space
-    "line_variety",  # distinct lines, digits masked, of all lines
+    "identifier_length",
+    "short_names",  # share of identifiers of one or two letters
+    "names_share",  # identifiers outside literals, of all characters but space
+    "comment_density",
 )
-#: Further measures, which the forest does not see.
+#: Further measures, which label files that are nothing but data and which the forest does not see.
 CHECKS = (
+    "literal_share",  # numbers and strings, of all characters but space
     "statements",  # words of definitions and control flow outside literals and comments
     "solid",  # characters but space
 )
 
 MEASURES = FEATURES + CHECKS
 
-# Wordings by which tools and copies announce themselves, on comment lines at the head or foot of a file.
+# Wordings by which tools and copies customarily announce themselves on comment lines at the head or foot
+# of a file; a line that names a definition file and little else says what the file was made from.
 TOOL_NOTICE = (
-    r"(?i)code generated by|@generated|auto-?generated(?! method)|generated code\b|automatically (?:produced|generated|created)|"
-    r"automatisch erzeugt|machine[- ](?:written|generated|made)|\bgenerated (?:on build|from|by|with|using)\b|"
-    r"do not (?:modify|edit|change)\b|edits get overwritten|changes will be lost|^\W*source: \S+/\S+\.\w+$|"
-    r"^\W*rev \d+ of \S+/\S+\.\w+$|^\W*input digest [0-9a-f]+\b"
+    r"(?i)\bcode generated by\b|@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|from|by|with|using|on|at)\b|"
+    r"\bgenerated (?:code|file|by|from|with|using|on)\b|\bautomatically (?:produced|generated|created)\b|"
+    r"\b(?:machine|computer)[- ](?:written|generated|made)\b|\bautomatisch (?:erzeugt|generiert|erstellt)\b|"
+    r"\bdo not (?:modify|edit|change)(?: (?:this file|it))?(?: by hand| manually| directly)?\W*$|\bdo not (?:modify|edit|change) this file\b|"
+    r"\bchanges will be (?:lost|overwritten)\b|"
+    r"^\W*(?!see\b)(?:\w+[\s:]+){0,4}\(?[\w./-]+\.(?:proto|idl|graphql|gql|thrift|avsc|ya?ml|json|xsd|wsdl|fbs|capnp|g4)\)?\W*$"
 )
 COPY_NOTICE = (
-    r"(?i)^\W*(?:@license +)?[\w.-]+ v?\d+\.\d+\.\d+(?: +(?:--|\|).*)?\W*$|vendored from|snapshot of \S+@\d|copied verbatim from|"
-    r"upstream owns|third[- ]party, keep in sync|all rights with the|^/\*!"
+    r"(?i)^\W*(?:@license +)?[\w.-]+ v?\d+\.\d+\.\d+(?: +(?:--|\|).*)?\W*$|\bvendored from\b|\bcopied (?:verbatim )?from\b|"
+    r"\b[\w-]+@v?\d+\.\d+\.\d+|\bthird[- ]party\b|^/\*!"
 )
-HAND_NOTICE = r"(?i)written by hand|written anew|edit with care|part of the .+ suite|see notice in the root"
-NOT_A_NOTICE = r"(?i)written by hand|written anew|edit with care"
 
 # Names and folders that tools and package managers use.
 TOOL_PATH = (
@@ -84,6 +99,7 @@ _STATEMENT = re.compile(
 _BLOCK = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''", re.S)
 _LINE_COMMENT = re.compile(r"(?://|#).*")
 _WORD = re.compile(r"\w+")
+_SPACE = re.compile(r"\s+")
 
 
 def head_and_rest(content: str) -> tuple[str, str]:
@@ -116,29 +132,56 @@ def code_and_foot(rest: str) -> tuple[str, str]:
     return "\n".join(lines[:k]), "\n".join(lines[k:])
 
 
+def _bits(counts: Counter) -> float:
+    n = sum(counts.values())
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+
+
+def _even(counts: Counter) -> float:
+    n = sum(counts.values())
+    return _bits(counts) / math.log2(n) if n > 1 else 1.0
+
+
+def _ratio(text: str) -> float:
+    raw = text.encode("utf-8", "replace")
+    return len(zlib.compress(raw, 6)) / len(raw) if raw else 1.0
+
+
 def measure(code: str) -> list[float]:
     """The features and checks of a file's code, which no longer has its head and foot."""
-    raw = code.encode("utf-8", "replace")
-    tokens = Counter(_TOKEN.findall(code))
-    n = sum(tokens.values())
-    entropy = -sum(c / n * math.log2(c / n) for c in tokens.values()) if n else 0.0
-    names = _IDENTIFIER.findall(code)
+    tokens = _TOKEN.findall(code)
+    counts = Counter(tokens)
     without = _BLOCK.sub("", code)
     outside = _LITERAL.sub("", without)
     comments = len(code) - len(without) + sum(map(len, _LINE_COMMENT.findall(outside)))
     solid = len(re.sub(r"\s+", "", code))
+    masked = re.sub(r"\d+", "0", code)
+    windows = [_ratio(masked[k : k + WINDOW]) for k in range(0, max(1, len(masked) - WINDOW // 2), WINDOW // 2)]
+    plain = [re.sub(r"\d+", "0", t) for t in tokens]
+    runs = [_bits(Counter(plain[k : k + TOKENS])) for k in range(0, max(1, len(plain) - TOKENS // 2), TOKENS // 2)]
     lines = [line.strip() for line in code.split("\n") if line.strip()]
-    bare = [_LITERAL.sub("", line) for line in lines]
-    masked = {re.sub(r"\d+", "0", line) for line in lines}
+    bare = [len(_LITERAL.sub("", line)) for line in lines]
+    shapes = Counter(_SPACE.sub(" ", _IDENTIFIER.sub("a", _LITERAL.sub("0", line))) for line in lines)
+    names = [len(x) for x in _IDENTIFIER.findall(outside)]
+    literal = sum(len(x) for x in _LITERAL.findall(without))
     return [
-        len(zlib.compress(raw, 6)) / len(raw) if raw else 1.0,
-        entropy,
-        sum(map(len, names)) / len(names) if names else 0.0,
-        comments / max(1, len(code)),
+        _ratio(code),
+        _ratio(masked),
+        min(windows),
+        max(windows),
+        _bits(counts),
+        _even(counts),
+        min(runs),
+        max(runs),
+        _even(shapes),
+        len({re.sub(r"\d+", "0", line) for line in lines}) / max(1, len(lines)),
         sum(map(len, lines)) / max(1, len(lines)),
-        max(map(len, bare), default=0) / max(1, sum(map(len, bare))),
-        sum(len(x) for x in _LITERAL.findall(without)) / max(1, solid),
-        len(masked) / max(1, len(lines)),
+        max(bare, default=0) / max(1, sum(bare)),
+        sum(names) / max(1, len(names)),
+        sum(n <= 2 for n in names) / max(1, len(names)),
+        sum(names) / max(1, solid),
+        comments / max(1, len(code)),
+        literal / max(1, solid),
         float(len(_STATEMENT.findall(_LINE_COMMENT.sub("", outside)))),
         float(solid),
     ]
@@ -189,7 +232,9 @@ def upstream_shingles(upstream: DataFrame) -> DataFrame:
 
 
 def file_evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """``repo_key, path, empty, tool, copy, hand, shingles, hits, <measures>`` of every file, in one pass over the texts.
+    """``repo_key, path, empty, tool, copy, own, shingles, hits, <measures>`` of every file, in one pass over the texts.
+
+    ``tool`` and ``copy``: the head or foot has such a notice; ``own``: it has comments, and no notice among them.
 
     ``hits`` are the file's shingles that an upstream file has: if the known
     files are few (at most ``BROADCAST_ROWS`` shingles) they are broadcast and
@@ -197,7 +242,7 @@ def file_evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
     """
     some = upstream.select("shingle").distinct().limit(BROADCAST_ROWS + 1).toArrow().column(0).to_numpy()
     known = files.sparkSession.sparkContext.broadcast(np.sort(some) if len(some) <= BROADCAST_ROWS else None)
-    tool, copy, hand, other = (re.compile(p, re.M) for p in (TOOL_NOTICE, COPY_NOTICE, HAND_NOTICE, NOT_A_NOTICE))
+    tool, copy = (re.compile(p, re.M) for p in (TOOL_NOTICE, COPY_NOTICE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = known.value
@@ -209,7 +254,8 @@ def file_evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
                 banner = code.startswith("/*!")
                 code, foot = code_and_foot(code)
                 ends = f"{head}\n{foot}"
-                lines = [x for x in ends.split("\n") if not other.search(x)]
+                said = marked or bool(tool.search(ends))
+                copied = banner or bool(copy.search(ends))
                 hashes = shingle_hashes(content or "")
                 hits = hashes
                 if at is not None:
@@ -217,9 +263,9 @@ def file_evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
                 rows.append(
                     (
                         not (content or "").strip(),
-                        marked or any(map(tool.search, lines)),
-                        any(map(copy.search, lines)) or banner,
-                        bool(hand.search(ends)),
+                        said,
+                        copied,
+                        bool(ends.strip()) and not said and not copied,
                         len(hashes),
                         hits,
                         *measure(re.sub(r"^/\*!.*?\*/|(?://|#)# sourceMappingURL=.*", "", code, flags=re.S)),
@@ -229,10 +275,10 @@ def file_evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
             kinds = [pa.bool_()] * 4 + [pa.int64(), pa.list_(pa.int64())] + [pa.float64()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                ["repo_key", "path", "empty", "tool", "copy", "hand", "shingles", "hits", *MEASURES],
+                ["repo_key", "path", "empty", "tool", "copy", "own", "shingles", "hits", *MEASURES],
             )
 
-    schema = "repo_key string, path string, empty boolean, tool boolean, copy boolean, hand boolean, shingles bigint, hits array<bigint>"
+    schema = "repo_key string, path string, empty boolean, tool boolean, copy boolean, own boolean, shingles bigint, hits array<bigint>"
     return files.mapInArrow(run, schema + "".join(f", {f} double" for f in MEASURES))
 
 
@@ -244,46 +290,75 @@ def copied_share(evidence: DataFrame, upstream: DataFrame) -> DataFrame:
     return by_file.groupBy("repo_key", "path").agg(F.max(F.col("n") / F.col("shingles")).alias("copied"))
 
 
-def scored(evidence: DataFrame) -> DataFrame:
-    """Add ``probability``: a random forest's vote on the features alone.
+def _nothing_but_data() -> Column:
+    return (F.col("literal_share") >= 0.7) & (F.col("statements") == 0) & (F.col("solid") >= 400)
 
-    It is trained on at most ``TRAINING_FILES`` files that their head or foot labels:
-    a tool's notice against a notice of the repository's own.  Heads and feet are
-    cut off before the features are taken.  With labels of one kind only the
-    probability is null.
+
+def labelled_files(evidence: DataFrame) -> DataFrame:
+    """``repo_key, path, label, <features>``: what the forest may learn from.
+
+    Label 1: a tool's notice in head or foot, or nothing but data (literals
+    make up ``literal_share`` 0.7 of at least 400 characters and nothing is
+    defined or done outside them), as data hardly ever has a notice.  Label 0:
+    head or foot has comments, none of them a notice; if fewer than
+    ``LEAST_HAND`` files do, any file without a notice.  What labels a file is
+    none of its features: heads and feet are cut off, the checks left out.
+    """
+    data = _nothing_but_data()
+    made = F.col("tool") | data
+    silent = ~F.col("tool") & ~F.col("copy") & ~data
+    own = evidence.where(~F.col("empty") & silent & F.col("own")).limit(LEAST_HAND).count() == LEAST_HAND
+    hand = silent & F.col("own") if own else silent
+    label = F.when(made, 1.0).when(hand, 0.0)
+    return evidence.where(~F.col("empty") & label.isNotNull()).select("repo_key", "path", label.alias("label"), *FEATURES)
+
+
+def train_forest(labelled: DataFrame, most: int = TRAINING_FILES) -> RandomForestClassificationModel | None:
+    """A random forest on ``labelled_files``; null if there are labels of one kind only.
+
+    Of each label the ``most`` / 2 files with the least hash of repository and
+    path are taken, sorted, in one partition, so that neither the order of the
+    rows nor their partitions change the trees.
     """
-    labelled = evidence.where(~F.col("empty") & (F.col("tool") | (F.col("hand") & ~F.col("copy"))))
-    labelled = labelled.select(F.col("tool").cast("double").alias("label"), *FEATURES)
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("repo_key", "path")
+    parts = [labelled.where(F.col("label") == x).orderBy(key, "repo_key", "path").limit(most // 2) for x in (0.0, 1.0)]
+    sample = pd.concat([p.toPandas() for p in parts], ignore_index=True)
+    counts = sample["label"].value_counts()
     if len(counts) < 2:
-        return evidence.withColumn("probability", F.lit(None).cast("double"))
-    share = min(1.0, TRAINING_FILES / sum(counts.values()))
-    if share < 1:
-        labelled = labelled.sample(fraction=share, seed=5)
-    weight = F.when(F.col("label") == 1, sum(counts.values()) / (2 * counts[1.0])).otherwise(
-        sum(counts.values()) / (2 * counts[0.0])
-    )
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
+        return None
+    sample["weight"] = len(sample) / 2 / sample["label"].map(counts)
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=3,
         featureSubsetStrategy="sqrt", subsamplingRate=0.8, minInstancesPerNode=3,
     )
-    model = forest.fit(vector.transform(labelled.withColumn("weight", weight)))
-    return model.transform(vector.transform(evidence)).withColumn(
-        "probability", vector_to_array("probability")[1]
-    ).drop("features", "rawPrediction", "prediction")
+    rows = labelled.sparkSession.createDataFrame(sample[["label", "weight", *FEATURES]]).coalesce(1)
+    return forest.fit(_vectors(rows))
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(rows)
+
+
+def scored(evidence: DataFrame) -> DataFrame:
+    """Add ``probability``: the vote of a forest trained on the labelled among these files; null without labels of both kinds."""
+    model = train_forest(labelled_files(evidence))
+    if model is None:
+        return evidence.withColumn("probability", F.lit(None).cast("double"))
+    return model.transform(_vectors(evidence)).withColumn("probability", vector_to_array("probability")[1]).drop(
+        "features", "rawPrediction", "prediction"
+    )
 
 
 def not_written_by_hand(symbols: DataFrame, files: DataFrame, upstream: DataFrame) -> DataFrame:
     """``repo_key, file_path, reason`` of each file named in ``symbols`` that was not written for its repository.
 
-    Reasons, of which the first that holds is given: ``notice`` (its head or foot says
-    that a tool wrote it or that it is a copy), ``copy`` (most of its shingles
-    of five words are those of one upstream file), ``forest`` (the random
-    forest votes for it, and it is indeed minified, nothing but data, or one
-    pattern of lines over and over), ``data`` (nearly all of it is literals and nothing is
-    defined or done outside them; notices do not say so, so that the forest has
-    no such label to learn from), ``path`` (a name or folder that tools or package managers use).
+    The random forest decides first, on what the code looks like (reason
+    ``forest``).  Ordinary code can be somebody else's all the same; what then
+    shows it is outside the code's looks: ``notice`` (head or foot declare a
+    tool or an origin), ``copy`` (most of its shingles of five words are those
+    of one upstream file), ``data`` (by the rule that labels data, where a
+    collection is too small for the forest to have learnt it), ``path`` (a name
+    or folder that tools or package managers use).
 
     Defined cases: a file without content goes by its path, as does one whose
     rows are all null; repeated rows and several spellings of a path count
@@ -301,15 +376,11 @@ def not_written_by_hand(symbols: DataFrame, files: DataFrame, upstream: DataFram
     known = cut_lineage(upstream_shingles(upstream), "upstream-shingles")
     evidence = cut_lineage(file_evidence(current_files(files), known), "file-evidence")
     judged = scored(evidence).join(copied_share(evidence, known), ["repo_key", "path"], "left")
-    minified = (F.col("line_length") >= 200) | (F.col("longest_share") >= 0.3) & (F.col("line_length") >= 100)
-    literal = (F.col("literal_share") >= 0.75) & (F.col("statements") == 0)
-    data = (F.col("literal_share") >= 0.7) & (F.col("statements") == 0) & (F.col("solid") >= 400)
-    repeated = F.col("line_variety") <= 0.5
     reason = (
-        F.when(F.col("tool") | F.col("copy"), "notice")
+        F.when((F.col("probability") >= LEAST_PROBABILITY) & ~F.col("empty"), "forest")
+        .when(F.col("tool") | F.col("copy"), "notice")
         .when(F.col("copied") >= LEAST_COPIED, "copy")
-        .when((F.col("probability") >= LEAST_PROBABILITY) & ~F.col("empty") & (minified | literal | repeated), "forest")
-        .when(data, "data")
+        .when(_nothing_but_data() & ~F.col("empty"), "data")
     )
     judged = judged.select(
         F.col("repo_key").alias("_repo"), "path", "empty", reason.alias("reason")

@@ -10,6 +10,7 @@ import pytest
 from compare import connect, differences
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cartolith.llm import bpe, canonical, docpairs, generated, neighbors, packing, queries, ranking, readability
@@ -355,6 +356,16 @@ class TestGenerated:
         known = spark.createDataFrame([], "upstream_id bigint, shingle bigint")
         evidence = generated.file_evidence(spark.createDataFrame(files), known).cache()
         train, held = evidence.where("path < 'f5'"), evidence.where("path >= 'f5'").withColumn("was", F.col("tool"))
-        blind = generated.scored(train.unionByName(held.drop("was").withColumns({"tool": F.lit(False), "hand": F.lit(False)})))
-        judged = blind.join(held.select("path", "was"), "path").where((F.col("probability") >= 0.5) == F.col("was")).count()
-        assert judged / held.count() >= 0.95
+        model = generated.train_forest(generated.labelled_files(train))
+        votes = model.transform(generated._vectors(held)).select("path", "was", vector_to_array("probability")[1].alias("p")).toPandas()
+        assert ((votes["p"] >= generated.LEAST_PROBABILITY) == votes["was"]).mean() >= 0.95
+        again = generated.train_forest(generated.labelled_files(train.orderBy(F.desc("path")).repartition(7)))
+        trees = [m.toDebugString.split("\n", 1)[1] for m in (model, again)]
+        assert trees[0] == trees[1]
+
+    def test_labels_of_one_kind(self, spark):
+        known = spark.createDataFrame([], "upstream_id bigint, shingle bigint")
+        files = spark.createDataFrame([("r", f"f{k}", self.code) for k in range(9)], "repo_key string, path string, content string")
+        scored = generated.scored(generated.file_evidence(files, known))
+        assert scored.where("probability IS NULL").count() == 9
+        assert generated.scored(generated.file_evidence(files.limit(0), known)).count() == 0
