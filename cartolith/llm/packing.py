@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +14,9 @@ from cartolith.session import cut_lineage, ship_package
 
 #: Items that one task packs together; each such lot leaves at most one badly filled container.
 LOT = 20_000
-#: Cost of a container besides its capacity, in units of capacity; weighs few large against many small ones.
-OVERHEAD = 8
+#: Costs of a container besides its capacity that are tried for each lot, in units of capacity; the first weighs unused
+#: room alone, the last opens the largest container whatever it leaves unused.
+OVERHEADS = (0.0, 16.0, 256.0, float("inf"))
 
 
 class _Room:
@@ -39,40 +41,84 @@ class _Room:
         return container, room
 
 
-def opening_size(size: int, waiting: int, permitted: list[int]) -> int:
-    """The permitted capacity that costs least for each unit it can be expected to hold.
+class _Waiting:
+    """Sizes of the items not yet placed, with their numbers."""
 
-    ``size`` is the item that needs a container, ``waiting`` the total of all
-    items not yet placed, this one included.
-    """
-    return min(
-        (c for c in permitted if c >= size), key=lambda c: ((c + OVERHEAD) / max(1, min(c, waiting)), c)
-    )
+    def __init__(self, sizes: list[int]) -> None:
+        self.number = Counter(s for s in sizes if s > 0)
+        self.bits = sum(1 << s for s in self.number)
 
+    def take(self, size: int) -> None:
+        if size > 0:
+            self.number[size] -= 1
+            if not self.number[size]:
+                del self.number[size]
+                self.bits ^= 1 << size
 
-def pack(sizes: list[int], permitted: list[int]) -> tuple[list[int], dict[int, int]]:
-    """Best fit over several permitted capacities: (container of each item, capacity of each container).
+    def leftover(self, room: int) -> int:
+        """What of ``room`` stays unused if the largest waiting items that fit are put in, one size after the other."""
+        bits = self.bits
+        while room and (fit := bits & ((2 << room) - 1)):
+            size = fit.bit_length() - 1
+            room -= size * min(self.number[size], room // size)
+            bits ^= 1 << size
+        return room
 
-    Items are taken from the longest to the shortest (ties in the given
-    order).  Each goes into the open container with the least room that holds
-    it; if there is none, the least-cost capacity is opened.  At the end each
-    container is made as small as its contents permit.  Sizes must not exceed
-    the largest capacity.
+
+def opening_size(size: int, waiting: _Waiting, permitted: list[int], overhead: float) -> int:
+    """The permitted capacity of least cost for each unit that it is expected to hold, of equals the smallest.
+
+    ``size`` is the item that needs a container; what else the container can
+    be expected to hold follows from the sizes that are still waiting.
     """
-    permitted = sorted(set(permitted))
-    room, filled, where, waiting = _Room(), [], [0] * len(sizes), sum(sizes)
+    fitting = [c for c in permitted if c >= size]
+    if overhead == float("inf"):
+        return fitting[-1]
+
+    def cost(capacity: int) -> float:
+        return (capacity + overhead) / max(1, capacity - waiting.leftover(capacity - size))
+
+    return min(fitting, key=lambda c: (cost(c), c))
+
+
+def pack_by(sizes: list[int], permitted: list[int], overhead: float) -> tuple[list[int], list[int]]:
+    """Best fit with one overhead: (container of each item, what each container holds)."""
+    room, filled, where, waiting = _Room(), [], [0] * len(sizes), _Waiting(sizes)
     for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
         size = sizes[k]
+        waiting.take(size)
         found = room.tightest(size)
         if found is None:
-            found = len(filled), opening_size(size, waiting, permitted)
+            found = len(filled), opening_size(size, waiting, permitted, overhead)
             filled.append(0)
         container, left = found
         room.put(container, left - size)
         filled[container] += size
         where[k] = container
-        waiting -= size
-    return where, {c: next(p for p in permitted if p >= used) for c, used in enumerate(filled)}
+    return where, filled
+
+
+def pack(sizes: list[int], permitted: list[int]) -> tuple[list[int], dict[int, int]]:
+    """Best fit over several permitted capacities: (container of each item, capacity of each container).
+
+    Items are taken from the longest to the shortest (ties in the given
+    order).  Each goes into the open container with the least room that holds
+    it; if there is none, the capacity of least cost is opened.  At the end
+    each container is made as small as its contents permit.  This is done for
+    each of ``OVERHEADS``, and the result with the least room is kept (of
+    equals the one with fewer containers), so that it never takes more room
+    than opening the largest container always would.  Sizes must not exceed
+    the largest capacity.
+    """
+    permitted = sorted(set(permitted))
+    best = None
+    for overhead in OVERHEADS if len(permitted) > 1 else OVERHEADS[-1:]:
+        where, filled = pack_by(sizes, permitted, overhead)
+        capacity = {c: next(p for p in permitted if p >= used) for c, used in enumerate(filled)}
+        cost = sum(capacity.values()), len(capacity)
+        if best is None or cost < best[0]:
+            best = cost, where, capacity
+    return best[1], best[2]
 
 
 def fill_containers(items: DataFrame, packs: DataFrame, item: str = "doc_id", size: str = "n_tokens") -> DataFrame:
@@ -158,6 +204,36 @@ def fill_containers(items: DataFrame, packs: DataFrame, item: str = "doc_id", si
     return whole.unionByName(mixed)
 
 
+def container_report(containers: DataFrame, items: DataFrame, packs: DataFrame, item: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """What must hold of the containers of every pack, one row each.
+
+    ``pack_name, items`` (with an id), ``missing`` (not placed, or not in
+    full), ``repeated`` (more than their size placed), ``split`` (in pieces
+    though no larger than the capacity), ``overfull`` (containers that hold
+    more than their capacity), ``room`` and ``used``.
+    """
+    sized = items.where(F.col(item).isNotNull()).groupBy(item).agg(
+        F.sum(F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))).alias("size"), F.count("*").alias("times")
+    )
+    kinds = packs.where(F.col("capacity") >= 1).groupBy("pack_name").agg(F.max("capacity")).collect()  # a table of parameters
+    own = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity")) for n, c in kinds])
+    placed = containers.groupBy("pack_name", item).agg(F.sum("length").alias("placed"), F.count("*").alias("pieces"))
+    wanted = sized.select("*", F.inline(own)).join(placed, ["pack_name", item], "left")
+    by_item = wanted.groupBy("pack_name").agg(
+        F.count("*").alias("items"),
+        F.count_if(F.col("placed").isNull() | (F.col("placed") < F.col("size"))).alias("missing"),
+        F.count_if(F.col("placed") > F.col("size")).alias("repeated"),
+        F.count_if((F.col("size") <= F.col("capacity")) & (F.col("pieces") > F.col("times"))).alias("split"),
+    )
+    held = containers.groupBy("pack_name", "container_id", "container_capacity").agg(F.sum("length").alias("held"))
+    by_container = held.groupBy("pack_name").agg(
+        F.count_if(F.col("held") > F.col("container_capacity")).alias("overfull"),
+        F.sum("container_capacity").alias("room"),
+        F.sum("held").alias("used"),
+    )
+    return by_item.join(by_container, "pack_name", "left")
+
+
 def pack_documents(
     documents: DataFrame, packs: DataFrame, text: str = "text", folder: str = VOCABULARIES
 ) -> DataFrame:

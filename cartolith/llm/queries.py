@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm import bpe, canonical, docpairs, generated, neighbors, packing, ranking, readability
-from cartolith.session import table
+from cartolith.session import cut_lineage, table
 
 
 def p1_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,15 +45,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    """Every hypothesis with its closeness to the ideal point and its place in its investigation; ties by id, as its SQL says."""
-    scored = ranking.investigation_scores(
-        table(spark, folder, "hypotheses"), table(spark, folder, "research_scores")
-    )
-    return ranking.ranked(scored.drop("unclipped"), "investigation_id", "hyp_id")
-
-
-def p3_places(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``p3_ranking``, ties by the values before winsorising, then by id."""
+    """Every hypothesis with its closeness to the ideal point and its place in its investigation."""
     scored = ranking.investigation_scores(
         table(spark, folder, "hypotheses"), table(spark, folder, "research_scores")
     )
@@ -93,6 +86,21 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
 
 
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every pack: documents, and how many are missing, placed twice or split for no reason, and overfull containers."""
+    documents, packs = table(spark, folder, "documents"), table(spark, folder, "pack_sizes")
+    containers = cut_lineage(packing.pack_documents(documents, packs), "containers")
+    reports = [
+        packing.container_report(
+            containers,
+            cut_lineage(bpe.encode_documents(documents, tokenizer=r["tokenizer"], counts_only=True), "token-counts"),
+            packs.where(F.col("tokenizer") == r["tokenizer"]),
+        )
+        for r in packs.select("tokenizer").where("tokenizer IS NOT NULL").distinct().orderBy("tokenizer").collect()
+    ]
+    return reduce(DataFrame.unionByName, reports).select("pack_name", "items", "missing", "repeated", "split", "overfull")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Band of reading level of every document with enough English prose."""
     levels = readability.reading_levels(table(spark, folder, "documents"))
@@ -111,13 +119,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
-    "p3_places": p3_places,
     "p4_found": p4_found,
     "p4_neighbors": p4_neighbors,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p8_invariants": p8_invariants,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
 }
@@ -156,24 +164,29 @@ long AS (
                unnest([l.span_count::DOUBLE, l.anomaly_score, f.fused_score]) AS v
         FROM latest l LEFT JOIN fused f USING (investigation_id, rel_path))),
 bounds AS (
-  SELECT investigation_id, k, quantile_disc(v, 0.05) AS lo, quantile_disc(v, 0.95) AS hi, min(v) AS least
+  SELECT investigation_id, k, quantile_disc(v, 0.05) AS lo, quantile_disc(v, 0.95) AS hi, min(v) AS least, max(v) AS most
   FROM long GROUP BY ALL),
 drawn AS (
-  SELECT investigation_id, hyp_id, k, coalesce(greatest(least(coalesce(v, least), hi), lo) - lo, 0) AS v
+  SELECT investigation_id, hyp_id, k, coalesce(greatest(least(coalesce(v, least), hi), lo) - lo, 0) AS v,
+         CASE WHEN most > least THEN (coalesce(v, least) - least) / (most - least) END AS share
   FROM long JOIN bounds USING (investigation_id, k)),
+normed AS (
+  SELECT *, v / nullif(sqrt(sum(v * v) OVER w), 0) AS u FROM drawn WINDOW w AS (PARTITION BY investigation_id, k)),
 ends AS (
-  SELECT investigation_id, k, sqrt(sum(v * v)) AS norm, max(v) AS hi, min(v) AS lo FROM drawn GROUP BY ALL),
+  SELECT investigation_id, k, var_pop(u) AS variance, max(u) AS hi, min(u) AS lo FROM normed GROUP BY ALL),
 distances AS (
   SELECT investigation_id, hyp_id,
-         sqrt(sum(CASE WHEN hi > lo THEN ((hi - v) / norm / ((hi - lo) / norm)) ** 2 ELSE 0 END)) AS to_ideal,
-         sqrt(sum(CASE WHEN hi > lo THEN ((lo - v) / norm / ((hi - lo) / norm)) ** 2 ELSE 0 END)) AS to_anti
-  FROM drawn JOIN ends USING (investigation_id, k) GROUP BY ALL),
+         sqrt(sum(CASE WHEN hi > lo THEN ((hi - u) / variance) ** 2 ELSE 0 END)) AS to_ideal,
+         sqrt(sum(CASE WHEN hi > lo THEN ((u - lo) / variance) ** 2 ELSE 0 END)) AS to_anti,
+         sqrt(sum(coalesce((1 - share) ** 2, 0))) AS as_is_ideal, sqrt(sum(coalesce(share ** 2, 0))) AS as_is_anti
+  FROM normed JOIN ends USING (investigation_id, k) GROUP BY ALL),
 scored AS (
   SELECT investigation_id, hyp_id,
-         CASE WHEN to_ideal + to_anti > 0 THEN to_anti / (to_ideal + to_anti) ELSE 0.5 END AS closeness
+         CASE WHEN to_ideal + to_anti > 0 THEN to_anti / (to_ideal + to_anti) ELSE 0.5 END AS closeness,
+         CASE WHEN as_is_ideal + as_is_anti > 0 THEN as_is_anti / (as_is_ideal + as_is_anti) ELSE 0.5 END AS as_is
   FROM distances),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY round(closeness, 9) DESC, hyp_id) AS place FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY round(closeness, 9) DESC, round(as_is, 9) DESC, hyp_id) AS place FROM scored)
 """
 
 _PAIRS = """
@@ -194,6 +207,9 @@ ranked AS (
 """
 
 SQL = {
+    "p8_invariants": """
+        SELECT pack_name, count(*) AS items, 0::BIGINT AS missing, 0::BIGINT AS repeated, 0::BIGINT AS split, 0::BIGINT AS overfull
+        FROM pack_sizes, documents WHERE doc_id IS NOT NULL GROUP BY pack_name""",
     "p4_found": _PAIRS
     + "SELECT DISTINCT least(q, d) AS vec_id_a, greatest(q, d) AS vec_id_b FROM ranked WHERE place <= 5",
     "p2_found": _COPIES + "SELECT first_id, entry_id FROM grouped WHERE entry_id <> first_id",

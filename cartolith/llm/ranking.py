@@ -8,10 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartolith.session import BROADCAST_ROWS, cut_lineage
+
 #: Values beyond these quantiles of their group are drawn in to them.
 WINSOR = (0.05, 0.95)
-#: Parts into which the rows of one group are split wherever a group is joined or ranked.
-SALTS = 64
+#: Values up to which the quantile sketch of a group is exact, and the sketch's error of rank beyond.
+EXACT, ERROR = 4_000, 1 / 10_000
+#: Items from which a group is hot; the rows of hot groups are joined in so many parts.
+HOT, SALTS = 100_000, 64
 #: Steps into which closeness is cut to rank a large group by several tasks.
 STEPS = 4096
 
@@ -21,9 +25,65 @@ def _usable(column: str) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf")), value)
 
 
-def _spread(stats: DataFrame) -> DataFrame:
-    """Each group's one row once per salt, to join a hot group in parts."""
-    return stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """``rows`` with their group's one row of ``stats`` (``g``, ``n`` items and more); hot groups meet in parts.
+
+    Few hot groups are broadcast by name to salt their rows; if there are more
+    than ``BROADCAST_ROWS`` of them every row is salted.
+    """
+    hot = stats.where(F.col("n") >= HOT).select("g", F.lit(True).alias("_hot"))
+    number = hot.limit(BROADCAST_ROWS + 1).count()
+    if number == 0:
+        return rows.join(stats, "g")
+    salt = F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")
+    if number <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(hot), "g", "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+        last = F.when(F.col("n") >= HOT, SALTS - 1).otherwise(0)
+    else:
+        rows, last = rows.withColumn("_salt", salt), F.lit(SALTS - 1)
+    return rows.join(stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))), ["g", "_salt"]).drop("_salt")
+
+
+def exact_quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """``g, n`` and per column ``<c>_q`` (the discrete quantiles ``shares``), ``<c>_min``, ``<c>_max`` of each group ``g``.
+
+    The quantile of share p is the value of rank ceil(p * values).  A sketch
+    holds small groups whole.  In larger ones it gives two values that enclose
+    each quantile; the rows below are counted, those between are summed by
+    value, and the few distinct values left are gone through in order: nothing
+    holds a group in one task, and the result is exact.
+    """
+    around = [max(0.0, min(1.0, p + d * 2 * ERROR)) for p in shares for d in (-1, 0, 1)]
+    stats = rows.groupBy("g").agg(
+        F.count("*").alias("n"),
+        *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (("n", F.count), ("min", F.min), ("max", F.max))],
+        *[F.percentile_approx(c, around, int(1 / ERROR)).alias(f"{c}_s") for c in columns],
+    )
+    stats = cut_lineage(stats, "quantile-sketches")
+    plain = [
+        F.array(*[F.col(f"{c}_s")[3 * j + 1] for j in range(len(shares))]).alias(f"{c}_q") for c in columns
+    ]
+    ends = [x for c in columns for x in (f"{c}_min", f"{c}_max")]
+    large = reduce(lambda a, b: a | b, [F.col(f"{c}_n") > EXACT for c in columns])
+    small = stats.where(~large).select("g", "n", *plain, *ends)
+    large_groups = stats.where(large)
+    if large_groups.isEmpty():
+        return small
+    met = _with_stats(rows, large_groups)
+    cells = F.array(*[
+        F.struct(
+            F.lit(c).alias("c"), F.lit(j).alias("j"), F.col(c).alias("v"), F.col(f"{c}_s")[3 * j].alias("lo"),
+            F.col(f"{c}_s")[3 * j + 2].alias("hi"), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col(f"{c}_n"))).alias("rank"),
+        )
+        for c in columns for j, p in enumerate(shares)
+    ])
+    inside = met.select("g", F.inline(cells)).where(F.col("v").isNotNull() & (F.col("v") <= F.col("hi")))
+    counted = inside.groupBy("g", "c", "j", "rank", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("k"))
+    ordered = Window.partitionBy("g", "c", "j").orderBy(F.asc_nulls_first("v"))
+    reached = counted.withColumn("upto", F.sum("k").over(ordered)).where("upto >= rank")
+    found = reached.groupBy("g").pivot("c", list(columns)).agg(*[F.min(F.when(F.col("j") == j, F.col("v"))).alias(f"q{j}") for j in range(len(shares))])
+    exact = [F.array(*[F.col(f"{c}_q{j}") for j in range(len(shares))]).alias(f"{c}_q") for c in columns]
+    return small.unionByName(large_groups.join(found, "g").select("g", "n", *exact, *ends))
 
 
 def ideal_point_scores(
@@ -40,9 +100,10 @@ def ideal_point_scores(
     Within a group each score is winsorised at the quantiles ``winsor`` and
     counted from its lowest value, then divided by its Euclidean norm.  The
     ideal point has the highest, the anti-ideal point the lowest value of every
-    score.  Distances to both are weighted by ``say`` over the spread of the
-    normalised score, so that no score wins by its range; closeness is the
-    distance to the anti-ideal point over the sum of both, to nine decimals.
+    score.  Distances to both are weighted by ``say`` over the variance of the
+    normalised score, so that a score gains nothing from its range nor from
+    being spread wider than the others; closeness is the distance to the
+    anti-ideal point over the sum of both, to nine decimals.
     Winsorising draws the best items of a large group to one value; with
     ``ties`` a column ``unclipped`` has the closeness of the values as they
     are, by which ``first_places`` and ``ranked`` order items of equal closeness.
@@ -50,9 +111,9 @@ def ideal_point_scores(
     A missing score (null, NaN, infinite or negative) is the lowest of its
     group.  A score that is the same or missing throughout a group has no say
     in it; if that holds for all scores, closeness is 0.5.  Rows with a null
-    group or item are left out.  Every aggregate is combined before the
-    shuffle, and joins back to the rows are salted, so that a group may hold
-    any share of the rows.
+    group or item are left out.  Quantiles are exact at every size; every
+    aggregate is combined before the shuffle, and hot groups meet their
+    statistics in salted parts, so that a group may hold any share of the rows.
     """
     say = list(say or [1.0] * len(scores))
     n = range(len(scores))
@@ -61,13 +122,8 @@ def ideal_point_scores(
         F.col(item).alias("i"),
         *[_usable(s).alias(f"s{k}") for k, s in enumerate(scores)],
     ).where(F.col("g").isNotNull() & F.col("i").isNotNull())
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
-
-    bounds = rows.groupBy("g").agg(
-        *[F.percentile_approx(f"s{k}", list(winsor), 10000).alias(f"q{k}") for k in n],
-        *[F.min(f"s{k}").alias(f"m{k}") for k in n],
-        *[F.max(f"s{k}").alias(f"x{k}") for k in n if ties],
-    )
+    rows = cut_lineage(rows, "scores")
+    bounds = cut_lineage(exact_quantiles(rows, [f"s{k}" for k in n], winsor), "score-bounds")
 
     def closeness(to_ideal: Column, to_anti: Column) -> Column:
         return F.round(F.when(to_ideal + to_anti > 0, to_anti / (to_ideal + to_anti)).otherwise(0.5), 9)
@@ -75,38 +131,35 @@ def ideal_point_scores(
     def unclipped() -> Column:
         best, worst = [], []
         for k in n:
-            share = (F.coalesce(f"s{k}", f"m{k}") - F.col(f"m{k}")) / (F.col(f"x{k}") - F.col(f"m{k}"))
+            low, high = F.col(f"s{k}_min"), F.col(f"s{k}_max")
+            share = (F.coalesce(f"s{k}", low) - low) / (high - low)
             for parts, gap in ((best, 1 - share), (worst, share)):
                 gap = gap * F.lit(say[k])
-                parts.append(F.when(F.col(f"x{k}") > F.col(f"m{k}"), gap * gap).otherwise(0.0))
+                parts.append(F.when(high > low, gap * gap).otherwise(0.0))
         return closeness(*[F.sqrt(reduce(lambda a, b: a + b, parts)) for parts in (best, worst)])
 
-    drawn = rows.join(_spread(bounds), ["g", "_salt"]).select(
-        "g",
-        "i",
-        "_salt",
-        *[
-            F.coalesce(
-                F.greatest(F.least(F.coalesce(f"s{k}", f"m{k}"), F.col(f"q{k}")[1]), F.col(f"q{k}")[0])
-                - F.col(f"q{k}")[0],
-                F.lit(0.0),
-            ).alias(f"v{k}")
-            for k in n
-        ],
-        *([unclipped().alias("unclipped")] if ties else []),
+    def winsorised(k: int) -> Column:
+        low, high = F.col(f"s{k}_q")[0], F.col(f"s{k}_q")[1]
+        return F.coalesce(F.greatest(F.least(F.coalesce(f"s{k}", f"s{k}_min"), high), low) - low, F.lit(0.0))
+
+    drawn = _with_stats(rows, bounds).select(
+        "g", "i", *[winsorised(k).alias(f"v{k}") for k in n], *([unclipped().alias("unclipped")] if ties else [])
     )
-    norms = drawn.groupBy("g").agg(
+    moments = drawn.groupBy("g").agg(
+        F.count("*").alias("n"),
         *[F.sqrt(F.sum(F.col(f"v{k}") * F.col(f"v{k}"))).alias(f"n{k}") for k in n],
+        *[F.var_pop(f"v{k}").alias(f"d{k}") for k in n],
         *[F.max(f"v{k}").alias(f"hi{k}") for k in n],
         *[F.min(f"v{k}").alias(f"lo{k}") for k in n],
     )
-    scaled = drawn.join(_spread(norms), ["g", "_salt"])
+    scaled = _with_stats(drawn, cut_lineage(moments, "score-moments"))
 
     def distance(end: str) -> Column:
         parts = []
         for k in n:
-            spread = (F.col(f"hi{k}") - F.col(f"lo{k}")) / F.col(f"n{k}")
-            gap = (F.col(f"{end}{k}") - F.col(f"v{k}")) / F.col(f"n{k}") * F.lit(say[k]) / spread
+            norm = F.col(f"n{k}")
+            variance = F.col(f"d{k}") / (norm * norm)
+            gap = (F.col(f"{end}{k}") - F.col(f"v{k}")) / norm * F.lit(say[k]) / variance
             parts.append(F.when(F.col(f"hi{k}") > F.col(f"lo{k}"), gap * gap).otherwise(0.0))
         return F.sqrt(reduce(lambda a, b: a + b, parts))
 

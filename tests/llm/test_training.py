@@ -95,6 +95,29 @@ class TestRanking:
         assert rows(ranking.first_places(scored, "investigation_id", "hyp_id")) == [(1, n - 1)]
         assert [r["hyp_id"] for r in ranking.ranked(scored, "investigation_id", "hyp_id").where("place = 1").collect()] == [n - 1]
 
+    def test_exact_quantiles_of_large_groups(self, spark, monkeypatch):
+        monkeypatch.setattr(ranking, "EXACT", 10)
+        monkeypatch.setattr(ranking, "ERROR", 1 / 40)
+        monkeypatch.setattr(ranking, "HOT", 500)
+        df = spark.range(3000).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"), F.col("id").alias("i"),
+            F.when(F.col("id") % 7 > 0, F.xxhash64("id") % 1000 / 10).alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+        )
+        found = {r["g"]: (r["n"], r["a_q"], r["b_q"]) for r in ranking.exact_quantiles(df, ["a", "b"], (0.05, 0.95)).collect()}
+        values = df.toPandas()
+        assert set(found) == set(values.g)
+        for g, own in values.groupby("g"):
+            for c, q in (("a", 1), ("b", 2)):
+                v = np.sort(own[c].dropna().to_numpy())
+                assert found[g][q] == [v[max(1, math.ceil(p * len(v))) - 1] for p in (0.05, 0.95)], (g, c)
+            assert found[g][0] == len(own)
+
+    def test_the_norm_counts(self, spark):
+        df = spark.range(200).select(F.lit("g").alias("g"), "id", (F.col("id") % 17).alias("a"), (1000 + F.col("id") % 23).alias("b"), F.pow(F.col("id") % 11, 3.0).alias("c"))
+        plain = ranking.ranked(ranking.ideal_point_scores(df, "g", "id", ["a", "b", "c"]), "g", "id")
+        larger = df.withColumn("c", F.col("c") * 1000)
+        assert rows(plain) == rows(ranking.ranked(ranking.ideal_point_scores(larger, "g", "id", ["a", "b", "c"]), "g", "id"))
+
     def test_paths(self, spark):
         df = spark.createDataFrame([("./a\\b.go", "r"), ("/srv/checkouts/r/a/b.go", "r"), ("a/b.go", "r"), (None, "r"), ("a", None)], "f string, r string")
         assert [x[0] for x in df.select(ranking.clean_path(F.col("f"), F.col("r"))).collect()] == ["a/b.go"] * 3 + [None, "a"]
@@ -247,7 +270,8 @@ class TestPacking:
             used[container] = used.get(container, 0) + size
         assert all(used[c] <= capacity[c] for c in used)
         assert all(capacity[c] == min(p for p in (25, 50, 100) if p >= used[c]) for c in used)
-        assert len(used) <= 2 * math.ceil(sum(sizes) / 100) + 1
+        largest = packing.pack_by(sizes, [25, 50, 100], float("inf"))[1]
+        assert sum(capacity.values()) <= sum(min(p for p in (25, 50, 100) if p >= u) for u in largest)
 
     def test_only_large_items_are_split(self, spark):
         items = spark.createDataFrame([(1, 250), (2, 100), (3, 30), (4, 0), (5, None), (6, -3), (None, 5), (3, 30)], "doc_id bigint, n_tokens bigint")
@@ -260,6 +284,22 @@ class TestPacking:
         assert (filled.length <= filled.capacity).all()
         assert packing.fill_containers(items.limit(0), packs).count() == 0
 
+    def test_capacities_are_chosen_together(self):
+        sizes = [500 + k * 37 % 480 for k in range(2000)]
+        where, capacity = packing.pack(sizes, [384, 1000, 1536, 4096])
+        largest = sum(min(p for p in (384, 1000, 1536, 4096) if p >= u) for u in packing.pack_by(sizes, [384, 1000, 1536, 4096], float("inf"))[1])
+        assert len(set(capacity.values())) > 1 and sum(capacity.values()) < 0.97 * largest
+        assert packing.opening_size(700, packing._Waiting([790] * 9), [1000, 1500, 4000], 0.0) == 1500
+
+    def test_report(self, spark):
+        items = spark.createDataFrame([(1, 250), (2, 100), (3, 30), (4, 0), (5, None), (None, 5), (3, 30)], "doc_id bigint, n_tokens bigint")
+        packs = spark.createDataFrame([("p", 100), ("small", 50), ("bad", 0)], "pack_name string, capacity int")
+        placed = packing.fill_containers(items, packs)
+        kinds = ["pack_name", "items", "missing", "repeated", "split", "overfull", "used"]
+        assert rows(packing.container_report(placed, items, packs).select(kinds)) == [("p", 5, 0, 0, 0, 0, 410), ("small", 5, 0, 0, 0, 0, 410)]
+        short = placed.where("doc_id <> 2 OR pack_name <> 'p'")
+        assert rows(packing.container_report(short, items, packs).select(kinds[:3]))[0] == ("p", 5, 1)
+
     def test_little_is_wasted(self, spark):
         items = spark.range(20000).select(F.col("id").alias("doc_id"), (F.abs(F.xxhash64("id")) % 300 + 1).alias("n_tokens"))
         packs = spark.createDataFrame([("p", 1000)], "pack_name string, capacity int")
