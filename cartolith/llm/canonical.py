@@ -42,15 +42,14 @@ def _entries(records: DataFrame, record_id: str, text: str, kind: str, kinds: tu
 
 
 def distinct_texts(entries: DataFrame) -> DataFrame:
-    """One row per distinct raw text with its smallest id and number of entries.
+    """One row per distinct raw text with its smallest id and its number of rows.
 
-    Rows repeated whole count once.  The first exchange is on (text, id), so
-    that a text shared by a third of all rows is spread over all tasks and
-    arrives at its group already summed.
+    Combined before the exchange, so that each task sends a text once, however
+    often it holds it.
     """
     return (
         entries.groupBy("raw", "unordered")
-        .agg(F.min("rid").alias("raw_first"), F.count_distinct("rid").alias("raw_copies"))
+        .agg(F.min("rid").alias("raw_first"), F.count("*").alias("raw_copies"))
         .select(
             _digest(F.col("raw")).alias("raw_key"),
             "unordered",
@@ -62,6 +61,16 @@ def distinct_texts(entries: DataFrame) -> DataFrame:
     )
 
 
+def repeated_rows(entries: DataFrame) -> DataFrame:
+    """``raw_key, unordered, surplus``: how many rows of a raw text only repeat an id; digests stand for the texts.
+
+    Rows are summed by id before they are summed by text, so that a text of a
+    third of all rows is spread over all tasks.
+    """
+    rows = entries.groupBy(_digest(F.col("raw")).alias("raw_key"), "unordered", "rid").agg(F.count("*").alias("n"))
+    return rows.where("n > 1").groupBy("raw_key", "unordered").agg(F.sum(F.col("n") - 1).alias("surplus"))
+
+
 def copy_groups(distinct: DataFrame) -> DataFrame:
     """Group distinct texts on their canonical text in full, summing the copies."""
     return (
@@ -91,7 +100,9 @@ def collapse_copies(
     only the three named columns are read, whatever else the table holds.
     """
     entries = _entries(records, record_id, text, kind, unordered_kinds)
-    return copy_groups(distinct_texts(entries)).select("first_id", "copies")
+    distinct = distinct_texts(entries).join(repeated_rows(entries), ["raw_key", "unordered"], "left")
+    once = distinct.withColumn("raw_copies", F.col("raw_copies") - F.coalesce("surplus", F.lit(0)))
+    return copy_groups(once).select("first_id", "copies")
 
 
 def copy_members(
@@ -104,8 +115,10 @@ def copy_members(
     """The copies in each group of :func:`collapse_copies`: ``first_id, entry_id``, n - 1 rows for a group of n.
 
     The groups come from the same two-stage collapse; entries are then joined
-    to them by digests of 32 bytes, never by their texts.  A hot text has one
-    row on the side of the groups, so that a skewed partition can be split.
+    to them by digests of 32 bytes, never by their texts.  Rows that only
+    repeat an id need not be counted here: a group that holds one id gives no
+    row.  A hot text has one row on the side of the groups, so that a skewed
+    partition can be split.
     """
     entries = _entries(records, record_id, text, kind, unordered_kinds)
     distinct = cut_lineage(distinct_texts(entries), "distinct-texts")
