@@ -14,10 +14,12 @@ from cartolith.sources.routes import HOOKS_SQL, ROUTES_SQL, hooks, routes
 from cartolith.sources.tables import ENTRIES_SQL, GRAPH_SQL, Graph, entries, package_sql, snapshot_graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Symbols, a folder and a route that the queries with parameters name.
+START, END, FOLDER, ROUTE = "scoreAnchor87", "walkLedger47", "pkg", "/api"
 
 
-def _graph(run: Callable[[Graph], DataFrame]) -> Query:
-    return lambda spark, folder: run(snapshot_graphs(spark, folder))
+def _graph(run: Callable[[Graph], DataFrame], stage: bool = False) -> Query:
+    return lambda spark, folder: run(snapshot_graphs(spark, folder, stage))
 
 
 def _routes(run: Callable[[DataFrame], DataFrame]) -> Query:
@@ -50,7 +52,7 @@ def _weighted(g: Graph) -> DataFrame:
 
 
 def _with_rank(run: Callable[[DataFrame, Graph], DataFrame]) -> Query:
-    return _graph(lambda g: run(ranked_graph(g), g))
+    return _graph(lambda g: run(ranked_graph(g), g), stage=True)
 
 
 def _communities(g: Graph) -> DataFrame:
@@ -78,10 +80,10 @@ QUERIES: dict[str, Query] = {
         routes(spark, folder),
     ),
     "j6_dead_code": _graph(gt.dead_code),
-    "j8_call_chain": _graph(lambda g: ga.paths(g.calls(), 3)),
-    "j8_call_chain_10": _graph(lambda g: ga.paths(g.calls(), 10)),
-    "j8_subtypes": _graph(lambda g: ga.paths(g.edges.where(F.col("label") == "INHERITS"), 5)),
-    "j9_call_depth": _graph(lambda g: ga.longest_chain(g.calls(), 10)),
+    "j8_call_chain": _graph(lambda g: ga.paths(g.calls(), 10), stage=True),
+    "j8_call_chain_between": _graph(lambda g: ga.paths(g.calls(), 10, START, END), stage=True),
+    "j8_subtypes": _graph(lambda g: ga.paths(g.edges.where(F.col("label") == "INHERITS"), 5), stage=True),
+    "j9_call_depth": _graph(lambda g: ga.longest_chain(g.calls()), stage=True),
     "a1_most_connected": _graph(gt.most_connected),
     "a3_communities": _graph(_communities),
     "a3_community_members": _graph(gt.community_members),
@@ -96,10 +98,10 @@ QUERIES: dict[str, Query] = {
     "g_hook_handlers": _routes(lambda r: gt.hook_handlers(hooks(r))),
     "g_hook_fires": _routes(lambda r: gt.hook_fires(hooks(r))),
     "g_all_hooks": _routes(lambda r: gt.all_hooks(hooks(r))),
-    "g1_pagerank": _graph(_pagerank),
-    "g2_personalized_pagerank": _graph(lambda g: _rounded(ga.pagerank(g.symbols, g.calls(), _seeds(g)), "pagerank")),
+    "g1_pagerank": _graph(_pagerank, stage=True),
+    "g2_personalized_pagerank": _graph(lambda g: _rounded(ga.pagerank(g.symbols, g.calls(), _seeds(g)), "pagerank"), stage=True),
     "g3_weighted_pagerank": _graph(
-        lambda g: _rounded(ga.pagerank(g.symbols, _weighted(g), _seeds(g), weight="w"), "pagerank")
+        lambda g: _rounded(ga.pagerank(g.symbols, _weighted(g), _seeds(g), weight="w"), "pagerank"), stage=True
     ),
     "g4_louvain": _graph(lambda g: ga.louvain(g, weighted=False)),
     "g5_louvain_weighted": _graph(ga.louvain),
@@ -113,13 +115,12 @@ QUERIES: dict[str, Query] = {
         .orderBy(F.desc("score"), "graph", "src", "src_file", "dst", "dst_file")
         .limit(10)
     ),
-    "g8_trace": _graph(lambda g: ga.trace_tree(g.calls(), 3)),
-    "g9_trace_bfs": _graph(
-        lambda g: ga.reach(g.calls(), g.symbols.where(F.col("kind") == "method"), 3)
-    ),
-    "g8_trace_5": _graph(lambda g: ga.trace_tree(g.calls(), 5)),
-    "g9_trace_bfs_5": _graph(lambda g: ga.reach(g.calls(), g.symbols.where(F.col("kind") == "method"), 5)),
-    "g10_impact": _graph(ga.impact),
+    "g8_trace": _graph(lambda g: ga.trace_tree(g.calls(), 5, symbols=g.symbols), stage=True),
+    "g8_trace_callers": _graph(lambda g: ga.trace_tree(g.calls(), 5, root=END, callers=True, symbols=g.symbols), stage=True),
+    "g9_trace_bfs": _graph(lambda g: ga.reach(g.calls(), g.symbols.where(F.col("kind") == "method"), 5), stage=True),
+    "g9_trace_bfs_of": _graph(lambda g: ga.reach(g.calls(), g.symbols.where(F.col("name") == START), 10), stage=True),
+    "g10_impact": _graph(ga.impact, stage=True),
+    "g10_impact_of": _graph(lambda g: ga.impact(g, name=END), stage=True),
     "g13_flows": _with_rank(
         lambda r, g: ga.flows(g, r.withColumn("pagerank", F.round("pagerank", 9))).withColumn("members", F.array_join("members", ","))
     ),
@@ -127,6 +128,31 @@ QUERIES: dict[str, Query] = {
 }
 
 
+#: Templates with their parameter: function, value, and the condition it puts on the rows of the query without it.
+NAMED = {
+    "j1_who_calls": (gt.who_calls, END, f"dst = '{END}'"),
+    "j1_calls_of": (gt.calls_of, START, f"src = '{START}'"),
+    "j1_imports_of": (gt.imports_of, FOLDER, f"contains(file, '{FOLDER}')"),
+    "j1_importers_of": (gt.importers_of, FOLDER, f"package = '{FOLDER}'"),
+    "j1_symbols_in": (gt.symbols_in, FOLDER, f"contains(file, '{FOLDER}')"),
+    "j1_dependents_of": (gt.dependents_of, FOLDER, f"package = '{FOLDER}'"),
+    "j3_inherits": (gt.inherits, START, f"child = '{START}'"),
+    "j3_implementations": (gt.implementations, END, f"parent = '{END}'"),
+    "j5_type_hierarchy": (gt.type_hierarchy, END, f"name = '{END}'"),
+    "a3_community_members": (gt.community_members, 3, "community = 3"),
+}
+QUERIES |= {f"{name}_named": _graph(lambda g, f=f, value=value: f(g, value)) for name, (f, value, _) in NAMED.items()}
+QUERIES |= {
+    "j1_depends_on_named": _graph(lambda g: gt.depends_on(g, FOLDER)),
+    "j2_cross_calls_named": _routes(lambda r: gt.cross_calls(r, ROUTE)),
+    "j3_api_routes_named": _routes(lambda r: gt.api_routes(r, ROUTE)),
+    "a1_most_connected_top": _graph(lambda g: gt.most_connected(g, 20)),
+    "a3_communities_top": _graph(lambda g: gt.communities(g, 10).withColumn("members", F.array_join("members", ","))),
+    "a4_hotspot_files_top": _with_rank(lambda r, g: _rounded(gt.hotspot_files(_rounded(r, "pagerank"), 10), "max_pagerank")),
+    "t1_important_symbols_top": _with_rank(lambda r, g: gt.important_symbols(_rounded(r, "pagerank"), g.symbols, 15)),
+}
+
+
 def rank_sql(edges: str, jump: str, rounds: int = 20, name: str = "pr") -> str:
     """Chained rounds of PageRank as materialised tables; ``edges`` has a column w, ``jump`` is the teleport share."""
     parts = [
@@ -169,37 +195,59 @@ scores AS (
 """
 
 
-def paths_sql(edges: str, depth: int) -> str:
+def paths_sql(edges: str, depth: int, start: str | None = None, end: str | None = None) -> str:
     """Paths without repeated edges by chained joins."""
+    begins = f" WHERE src = '{start}'" if start else ""
+    ends = f" WHERE dst = '{end}'" if end else ""
     parts = [f"st AS MATERIALIZED (SELECT DISTINCT graph, src, src_file, dst, dst_file, src || chr(0) || src_file || chr(0) || dst || chr(0) || dst_file AS e FROM ({edges}))",
-             "p1 AS (SELECT graph, src, src_file, dst, dst_file, [e] AS used FROM st)"]
+             f"p1 AS (SELECT graph, src, src_file, dst, dst_file, [e] AS used FROM st{begins})"]
     for k in range(2, depth + 1):
         parts.append(
             f"p{k} AS (SELECT p.graph, p.src, p.src_file, s.dst, s.dst_file, list_append(p.used, s.e) AS used FROM p{k - 1} p JOIN st s"
             f" ON s.graph = p.graph AND s.src = p.dst AND s.src_file = p.dst_file WHERE NOT list_contains(p.used, s.e))"
         )
-    union = " UNION ".join(f"SELECT graph, src, src_file, dst, dst_file, {k}::INT AS hops FROM p{k}" for k in range(1, depth + 1))
+    union = " UNION ".join(f"SELECT graph, src, src_file, dst, dst_file, {k}::INT AS hops FROM p{k}{ends}" for k in range(1, depth + 1))
     return ", " + ",\n".join(parts) + f"\n{union}"
 
 
-def trace_sql(depth: int) -> str:
-    """Call trees of the roots by chained joins, with a mark where a path meets itself."""
+def trace_sql(depth: int, root: str | None = None, callers: bool = False) -> str:
+    """Call trees by chained joins, with marks where a path meets itself or leaves the known symbols."""
     key = "{0} || chr(0) || {1}"
+    ends = "dst AS src, dst_file AS src_file, src AS dst, src_file AS dst_file" if callers else "src, src_file, dst, dst_file"
+    roots = f"src = '{root}'" if root else "NOT EXISTS (SELECT 1 FROM stc t WHERE t.graph = s.graph AND t.dst = s.src AND t.dst_file = s.src_file)"
+    also = f" UNION SELECT graph, dst, dst_file FROM stc WHERE dst = '{root}'" if root else ""
     parts = [
-        "stc AS MATERIALIZED (SELECT DISTINCT graph, src, src_file, dst, dst_file FROM calls)",
-        f"l0 AS (SELECT DISTINCT s.graph, src AS root, src_file AS root_file, src AS name, src_file AS file, 0::INT AS depth, [{key.format('src', 'src_file')}] AS path, false AS cycle FROM stc s"
-        " WHERE NOT EXISTS (SELECT 1 FROM stc t WHERE t.graph = s.graph AND t.dst = s.src AND t.dst_file = s.src_file))",
+        f"std AS MATERIALIZED (SELECT DISTINCT graph, {ends} FROM calls)",
+        "stc AS MATERIALIZED (SELECT d.*, y.name IS NULL AS away FROM std d LEFT JOIN (SELECT DISTINCT graph, name, file FROM symbols) y ON y.graph = d.graph AND y.name = d.dst AND y.file = d.dst_file)",
+        f"l0 AS (SELECT graph, root, root_file, root AS name, root_file AS file, 0::INT AS depth, [{key.format('root', 'root_file')}] AS path, false AS cycle, false AS unresolved"
+        f" FROM (SELECT DISTINCT graph, src AS root, src_file AS root_file FROM stc s WHERE {roots}{also}))",
     ]
     at = key.format("s.dst", "s.dst_file")
     for k in range(1, depth + 1):
         parts.append(
-            f"l{k} AS (SELECT l.graph, l.root, l.root_file, s.dst AS name, s.dst_file AS file, {k}::INT AS depth, list_append(l.path, {at}) AS path, list_contains(l.path, {at}) AS cycle"
-            f" FROM l{k - 1} l JOIN stc s ON s.graph = l.graph AND s.src = l.name AND s.src_file = l.file WHERE NOT l.cycle)"
+            f"l{k} AS (SELECT l.graph, l.root, l.root_file, s.dst AS name, s.dst_file AS file, {k}::INT AS depth, list_append(l.path, {at}) AS path, list_contains(l.path, {at}) AS cycle, s.away AS unresolved"
+            f" FROM l{k - 1} l JOIN stc s ON s.graph = l.graph AND s.src = l.name AND s.src_file = l.file WHERE NOT l.cycle AND NOT l.unresolved)"
         )
-    union = " UNION ALL ".join(f"SELECT graph, root, root_file, name, file, depth, cycle FROM l{k}" for k in range(depth + 1))
+    union = " UNION ALL ".join(f"SELECT graph, root, root_file, name, file, depth, cycle, unresolved FROM l{k}" for k in range(depth + 1))
     return ", " + ",\n".join(parts) + "\n" + union
 
 
+def chain_sql(depth: int, large: int, large_depth: int) -> str:
+    """Longest paths without repeated edges: of paths with one end and one set of edges, one is followed."""
+    parts = [
+        "stp AS MATERIALIZED (SELECT *, row_number() OVER () AS e FROM (SELECT DISTINCT graph, src, src_file, dst, dst_file FROM calls))",
+        f"most AS MATERIALIZED (SELECT graph, CASE WHEN count(*) > {large} THEN {min(depth, large_depth)} ELSE {depth} END AS most FROM stp GROUP BY graph)",
+        "t1 AS MATERIALIZED (SELECT graph, dst, dst_file, [e] AS used FROM stp)",
+    ]
+    for k in range(2, depth + 1):
+        parts.append(
+            f"t{k} AS MATERIALIZED (SELECT DISTINCT t.graph, s.dst, s.dst_file, list_sort(list_append(t.used, s.e)) AS used FROM t{k - 1} t JOIN most m ON m.graph = t.graph AND m.most >= {k}"
+            f" JOIN stp s ON s.graph = t.graph AND s.src = t.dst AND s.src_file = t.dst_file WHERE NOT list_contains(t.used, s.e))"
+        )
+    union = " UNION ALL ".join(f"SELECT DISTINCT graph, {k} AS hops FROM t{k}" for k in range(1, depth + 1))
+    return ", " + ",\n".join(parts) + f" SELECT graph, max(hops)::INT AS call_depth FROM ({union}) GROUP BY graph"
+
+
 def reach_sql(edges: str, seeds: str, depth: int) -> str:
     """Least distances by chained frontiers; ``edges``: graph, a, af, b, bf; ``seeds``: graph, name, file."""
     parts = [
@@ -216,6 +264,7 @@ def reach_sql(edges: str, seeds: str, depth: int) -> str:
     return ", " + ",\n".join(parts) + ", reached AS (" + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(1, depth + 1)) + ")"
 
 
+_DOWN = "SELECT graph, src AS a, src_file AS af, dst AS b, dst_file AS bf FROM calls"
 _TYPES = "label IN ('INHERITS', 'IMPLEMENTS')"
 SQL: dict[str, str] = {
     "j1_who_calls": W + "SELECT DISTINCT graph, dst, dst_file, src AS caller, src_file AS caller_file FROM calls",
@@ -248,13 +297,10 @@ SQL: dict[str, str] = {
     "j6_dead_code": W + """
         SELECT graph, name, file FROM symbols s WHERE kind = 'function'
         AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.graph = s.graph AND c.dst = s.name AND c.dst_file = s.file)""",
-    "j8_call_chain": W + paths_sql("SELECT * FROM calls", 3),
-    "j8_call_chain_10": W + paths_sql("SELECT * FROM calls", 10),
+    "j8_call_chain": W + paths_sql("SELECT * FROM calls", 10),
+    "j8_call_chain_between": W + paths_sql("SELECT * FROM calls", 10, START, END),
     "j8_subtypes": W + paths_sql("SELECT * FROM edges WHERE label = 'INHERITS'", 5),
-    "j9_call_depth": W + "," + ",\n".join(
-        ["h1 AS MATERIALIZED (SELECT DISTINCT graph, dst, dst_file FROM calls)"]
-        + [f"h{k} AS MATERIALIZED (SELECT DISTINCT c.graph, c.dst, c.dst_file FROM h{k - 1} h JOIN calls c ON c.graph = h.graph AND c.src = h.dst AND c.src_file = h.dst_file)" for k in range(2, 11)]
-    ) + " SELECT graph, max(hops)::INT AS call_depth FROM (" + " UNION ALL ".join(f"SELECT graph, {k} AS hops FROM h{k}" for k in range(1, 11)) + ") GROUP BY graph",
+    "j9_call_depth": W + chain_sql(10, 8000, 6),
     "a1_most_connected": W + """
         SELECT s.graph, s.name, s.kind, s.file, count(*) AS call_count FROM symbols s JOIN calls c
         ON c.graph = s.graph AND c.dst = s.name AND c.dst_file = s.file GROUP BY ALL""",
@@ -288,10 +334,10 @@ SQL: dict[str, str] = {
     "g6_surprise": _PR + _SURPRISE + "SELECT * FROM scores",
     "a5_node_surprise": _PR + _SURPRISE + "SELECT graph, name, file, round(max(score) / 6, 6) AS surprise FROM (SELECT graph, src AS name, src_file AS file, score FROM scores UNION ALL SELECT graph, dst, dst_file, score FROM scores) GROUP BY ALL",
     "g7_top_surprises": _PR + _SURPRISE + "SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, graph, src, src_file, dst, dst_file LIMIT 10",
-    "g8_trace": W + trace_sql(3),
-    "g9_trace_bfs": W + reach_sql("SELECT graph, src AS a, src_file AS af, dst AS b, dst_file AS bf FROM calls", "SELECT * FROM symbols WHERE kind = 'method'", 3) + " SELECT graph, seed, seed_file, name, file, distance FROM reached",
-    "g8_trace_5": W + trace_sql(5),
-    "g9_trace_bfs_5": W + reach_sql("SELECT graph, src AS a, src_file AS af, dst AS b, dst_file AS bf FROM calls", "SELECT * FROM symbols WHERE kind = 'method'", 5) + " SELECT graph, seed, seed_file, name, file, distance FROM reached",
+    "g8_trace": W + trace_sql(5),
+    "g8_trace_callers": W + trace_sql(5, END, callers=True),
+    "g9_trace_bfs": W + reach_sql(_DOWN, "SELECT * FROM symbols WHERE kind = 'method'", 5) + " SELECT graph, seed, seed_file, name, file, distance FROM reached",
+    "g9_trace_bfs_of": W + reach_sql(_DOWN, f"SELECT * FROM symbols WHERE name = '{START}'", 10) + " SELECT graph, seed, seed_file, name, file, distance FROM reached",
     "g10_impact": W + reach_sql("SELECT graph, dst AS a, dst_file AS af, src AS b, src_file AS bf FROM calls", "SELECT graph, dst AS name, dst_file AS file FROM calls", 5) + f"""
         , rolled AS (SELECT r.graph, seed, seed_file, count(*) AS callers, count(DISTINCT {package_sql('r.file')}) AS packages, count(DISTINCT s.community) AS communities,
                 round(avg(greatest(0.1, 1 - 0.2 * (distance - 1))), 6) AS confidence, max(distance)::INT AS depth
@@ -306,3 +352,14 @@ SQL: dict[str, str] = {
           UNION ALL SELECT c.graph, c.src, c.src_file FROM calls c JOIN symbols s ON s.graph = c.graph AND s.name = c.dst AND s.kind = 'struct') x
         WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.graph = x.graph AND s.name = x.name AND s.kind = 'struct')""",
 }
+SQL |= {f"{name}_named": f"SELECT * FROM ({SQL[name]}) WHERE {condition}" for name, (_, _, condition) in NAMED.items()}
+SQL |= {
+    "g10_impact_of": f"SELECT * FROM ({SQL['g10_impact']}) WHERE name = '{END}'",
+    "j1_depends_on_named": W + "," + _IMPORTS + f" SELECT DISTINCT graph, {package_sql('file')} AS src_package, package FROM imports WHERE contains(file, '{FOLDER}')",
+    "j2_cross_calls_named": f"SELECT * FROM ({SQL['j2_cross_calls']}) WHERE contains(path, '{ROUTE}')",
+    "j3_api_routes_named": f"SELECT * FROM ({SQL['j3_api_routes']}) WHERE contains(path, '{ROUTE}')",
+    "a1_most_connected_top": SQL["a1_most_connected"] + " ORDER BY call_count DESC, s.graph, s.name, s.file LIMIT 20",
+    "a3_communities_top": SQL["a3_communities"] + " ORDER BY size DESC, graph, community LIMIT 10",
+    "a4_hotspot_files_top": _PR + "SELECT graph, file, max(round(pagerank, 6)) AS max_pagerank, count(*) AS symbols FROM ranked GROUP BY ALL ORDER BY max_pagerank DESC, graph, file LIMIT 10",
+    "t1_important_symbols_top": _PR + "SELECT graph, name, file, kind, round(pagerank, 6) AS pagerank FROM ranked JOIN symbols USING (graph, name, file) ORDER BY pagerank DESC, graph, name, file LIMIT 15",
+}

@@ -10,8 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; at 100 bytes a row this is 20 MB.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def build_session(app: str = "cartolith", master: str | None = None, **conf: object) -> SparkSession:
@@ -50,11 +50,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir`` (shared storage on a cluster).
 
-    Only where that is unset, as in local tests, a temporary folder is made
-    and set.
+    Only where that is unset on a local master, as in tests, a temporary folder
+    is made and set; on a cluster it has to be named, as its machines see no
+    common temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cartolith-ckpt-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -64,22 +67,35 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and go on from there.
 
     Unlike shuffle files the table survives the loss of executors; unlike a
-    row checkpoint it is compressed and lets later reads prune columns.
+    row checkpoint it is compressed and lets later reads prune columns.  The
+    tables of a session lie below one folder, which ``remove_staged`` removes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` is known to have at most ``max_rows`` rows.
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/cartolith-{spark.sparkContext.applicationId}"
+
+
+def remove_staged(spark: SparkSession) -> bool:
+    """Remove all tables that ``cut_lineage`` wrote in this session; results that still read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when ``df`` is known to have at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     ``df`` should be cheap to read again (a checkpoint or a written table): it
-    is counted up to the bound.  Beyond the bound the join is left to shuffle.
+    is measured up to the bound, a row by the length of its JSON text, which is
+    no shorter than its values.  Beyond the bound the join is left to shuffle.
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

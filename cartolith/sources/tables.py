@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.operators.snapshots import valid_snapshots
-from cartolith.session import table
+from cartolith.session import broadcast_if_bounded, cut_lineage, table
 
 
 @dataclass(frozen=True)
@@ -32,11 +32,17 @@ def package_of(file: Column) -> Column:
     return F.when(F.instr(file, "/") > 0, F.regexp_replace(file, r"/[^/]*$", "")).otherwise(".")
 
 
-def snapshot_graphs(spark: SparkSession, folder: str) -> Graph:
-    """One graph per valid snapshot; of an element repeated within an array the last one holds."""
+def snapshot_graphs(spark: SparkSession, folder: str, stage: bool = False) -> Graph:
+    """One graph per valid snapshot; of an element repeated within an array the last one holds.
+
+    The deliveries that hold are few columns and are broadcast if bounded, so
+    that nested arrays are not shuffled; rows repeated whole fall together when
+    their elements do.  ``stage`` writes both tables once, for operators that
+    read them several times.
+    """
     raw = table(spark, folder, "code_graph_snapshots")
-    held = valid_snapshots(raw).select("snapshot_id", "received_at")
-    rows = raw.join(held, ["snapshot_id", "received_at"]).dropDuplicates(["snapshot_id"])
+    held = cut_lineage(valid_snapshots(raw).select("snapshot_id", "received_at").distinct(), "held-snapshots")
+    rows = raw.join(broadcast_if_bounded(held), ["snapshot_id", "received_at"])
     symbols = (
         rows.select(F.col("snapshot_id").alias("graph"), "repo_key", F.posexplode("symbols").alias("pos", "s"))
         .groupBy("graph", F.col("repo_key").alias("repo"), F.col("s.n").alias("name"), F.col("s.f").alias("file"))
@@ -53,8 +59,10 @@ def snapshot_graphs(spark: SparkSession, folder: str) -> Graph:
         F.regexp_replace("e.s", "^[^:]*:", "").alias("src_file"),
         F.substring_index("e.t", ":", 1).alias("dst"),
         F.regexp_replace("e.t", "^[^:]*:", "").alias("dst_file"),
-    )
-    return Graph(symbols, edges.distinct())
+    ).distinct()
+    if stage:
+        symbols, edges = cut_lineage(symbols, "graph-symbols"), cut_lineage(edges, "graph-edges")
+    return Graph(symbols, edges)
 
 
 GRAPH_SQL = """
@@ -83,7 +91,7 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderkey").alias("commit_id"),
-        F.concat(F.lit("dev"), (F.col("o_custkey") % 40).cast("string")).alias("author"),
+        F.concat(F.lit("dev"), F.col("o_custkey").cast("string")).alias("author"),
         F.col("o_orderdate").alias("ts"),
         F.concat(F.lit("sym"), F.col("l_partkey").cast("string")).alias("path"),
         F.col("l_quantity").cast("bigint").alias("additions"),
@@ -94,27 +102,20 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
 
 COMMITS_SQL = """
 commits AS (
-  SELECT o_orderkey AS commit_id, 'dev' || (o_custkey % 40) AS author, o_orderdate AS ts, 'sym' || l_partkey AS path,
+  SELECT o_orderkey AS commit_id, 'dev' || o_custkey AS author, o_orderdate AS ts, 'sym' || l_partkey AS path,
          l_quantity::BIGINT AS additions, round(l_discount * 100)::BIGINT AS deletions, o_orderpriority = '1-URGENT' AS is_fix
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 """
 
 
 def touches(spark: SparkSession, folder: str) -> DataFrame:
-    """``repo, file, ts``: events stand for touched files, their types for repositories."""
-    return table(spark, folder, "events").select(
-        F.col("event_type").alias("repo"), F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")).alias("file"), "ts"
-    )
-
-
-def all_touches(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``touches``, every user a file of its own."""
+    """``repo, file, ts``: events stand for touched files, a user's for those of one file, their types for repositories."""
     return table(spark, folder, "events").select(
         F.col("event_type").alias("repo"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), "ts"
     )
 
 
-TOUCHES_SQL = "touches AS (SELECT event_type AS repo, 'u' || (user_id % 30) AS file, ts FROM events)"
+TOUCHES_SQL = "touches AS (SELECT event_type AS repo, 'u' || user_id AS file, ts FROM events)"
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:

@@ -98,7 +98,66 @@ class TestGraph:
         assert found["b"]["callers"] == 4 and found["d"]["depth"] == 3 and "a" not in found
         trace = graph_algorithms.trace_tree(graph.calls(), 5)
         assert trace.where("cycle").count() == 2  # from a and from e back to b
-        assert graph_algorithms.longest_chain(graph.calls(), 10).first()["call_depth"] == 10
+        assert {r["name"] for r in graph_algorithms.impact(graph, name="d").collect()} == {"d"}
+        assert graph_algorithms.longest_chain(graph.calls()).first()["call_depth"] == 4  # a b, b c, c d, d b
+
+    def test_no_edge_twice(self, spark):
+        def depth(calls, **kw):
+            edges = spark.createDataFrame([(g, a, "f", b, "f") for g, a, b in calls], "graph int, src string, src_file string, dst string, dst_file string")
+            return dict(map(tuple, graph_algorithms.longest_chain(edges, **kw).collect()))
+
+        cycle = [(1, "a", "b"), (1, "b", "c"), (1, "c", "a")]
+        line = [(2, f"n{k}", f"n{k + 1}") for k in range(4)]
+        long = [(3, f"n{k:02}", f"n{k + 1:02}") for k in range(14)]
+        assert depth(cycle + line + long) == {1: 3, 2: 4, 3: 10}
+        assert depth(cycle + long, large=5) == {1: 3, 3: 6}
+        assert depth([(4, "a", "a"), (4, "a", "b")]) == {4: 2}
+        assert depth([]) == {}
+
+    @pytest.mark.parametrize("seeded", [False, True])
+    def test_pagerank_in_tasks_and_by_joins(self, spark, seeded):
+        nodes = spark.createDataFrame([(g, f"n{k}", "f") for g in (1, 2) for k in range(12)], "graph bigint, name string, file string")
+        calls = [(g, f"n{k}", "f", f"n{k * k * g % 11}", "f") for g in (1, 2) for k in range(12) if k % 4] + [(1, "n1", "f", "away", "f"), (1, "n2", "f", "n3", "f")] * 2
+        edges = spark.createDataFrame(calls, "graph bigint, src string, src_file string, dst string, dst_file string")
+        seeds = spark.createDataFrame([(1, "n1", "f", 2.0), (1, "n5", "f", 1.0), (1, "zz", "f", 1.0)], "graph bigint, name string, file string, seed double") if seeded else None
+        ranks = [
+            {(r["graph"], r["name"]): r["pagerank"] for r in graph_algorithms.pagerank(nodes, edges, seeds, small=small).collect()}
+            for small in (10**6, 0, 26)
+        ]
+        assert len(ranks[0]) == 24 and ranks[0] == pytest.approx(ranks[1], abs=1e-12) and ranks[0] == pytest.approx(ranks[2], abs=1e-12)
+
+    def test_paths_between(self, graph):
+        found = {(r["src"], r["dst"], r["hops"]) for r in graph_algorithms.paths(graph.calls(), 6, "a", "d").collect()}
+        assert found == {("a", "d", 3)}
+        everything = {(r["src"], r["dst"], r["hops"]) for r in graph_algorithms.paths(graph.calls(), 6).collect()}
+        assert {r for r in everything if r[:2] == ("a", "d")} == found
+
+    def test_trace_of_one_root(self, graph):
+        found = graph_algorithms.trace_tree(graph.calls(), 5, root="c", symbols=graph.symbols.where("name <> 'b'")).collect()
+        assert {(r["name"], r["depth"], r["unresolved"]) for r in found} == {("c", 0, False), ("d", 1, False), ("b", 2, True)}
+        up = graph_algorithms.trace_tree(graph.calls(), 2, root="b", callers=True).collect()
+        assert {(r["name"], r["depth"]) for r in up} == {("b", 0), ("a", 1), ("e", 1), ("d", 1), ("c", 2)}
+
+    def test_flows(self, spark):
+        def flows(symbols, calls, rank, handlers=()):
+            g = Graph(
+                spark.createDataFrame([(1, "r", n, f, "function", c, 1) for n, f, c in symbols], "graph bigint, repo string, name string, file string, kind string, community int, complexity int"),
+                spark.createDataFrame([(1, "CALLS", *a, *b) for a, b in calls], "graph bigint, label string, src string, src_file string, dst string, dst_file string"),
+            )
+            ranked = spark.createDataFrame([(1, n, f, rank[n]) for n, f, _ in symbols], "graph bigint, name string, file string, pagerank double")
+            handled = spark.createDataFrame([(1, *h) for h in handlers], "graph bigint, name string, file string")
+            return {r["entry"]: (r["leaf"], r["members"], r["priority"]) for r in graph_algorithms.flows(g, ranked, handled).collect()}
+
+        api, helper = ("PublicAPI", "api.go"), ("helper", "api.go")
+        assert flows([(*api, 0), (*helper, 0)], [(api, helper)], {"PublicAPI": 0.5, "helper": 0.1}) == {"PublicAPI": ("helper", ["PublicAPI", "helper"], 0.5)}
+        handler, query, caller = ("handleSearch", "server.go"), ("doQuery", "db.go"), ("caller", "main.go")
+        found = flows([(*handler, 0), (*query, 0), (*caller, 0)], [(handler, query), (caller, handler)], {"handleSearch": 0.6, "doQuery": 0.2, "caller": 0.1}, [handler])
+        assert set(found) == {"handleSearch"}
+        entry, high, low = ("Entry", "a.go"), ("Important", "b.go"), ("Minor", "c.go")
+        found = flows([(*entry, 0), (*high, 0), (*low, 0)], [(entry, high), (entry, low)], {"Entry": 0.5, "Important": 0.4, "Minor": 0.05})
+        assert found["Entry"][0] == "Important" and "Important" not in found
+        found = flows([(*entry, 0), (*high, 1)], [(entry, high)], {"Entry": 0.5, "Important": 0.4})
+        assert found == {"Entry": ("Entry", ["Entry"], 0.5)}
 
     def test_long_paths(self, spark):
         calls = [(f"n{k}", f"n{k + 1}") for k in range(12)] + [(a, b) for a in "wxyz" for b in "wxyz" if a != b]
@@ -112,8 +171,8 @@ class TestGraph:
 
     def test_registered_depths(self, spark, small):
         queries = graph_queries.QUERIES
-        assert queries["j8_call_chain_10"](spark, small).agg(F.max("hops")).first()[0] == 10
-        assert queries["g8_trace_5"](spark, small).agg(F.max("depth")).first()[0] == 5
+        assert queries["j8_call_chain"](spark, small).agg(F.max("hops")).first()[0] == 10
+        assert queries["g8_trace"](spark, small).agg(F.max("depth")).first()[0] == 5
 
     def test_fusion_keeps_every_row(self, spark, small):
         asked = retrieval_queries.arms(spark, small).select("query", "doc").distinct()

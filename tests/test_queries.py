@@ -5,8 +5,6 @@ from compare import connect, differences
 
 from cartolith.plans import registry
 
-#: Queries that repeat the twenty rounds of another one here.
-SLOW = {"t1_important_symbols", "t1_explain_architecture", "w4_structural_rank", "g3_weighted_pagerank", "a5_node_surprise", "g7_top_surprises"}
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
@@ -17,7 +15,7 @@ def con(small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, small, con, name):
     assert differences(QUERIES[name](spark, small), con, SQL[name]) == ""
 
