@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a keyword query ignores.
-STOP_WORDS = (
-    "the and for are was were with that this from not you your how what when where which who why can could should would does did "
-    "has have had its into out all any but use uses used using about there here then than them they will"
-).split()
+STOP_WORDS = "the and for that with this from are not have function method code file which where when how what".split()
+
+
+def query_terms(text: str) -> list[str]:
+    """Terms of a query, found on the driver: whole words first, then the parts of identifiers, at least three letters, in order."""
+    words = [re.sub(r"[^A-Za-z0-9_]", "", w) for w in text.split()]
+    parts = [p for w in words if len(w) >= 3 for p in identifier_parts(w)]
+    return list(dict.fromkeys(t for t in [w.lower() for w in words] + parts if len(t) >= 3))
+
+
+def identifier_parts(name: str) -> list[str]:
+    """As ``split_identifier``, of one name on the driver."""
+    marked = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ", name)
+    return [p.lower() for p in re.split(r"[^A-Za-z0-9]+", marked) if len(p) >= 2]
 
 
 def split_identifier(text: Column) -> Column:
@@ -24,14 +36,20 @@ def keywords(text: Column, least: int = 3) -> Column:
     return F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) >= least)), F.array(*map(F.lit, STOP_WORDS)))
 
 
-def field_tokens(text: Column, least: int = 3) -> Column:
-    """All lower-case words and their parts, with repeats; parts of words of one part are not repeated."""
-    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+def field_tokens(text: Column, least: int = 3, compact: bool = False) -> Column:
+    """All lower-case words and their parts, with repeats; parts of words of one part are not repeated.
+
+    With ``compact`` a text of several words also gives its letters and digits run together.
+    """
+    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+"), F.lit(0))
     whole = F.transform(words, F.lower)
     parts = F.flatten(
         F.transform(words, lambda w: F.filter(split_identifier(w), lambda p: p != F.lower(w)))
     )
-    return F.filter(F.concat(whole, parts), lambda t: F.length(t) >= least)
+    tokens = F.concat(whole, parts)
+    if compact:
+        tokens = F.concat(tokens, F.when(F.size(words) > 1, F.array(F.array_join(whole, ""))).otherwise(F.array().cast("array<string>")))
+    return F.filter(tokens, lambda t: F.length(t) >= least)
 
 
 def trigrams(text: Column) -> Column:
@@ -66,12 +84,6 @@ def common_prefix_folders(a: Column, b: Column) -> Column:
     return F.array_min(differs)
 
 
-def cyclomatic(code: Column) -> Column:
-    """1 plus branch keywords and logical operators."""
-    words = r"\b(?:if|for|while|case|catch|except|elif|when)\b"
-    return 1 + F.regexp_count(code, F.lit(words)) + F.regexp_count(code, F.lit(r"&&|\|\|"))
-
-
 def truncate_lines(text: Column, limit: int = 1500) -> Column:
     """At most ``limit`` characters, cut at the end of a line if there is one."""
     cut = F.substring(text, 1, limit)

@@ -7,36 +7,89 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.functions import stats
+from cartolith.functions import complexity, stats
 from cartolith.functions.predicates import is_entry_point, is_exported, is_test_file
 from cartolith.functions.text import name_similarity
+from cartolith.session import cut_lineage
 
 CALLABLE = ("function", "method")
 
-#: Sub-scores of a grade: measure, value at which it is 0 points, value at which it is full, weight.
+#: Sub-scores of a grade: area, measure, value at which it is full, value at which it is nothing, weight.
 GRADE = (
-    ("avg_complexity", 15.0, 3.0, 0.15),
-    ("max_complexity", 60.0, 10.0, 0.10),
-    ("avg_lines", 80.0, 15.0, 0.15),
-    ("max_lines", 400.0, 60.0, 0.10),
-    ("doc_ratio", 0.0, 0.7, 0.20),
-    ("test_ratio", 0.0, 0.4, 0.20),
-    ("duplication", 0.3, 0.0, 0.10),
+    ("cognitive_complexity", "avg_cognitive", 5.0, 25.0, 0.12),
+    ("cyclomatic_avg", "avg_complexity", 3.0, 15.0, 0.07),
+    ("cyclomatic_max", "max_complexity", 8.0, 25.0, 0.05),
+    ("test_coverage", "test_ratio", 0.3, 0.0, 0.12),
+    ("doc_coverage", "doc_ratio", 0.6, 0.0, 0.09),
+    ("func_size", "avg_lines", 15.0, 60.0, 0.08),
+    ("error_handling", "error_ratio", 0.6, 0.0, 0.08),
+    ("nesting_depth", "max_nesting", 2.0, 7.0, 0.07),
+    ("file_size", "large_ratio", 0.0, 0.5, 0.07),
+    ("duplication", "duplication", 0.0, 0.2, 0.05),
+    ("magic_numbers", "magic_ratio", 0.0, 1 / 3, 0.06),
+    ("semantic_duplication", "semantic_ratio", 0.0, 0.25, 0.02),
+    ("dep_freshness", "fresh_ratio", 0.8, 0.0, 0.06),
+    ("vuln_security", "secure_ratio", 1.0, 0.0, 0.06),
 )
+#: Areas that do not apply where dependencies were looked for and there are none.
+OF_DEPENDENCIES = ("dep_freshness", "vuln_security")
+#: Letters by least score.
+LETTERS = ((90, "A+"), (80, "A"), (70, "B"), (60, "C"), (50, "D"))
+#: Shortfall of a sub-score below which nothing is recommended.
+LEAST_GAP = 0.05
+
+
+def exported_for_docs(name: Column, language: Column, public: Column) -> Column:
+    """Public by declaration, else by a capital first letter where that is the custom, else by no leading underscore."""
+    capital = F.lower(F.coalesce(language, F.lit(""))).isin("go", "java", "csharp")
+    return F.coalesce(public, F.lit(False)) | F.when(capital, name.rlike("^[A-Z]")).otherwise(~name.rlike("^_") & (name != ""))
+
+
+def function_measures(entries: DataFrame) -> DataFrame:
+    """Functions and methods with lines, cyclomatic and cognitive complexity, nesting, magic numbers, parameters and error handling."""
+    language = F.lower(F.coalesce("language", F.lit("")))
+    lines = F.when(F.col("end_line") >= F.col("start_line"), F.col("end_line") - F.col("start_line") + 1).otherwise(1)
+    body, signature = F.col("body"), F.col("signature")
+    test = F.coalesce(is_test_file(F.col("file")), F.lit(False))
+    needs = complexity.needs_error_handling(signature, body) & ~test
+    return entries.where(F.col("kind").isin(*CALLABLE)).select(
+        "repo_key", "file", "name", "start_line", F.coalesce(lines, F.lit(1)).alias("lines"),
+        complexity.cyclomatic(body, language).alias("cyclomatic"),
+        complexity.cognitive(body, language).alias("cognitive"),
+        complexity.nesting(body, language).alias("nesting"),
+        F.when(~test, complexity.magic_numbers(body, language)).alias("magic"),
+        F.when(F.coalesce(signature, F.lit("")) != "", complexity.parameters(signature)).alias("parameters"),
+        F.when(needs, complexity.handles_errors(signature, body, lines).cast("int")).alias("handled"),
+    )
 
 
 def function_metrics(entries: DataFrame) -> DataFrame:
-    """Per repository the number, mean and greatest length and complexity of functions, and the share documented."""
-    own = entries.where(F.col("kind").isin(*CALLABLE))
-    lines = F.col("end_line") - F.col("start_line") + 1
-    return own.groupBy("repo_key").agg(
+    """Per repository: functions, mean and greatest lines, complexity, cognitive complexity, nesting and parameters, and ratios.
+
+    ``error_ratio``: functions that need error handling and have it; test files
+    left out there and in ``magic_ratio``.  ``doc_ratio``: exported symbols of
+    any kind with a comment.  ``interfaces``: symbols of that kind.
+    """
+    measured = function_measures(entries).groupBy("repo_key").agg(
         F.count("*").alias("functions"),
-        F.round(F.avg(lines), 6).alias("avg_lines"),
-        F.max(lines).cast("bigint").alias("max_lines"),
-        F.round(F.avg("complexity"), 6).alias("avg_complexity"),
-        F.max("complexity").alias("max_complexity"),
-        F.round(F.avg((F.coalesce(F.length("doc_comment"), F.lit(0)) > 0).cast("double")), 6).alias("doc_ratio"),
+        *[f for c, name in (("lines", "lines"), ("cyclomatic", "complexity"), ("cognitive", "cognitive"), ("nesting", "nesting"), ("parameters", "parameters"))
+          for f in (F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"avg_{name}"), F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(f"max_{name}"))],
+        F.round(F.coalesce(F.avg("handled"), F.lit(0.0)), 6).alias("error_ratio"),
+        F.round(F.coalesce(F.avg((F.col("magic") > 0).cast("int")), F.lit(0.0)), 6).alias("magic_ratio"),
+    )
+    documented = (F.length("doc_comment") > 0).cast("int")
+    public = F.col("is_public") if "is_public" in entries.columns else F.lit(None).cast("boolean")
+    whole = entries.groupBy("repo_key").agg(
+        F.round(F.coalesce(F.avg(F.when(exported_for_docs(F.col("name"), F.col("language"), public), F.coalesce(documented, F.lit(0)))), F.lit(0.0)), 6).alias("doc_ratio"),
+        F.count_if(F.col("kind") == "interface").alias("interfaces"),
     )
+    return measured.join(whole, "repo_key")
+
+
+def magic_numbers(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Functions outside test files that hold magic numbers, most first."""
+    found = function_measures(entries).where(F.col("magic") > 0).select("repo_key", "file", "name", "start_line", "magic")
+    return found if limit is None else found.orderBy(F.desc("magic"), "repo_key", "file", "name", "start_line").limit(limit)
 
 
 def repository_ratios(files: DataFrame) -> DataFrame:
@@ -48,28 +101,43 @@ def repository_ratios(files: DataFrame) -> DataFrame:
     )
 
 
+def sub_scores(columns: list[str]) -> list[tuple[str, Column, float]]:
+    """Area, score 0..1 and weight of each sub-score; measures that are not among ``columns`` count as 0."""
+    found = []
+    for area, measure, best, worst, weight in GRADE:
+        value = F.coalesce(F.col(measure).cast("double"), F.lit(0.0)) if measure in columns else F.lit(0.0)
+        score = stats.clamp((value - worst) / (best - worst))
+        if area in OF_DEPENDENCIES and {"deps_scanned", "total_deps"} <= set(columns):
+            score = F.when(F.col("deps_scanned") & (F.coalesce("total_deps", F.lit(0)) == 0), 1.0).otherwise(score)
+        found.append((area, score, weight))
+    return found
+
+
 def grade(metrics: DataFrame) -> DataFrame:
-    """Score 0 to 100 and letter from weighted, clamped sub-scores; a missing measure counts as its full value."""
-    parts = [
-        w * stats.clamp((F.coalesce(F.col(m).cast("double"), F.lit(best)) - worst) / (best - worst)) for m, worst, best, w in GRADE
-    ]
-    score = F.round(100 * reduce(lambda a, b: a + b, parts), 4)
-    letter = reduce(
-        lambda c, x: c.when(F.col("score") >= x[0], x[1]), [(80, "B"), (70, "C"), (60, "D")], F.when(F.col("score") >= 90, "A")
-    ).otherwise("F")
+    """Add ``score`` (0 to 100, whole) and ``grade`` (A+ to F): 14 weighted sub-scores less a penalty for dead code.
+
+    Each likely dead function (``dead_code``, if there is such a column) costs
+    0.4 points, 8 at most.  A repository without files has the score 0.
+    """
+    total = reduce(lambda a, b: a + b, [score * weight for _, score, weight in sub_scores(metrics.columns)])
+    dead = F.coalesce(F.col("dead_code").cast("double"), F.lit(0.0)) if "dead_code" in metrics.columns else F.lit(0.0)
+    score = F.round(F.greatest(F.lit(0.0), F.round(100 * total, 9) - F.least(F.lit(8.0), 0.4 * dead)))
+    if "files" in metrics.columns:
+        score = F.when(F.coalesce("files", F.lit(0)) == 0, 0.0).otherwise(score)
+    letter = F.lit("F")
+    for least, name in reversed(LETTERS):
+        letter = F.when(F.col("score") >= least, name).otherwise(letter)
     return metrics.withColumn("score", score).withColumn("grade", letter)
 
 
-def recommendations(metrics: DataFrame, least: float = 1.0) -> DataFrame:
-    """Points each measure could add to each repository's score, greatest first."""
+def recommendations(metrics: DataFrame, least: float = LEAST_GAP) -> DataFrame:
+    """``repo_key, area, points, potential``: what each area could add to the score, areas short of less than ``least`` left out."""
     parts = [
-        F.struct(
-            F.lit(m).alias("measure"),
-            F.round(100 * w * (1 - stats.clamp((F.coalesce(F.col(m).cast("double"), F.lit(best)) - worst) / (best - worst))), 4).alias("points"),
-        )
-        for m, worst, best, w in GRADE
+        F.struct(F.lit(area).alias("area"), (1 - score).alias("gap"), F.round(100 * weight * (1 - score), 4).alias("points"))
+        for area, score, weight in sub_scores(metrics.columns)
     ]
-    return metrics.select("repo_key", F.inline(F.array(*parts))).where(F.col("points") >= least)
+    found = metrics.select("repo_key", F.inline(F.array(*parts))).where(F.round("gap", 9) >= least)
+    return found.select("repo_key", "area", "points", F.round("points").cast("int").alias("potential"))
 
 
 def outliers(entries: DataFrame) -> DataFrame:
@@ -143,12 +211,42 @@ def unused_functions(symbols: DataFrame, called: DataFrame, interfaces: DataFram
     return open_.select(*keys, "kind", confidence.alias("confidence"))
 
 
-def dead_code_prior(symbols: DataFrame) -> DataFrame:
-    """Prior score of unused functions by name, file and complexity, through a sigmoid."""
-    name = F.when(F.startswith("name", F.lit("_")), 1.2).when(F.col("name").rlike("^(?:get|set|is|has)"), 0.8).otherwise(1.0)
-    file = F.when(F.col("file").rlike("(?:^|/)(?:cmd|main)"), 0.5).when(F.col("file").rlike("(?:^|/)internal/"), 1.1).otherwise(1.0)
-    raw = name * file * (1 + F.log1p(F.col("complexity").cast("double")) / 10)
-    return symbols.select("graph", "name", "file", F.round(stats.sigmoid(raw), 6).alias("prior"))
+# Factors by which names and files make a function less likely to be dead, first match wins.
+NAME_FACTORS = (
+    (r"^main$", 0.05), (r"^Test", 0.1), (r"^test_", 0.1), (r"^(?:setup_|teardown_)", 0.2), (r"^(?:example_|Example)", 0.2), (r"^Benchmark", 0.2),
+)
+FILE_FACTORS = (
+    (r"_test\.go|_test\.py", 0.1), (r"/test/|/tests/", 0.15), (r"evaluation/", 0.25), (r"examples/", 0.25), (r"/scripts/", 0.3), (r"benchmark", 0.2),
+)
+
+
+def _factor(value: Column, factors: tuple[tuple[str, float], ...]) -> Column:
+    found = F.lit(1.0)
+    for pattern, factor in reversed(factors):
+        found = F.when(value.rlike(pattern), factor).otherwise(found)
+    return found
+
+
+def dead_code_prior(symbols: DataFrame, called: DataFrame) -> DataFrame:
+    """``graph, name, file, prior``: functions nothing calls, by factors of name and file times complexity, the likeliest of each graph.
+
+    ``symbols``: graph, name, file, kind, complexity; ``called``: graph, name,
+    file.  Of n symbols of a graph n / 60 functions are kept, 50 at least and 200 at most.
+    """
+    keys = ["graph", "name", "file"]
+    sizes = symbols.groupBy("graph").agg(F.count("*").alias("n"))
+    orphans = symbols.where(F.col("kind") == "function").join(called, keys, "left_anti")
+    prior = _factor(F.col("name"), NAME_FACTORS) * _factor(F.col("file"), FILE_FACTORS) * F.coalesce(F.col("complexity").cast("double"), F.lit(0.0))
+    scored = orphans.select(*keys, F.round(prior, 6).alias("prior"))
+    order = Window.partitionBy("graph").orderBy(F.desc("prior"), "name", "file")
+    placed = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 200).join(sizes, "graph")
+    limit = F.least(F.lit(200), F.greatest(F.lit(50), F.floor(F.col("n") / 60)))
+    return placed.where(F.col("place") <= limit).select(*keys, "prior")
+
+
+def dead_code_probability(raw: Column) -> Column:
+    """A relevance logit as a probability."""
+    return stats.sigmoid(raw)
 
 
 def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -196,24 +294,134 @@ def symbol_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["name", "kind"], "full_outer").select("name", "kind", side.alias("side"))
 
 
-def greedy_matches(a: DataFrame, b: DataFrame, least: float = 0.7) -> DataFrame:
-    """Match symbols (id, name, kind) of two lists one to one: equal names first, then by edit distance within a kind.
+#: Least similarity of names, signatures and vectors of matched symbols, and least overlap of their bodies.
+LEAST_NAME, LEAST_SIGNATURE, LEAST_VECTOR, LEAST_OVERLAP = 0.7, 0.85, 0.75, 0.15
+
+
+def _one_to_one(candidates: DataFrame) -> DataFrame:
+    """A maximal one-to-one choice of (a_id, b_id, score): rounds of pairs that are each other's best, until none is left.
 
-    The second stage goes through candidates with a common first word of the
-    name, best first; each symbol is used once.  Rounds of mutually best pairs
-    replace the sequential scan and give a maximal matching.
+    Ties go to the smaller ids, so that every round takes at least the best
+    pair of all; a round is two aggregates and two anti-joins.
+    """
+    left, chosen = cut_lineage(candidates, "match-candidates"), None
+    while not left.isEmpty():
+        best_a = left.groupBy("a_id").agg(F.min_by("b_id", F.struct(-F.col("score"), "b_id")).alias("b_id"))
+        best_b = left.groupBy("b_id").agg(F.min_by("a_id", F.struct(-F.col("score"), "a_id")).alias("a_id"))
+        taken = cut_lineage(left.join(best_a, ["a_id", "b_id"]).join(best_b, ["a_id", "b_id"]), "match-round")
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        left = left.join(taken.select("a_id"), "a_id", "left_anti").join(taken.select("b_id"), "b_id", "left_anti")
+        left = cut_lineage(left, "match-candidates")
+    return left if chosen is None else chosen
+
+
+def edit_candidates(a: DataFrame, b: DataFrame, least: float, gram: int = 2) -> DataFrame:
+    """``a_id, b_id, score``: pairs of (id, kind, text) of one kind whose edit similarity is ``least`` or more; no pair is lost.
+
+    d edits touch at most ``gram`` * d grams, so that of its grams in order of
+    rarity the first ``gram`` * d + 1 of each text must have one in common.
+    Only these are joined on; equal grams of a text are told apart by number.
+    The similarity is 1 less the distance over the longer length; texts too
+    short to have a gram in common for certain only meet if they are equal.
+    """
+
+    def grams(rows: DataFrame) -> DataFrame:
+        all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - gram + 1)), lambda i: F.substring("text", i, F.lit(gram)))
+        numbered = F.transform(all_, lambda g, i: F.concat(g, F.lit("\0"), F.size(F.filter(F.slice(all_, 1, i), lambda x: x == g)).cast("string")))
+        return rows.where(F.col("id").isNotNull() & (F.length("text") > 0)).select(
+            "id", "kind", F.length("text").alias("n"), F.floor((1 - least) / least * F.length("text") + 1e-9).alias("far"), F.explode(numbered).alias("token")
+        )
+
+    both = grams(a).withColumn("side", F.lit(0)).unionByName(grams(b).withColumn("side", F.lit(1)))
+    both = cut_lineage(both, "match-grams")
+    rarity = both.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("side", "id").orderBy("df", "token")
+    first = both.join(rarity, "token").withColumn("at", F.row_number().over(order)).where(F.col("at") <= gram * F.col("far") + 1)
+    first = cut_lineage(first.select("side", "id", "kind", "n", "token"), "match-prefixes")
+    left = first.where("side = 0").select(F.col("id").alias("a_id"), "kind", F.col("n").alias("na"), "token")
+    right = first.where("side = 1").select(F.col("id").alias("b_id"), "kind", F.col("n").alias("nb"), "token")
+    met = left.join(right, ["kind", "token"]).where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("a_id", "b_id").distinct()
+    joined = met.join(a.select(F.col("id").alias("a_id"), F.col("text").alias("ta")), "a_id").join(
+        b.select(F.col("id").alias("b_id"), F.col("text").alias("tb")), "b_id"
+    )
+    return joined.select("a_id", "b_id", F.round(name_similarity(F.col("ta"), F.col("tb")), 6).alias("score")).where(F.col("score") >= least)
+
+
+def token_overlap(a: Column, b: Column) -> Column:
+    """Common identifiers of two texts, each as often as both have it, over those of the shorter list; 0 if one has none."""
+
+    def numbered(text: Column) -> Column:
+        words = F.array_sort(F.regexp_extract_all(text, F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
+        return F.transform(words, lambda x, i: F.concat(x, F.lit("\0"), (i - F.array_position(words, x)).cast("string")))
+
+    left, right = numbered(a), numbered(b)
+    smaller = F.least(F.size(left), F.size(right))
+    return F.when(smaller > 0, F.size(F.array_intersect(left, right)) / smaller).otherwise(0.0)
+
+
+def greedy_matches(a: DataFrame, b: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """``a_id, b_id, how, score``: symbols of two lists matched one to one, and those left over.
+
+    ``a`` and ``b``: id, name, kind, file, signature, body, body_hash.  Stages,
+    each among what is left of the one before: equal name and kind (``exact``,
+    ``modified`` if the bodies' hashes differ, ``moved`` if only the files do),
+    similar names whose bodies have identifiers in common (``fuzzy``), similar
+    signatures (``renamed``, nearer to 1 if the hashes agree), near vectors
+    (``semantic``: a_id, b_id, score of ``near``).  What is left is a ``gap``.
+    Equal symbols go in order of id; the other stages take rounds of pairs that
+    are each other's best rather than one scan in order.
     """
     order = Window.partitionBy("name", "kind").orderBy("id")
+    a, b = (cut_lineage(x.select("id", "name", "kind", "file", "signature", "body", "body_hash").where("id IS NOT NULL"), "match-side") for x in (a, b))
     left, right = (x.withColumn("k", F.row_number().over(order)) for x in (a, b))
-    exact = left.select(F.col("id").alias("a_id"), "name", "kind", "k").join(
-        right.select(F.col("id").alias("b_id"), "name", "kind", "k"), ["name", "kind", "k"]
-    ).select("a_id", "b_id", F.lit("exact").alias("how"), F.lit(1.0).alias("similarity"))
-    word = F.lower(F.regexp_extract("name", r"^_*([A-Z]?[a-z]+|[A-Z]+)", 1))
-    rest_a = a.join(exact.select(F.col("a_id").alias("id")), "id", "left_anti").select(F.col("id").alias("a_id"), F.col("name").alias("an"), "kind", word.alias("w"))
-    rest_b = b.join(exact.select(F.col("b_id").alias("id")), "id", "left_anti").select(F.col("id").alias("b_id"), F.col("name").alias("bn"), "kind", word.alias("w"))
-    near = rest_a.join(rest_b, ["kind", "w"]).withColumn("similarity", F.round(name_similarity(F.col("an"), F.col("bn")), 6))
-    near = near.where(F.col("similarity") >= least)
-    best_a = near.groupBy("a_id").agg(F.min_by("b_id", F.struct(-F.col("similarity"), "b_id")).alias("b_id"), F.max("similarity").alias("similarity"))
-    best_b = near.groupBy("b_id").agg(F.min_by("a_id", F.struct(-F.col("similarity"), "a_id")).alias("a_id"))
-    fuzzy = best_a.join(best_b, ["a_id", "b_id"]).select("a_id", "b_id", F.lit("fuzzy").alias("how"), "similarity")
-    return exact.unionByName(fuzzy)
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("name", "kind", "k", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "file", "body_hash")])
+
+    hashed = (F.coalesce("a_body_hash", F.lit(0)) != 0) & (F.coalesce("b_body_hash", F.lit(0)) != 0)
+    how = F.when(hashed & (F.col("a_body_hash") != F.col("b_body_hash")), "modified").when(
+        hashed & (F.col("a_file") != F.col("b_file")), "moved"
+    ).otherwise("exact")
+    found = side(left, "a").join(side(right, "b"), ["name", "kind", "k"]).select("a_id", "b_id", how.alias("how"), F.lit(1.0).alias("score"))
+    found = cut_lineage(found, "match-exact")
+
+    def rest(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(x.join(done.select(F.col(c).alias("id")), "id", "left_anti") for x, c in ((a, "a_id"), (b, "b_id")))
+
+    def stage(pairs: DataFrame, name: str) -> DataFrame:
+        return found.unionByName(_one_to_one(pairs).select("a_id", "b_id", F.lit(name).alias("how"), "score"))
+
+    def texts(rows: DataFrame, column: str) -> DataFrame:
+        return rows.select("id", "kind", F.col(column).alias("text"))
+
+    def both(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        for rows, s in ((a, "a"), (b, "b")):
+            pairs = pairs.join(rows.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in columns]), f"{s}_id")
+        return pairs
+
+    ra, rb = rest(found)
+    named = both(edit_candidates(texts(ra, "name"), texts(rb, "name"), LEAST_NAME), ["body"])
+    bodies = (F.coalesce(F.length("a_body"), F.lit(0)) > 0) & (F.coalesce(F.length("b_body"), F.lit(0)) > 0)
+    named = named.where(~bodies | (token_overlap(F.col("a_body"), F.col("b_body")) >= LEAST_OVERLAP)).select("a_id", "b_id", "score")
+    found = cut_lineage(stage(named, "fuzzy"), "match-fuzzy")
+    ra, rb = rest(found)
+    signed = both(edit_candidates(texts(ra, "signature"), texts(rb, "signature"), LEAST_SIGNATURE, 3), ["body_hash"])
+    agree = hashed & (F.col("a_body_hash") == F.col("b_body_hash"))
+    signed = signed.select("a_id", "b_id", F.when(agree, (F.col("score") + 1) / 2).otherwise(F.col("score")).alias("score"))
+    found = cut_lineage(stage(signed, "renamed"), "match-renamed")
+    if near is not None:
+        ra, rb = rest(found)
+        close = near.where(F.col("score") >= LEAST_VECTOR).join(ra.select(F.col("id").alias("a_id")), "a_id", "left_semi")
+        found = cut_lineage(stage(close.join(rb.select(F.col("id").alias("b_id")), "b_id", "left_semi").select("a_id", "b_id", "score"), "semantic"), "match-semantic")
+    ra, rb = rest(found)
+    gap = [F.lit("gap").alias("how"), F.lit(0.0).alias("score")]
+    kind = dict(a.dtypes)["id"]
+    only_a = ra.select(F.col("id").alias("a_id"), F.lit(None).cast(kind).alias("b_id"), *gap)
+    only_b = rb.select(F.lit(None).cast(kind).alias("a_id"), F.col("id").alias("b_id"), *gap)
+    return found.unionByName(only_a).unionByName(only_b)
+
+
+def match_breakdown(matches: DataFrame) -> DataFrame:
+    """``how, side, matches``: matches of each kind; gaps by the side that has no counterpart."""
+    side = F.when(F.col("how") != "gap", "both").when(F.col("b_id").isNull(), "only_a").otherwise("only_b")
+    return matches.groupBy("how", side.alias("side")).agg(F.count("*").alias("matches"))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import stats
 from cartolith.functions.text import cosine, field_tokens, set_similarity, trigrams
+from cartolith.session import broadcast_if_bounded, cut_lineage
 
 #: Weights of the fields, and the two parameters of BM25F.
 FIELD_WEIGHTS, K1, B = {"symbol": 5.0, "path": 5.0, "doc": 2.0}, 1.2, 0.75
+#: Terms that all queries of one call may have together.
+MOST_TERMS = 1000
 #: Weights of the arms of fused retrieval.
 ARM_WEIGHTS = {"semantic": 1.0, "keyword": 0.5, "sparse": 0.0, "graph": 0.25, "hotspot": 0.15, "recency": 0.1}
 
@@ -20,39 +23,45 @@ ARM_WEIGHTS = {"semantic": 1.0, "keyword": 0.5, "sparse": 0.0, "graph": 0.25, "h
 def bm25f(docs: DataFrame, queries: DataFrame, low_priority: Column | None = None) -> DataFrame:
     """``query, doc, score`` of documents (doc, symbol, path, doc_text) for queries (query, term).
 
-    Tokens are counted per document and token before any shuffle by token, so
-    that a frequent token is summed early; documents' lengths and the corpus'
-    size come from the same counts.  Only query terms are joined on.
+    Length and the counts of the queries' own terms (at most ``MOST_TERMS``)
+    are taken from a document's tokens in its own row, in one pass that writes
+    no tokens; the corpus' size, mean length and the terms' frequencies follow
+    from that small table.  The length is 5 for each token of the symbol, 2 for
+    a comment and 5 for the path.  The counts of documents for which
+    ``low_priority`` holds are divided by 5.
     """
+    found = queries.select("term").distinct().limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} query terms")
+    terms = F.array(*[F.lit(t) for t in sorted(r["term"] for r in found if r["term"])]).cast("array<string>")
+
+    def tokens(column: str, compact: bool) -> Column:
+        return field_tokens(F.coalesce(column, F.lit("")), compact=compact)
+
+    low = F.lit(False) if low_priority is None else F.coalesce(low_priority, F.lit(False))
+    fields = docs.select(
+        "doc", low.alias("low"), tokens("symbol", True).alias("s"), tokens("path", True).alias("p"), tokens("doc_text", False).alias("d"),
+        F.when(F.length("doc_text") > 0, FIELD_WEIGHTS["doc"]).otherwise(0.0).alias("docs"),
+    )
 
+    def count(term: Column) -> Column:
+        parts = [F.size(F.filter(c, lambda t: t == term)) * FIELD_WEIGHTS[name] for c, name in (("s", "symbol"), ("p", "path"), ("d", "doc"))]
+        return reduce(lambda x, y: x + y, parts)
 
-    def weigh(column: str, weight: float) -> Column:
-        tokens = field_tokens(F.coalesce(column, F.lit("")))
-        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-
-    weighted = [
-        weigh(column, FIELD_WEIGHTS[field]) for column, field in (("symbol", "symbol"), ("path", "path"), ("doc_text", "doc"))
-    ]
-    low = F.lit(False) if low_priority is None else low_priority
-    all_tokens = docs.select("doc", low.alias("low"), F.concat(*weighted).alias("t"))
-    lengths = all_tokens.select(
-        "doc", "low", F.aggregate("t", F.lit(0.0), lambda s, x: s + x["w"]).alias("length")
-    )
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = queries.select("term").distinct()
-    counts = (
-        all_tokens.select("doc", F.explode("t").alias("x"))
-        .select("doc", "x.term", "x.w")
-        .join(F.broadcast(terms), "term")  # the query's own words
-        .groupBy("doc", "term").agg(F.sum("w").alias("tf"))
-    )
+    hits = F.filter(F.transform(terms, lambda t: F.struct(t.alias("term"), count(t).alias("tf"))), lambda x: x["tf"] > 0)
+    length = FIELD_WEIGHTS["symbol"] * F.size("s") + F.col("docs") + FIELD_WEIGHTS["path"]
+    measured = cut_lineage(fields.select("doc", "low", length.alias("length"), hits.alias("hits")), "bm25-documents")
+    corpus = measured.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    counts = measured.select("doc", "low", "length", F.inline("hits"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    joined = counts.join(F.broadcast(frequency), "term").join(lengths, "doc").crossJoin(F.broadcast(corpus))  # one row
+    joined = counts.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(corpus))  # at most MOST_TERMS rows, and one row
     tf = F.when(F.col("low"), F.col("tf") / 5).otherwise(F.col("tf"))
     norm = 1 - B + B * F.col("length") / F.col("mean")
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     scored = joined.select("doc", "term", (idf * tf * (K1 + 1) / (tf + K1 * norm)).alias("part"))
-    return scored.join(F.broadcast(queries), "term").groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
+    return scored.join(broadcast_if_bounded(queries.select("query", "term").distinct()), "term").groupBy("query", "doc").agg(
+        F.round(F.sum("part"), 6).alias("score")
+    )
 
 
 def trigram_scores(docs: DataFrame, query: str, least: float = 0.1) -> DataFrame:
@@ -77,7 +86,7 @@ def dense_neighbours(rows: DataFrame, query: Sequence[float], k: int = 20, most:
 def sparse_scores(docs: DataFrame, query: DataFrame) -> DataFrame:
     """``doc, score``: inner product of sparse vectors (doc, term, w) with the query's (term, w)."""
     return (
-        docs.join(F.broadcast(query.select("term", F.col("w").alias("qw"))), "term")  # the query's own terms
+        docs.join(broadcast_if_bounded(query.select("term", F.col("w").alias("qw"))), "term")
         .groupBy("doc").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     )
 
@@ -181,20 +190,33 @@ def grep_lines(files: DataFrame, pattern: str, context: int = 1) -> DataFrame:
     )
 
 
-def innermost_spans(points: DataFrame, spans: DataFrame) -> DataFrame:
+def innermost_spans(points: DataFrame, spans: DataFrame, stripe: int = 64) -> DataFrame:
     """``point_id, name``: the smallest span (repo, file, start_line, end_line, name) around each point (point_id, repo, file, line).
 
-    Equal spans go by start and name.
+    Equal spans go by start and name.  A span is cut into stripes of ``stripe``
+    lines and meets the points of its stripes only.
     """
-    joined = points.join(spans, ["repo", "file"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    def stripes(line: str) -> Column:
+        return F.floor(F.col(line) / stripe)
+
+    cut = spans.where("start_line <= end_line").withColumn("stripe", F.explode(F.sequence(stripes("start_line"), stripes("end_line"))))
+    joined = points.withColumn("stripe", stripes("line")).join(cut, ["repo", "file", "stripe"])
+    joined = joined.where(F.col("line").between(F.col("start_line"), F.col("end_line")))
     size = F.struct(F.col("end_line") - F.col("start_line"), "start_line", "name")
     return joined.groupBy("point_id").agg(F.min_by("name", size).alias("name"))
 
 
 def preceding_symbols(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``point_id, name``: the nearest symbol that starts at or before each point (as-of join, backward)."""
-    joined = points.join(spans, ["repo", "file"]).where(F.col("start_line") <= F.col("line"))
-    return joined.groupBy("point_id").agg(F.max_by("name", F.struct("start_line", "name")).alias("name"))
+    """``point_id, name``: the nearest symbol that starts at or before each point (as-of join, backward).
+
+    Points and starts are sorted together within their file, and the last start
+    is carried on; nothing is multiplied.
+    """
+    starts = spans.groupBy("repo", "file", F.col("start_line").alias("line")).agg(F.max("name").alias("name"))
+    both = starts.select("repo", "file", "line", "name").unionByName(points.select("repo", "file", "line", "point_id"), allowMissingColumns=True)
+    order = Window.partitionBy("repo", "file").orderBy("line", F.col("point_id").isNotNull())
+    carried = both.withColumn("name", F.last("name", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return carried.where(F.col("point_id").isNotNull() & F.col("name").isNotNull()).select("point_id", "name")
 
 
 def overlapping_spans(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -204,21 +226,38 @@ def overlapping_spans(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def diverse_selection(candidates: list[tuple[str, float, int, frozenset[str]]], budget: int, trade: float = 0.7) -> list[str]:
+def diverse_selection(
+    candidates: list[tuple[str, float, int, frozenset[str]]], budget: int, trade: float = 0.7, keep_first: bool = False
+) -> list[str]:
     """Greedy choice of (id, relevance, size, tokens) by relevance less similarity to what is chosen, within a budget.
 
-    Runs on the driver over the few hundred candidates of one answer; what does not fit is passed over.
+    For the candidates of one answer; what does not fit is passed over, with
+    ``keep_first`` except for the first.  Each candidate's greatest similarity
+    is kept and compared with the latest choice only.
     """
-    chosen: list[tuple[str, float, int, frozenset[str]]] = []
-    left, room = sorted(candidates, key=lambda c: c[0]), budget
+    left = {c[0]: c for c in sorted(candidates, key=lambda c: c[0])}
+    near = dict.fromkeys(left, 0.0)
+    chosen, room = [], budget
     while left:
-        def value(c: tuple[str, float, int, frozenset[str]]) -> float:
-            near = max((len(c[3] & o[3]) / max(1, len(c[3] | o[3])) for o in chosen), default=0.0)
-            return trade * c[1] - (1 - trade) * near
-
-        best = max(left, key=value)
-        left.remove(best)
-        if best[2] <= room:
-            chosen.append(best)
-            room -= best[2]
-    return [c[0] for c in chosen]
+        best = max(left.values(), key=lambda c: trade * c[1] - (1 - trade) * near[c[0]])
+        del left[best[0]]
+        if best[2] > room and (chosen or not keep_first):
+            continue
+        chosen.append(best[0])
+        room -= best[2]
+        for c in left.values():
+            near[c[0]] = max(near[c[0]], len(c[3] & best[3]) / max(1, len(c[3] | best[3])))
+    return chosen
+
+
+def global_rank(scores: DataFrame, key: str) -> DataFrame:
+    """Add ``place`` to scores (key, score), greatest first, ties by key, without one task for all rows.
+
+    Rows are cut by range into partitions, whose sizes are added up.
+    """
+    order = [F.desc("score"), F.col(key)]
+    cut = cut_lineage(scores.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "rank-ranges")
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    within = Window.partitionBy("_part").orderBy(*order)
+    return cut.join(F.broadcast(before), "_part").withColumn("place", F.row_number().over(within) + F.col("_before")).drop("_part", "_before")

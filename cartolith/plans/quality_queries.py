@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cartolith.functions import predicates, text
 from cartolith.operators import duplicates, quality, retrieval
 from cartolith.operators import graph_templates as gt
+from cartolith.plans.measure_sql import measured_sql
+from cartolith.sources import scanners
 from cartolith.sources.tables import (
     ENTRIES_SQL,
     FILES_SQL,
@@ -22,10 +24,14 @@ from cartolith.sources.tables import (
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     own, src = entries(spark, folder), files(spark, folder)
+    ratios = quality.repository_ratios(src).withColumnRenamed("repo", "repo_key").na.drop(subset=["repo_key"])
+    needed = scanners.manifest_dependencies(src).groupBy(F.col("repo").alias("repo_key")).agg(F.count("*").alias("total_deps"))
     return (
         quality.function_metrics(own)
-        .join(quality.repository_ratios(src).withColumnRenamed("repo", "repo_key").select("repo_key", "test_ratio"), "repo_key", "left")
+        .join(ratios, "repo_key", "left")
         .join(duplicates.duplication_ratio(own).select("repo_key", F.col("ratio").alias("duplication")), "repo_key", "left")
+        .join(needed, "repo_key", "left")
+        .withColumn("deps_scanned", F.lit(True))
     )
 
 
@@ -55,7 +61,32 @@ def g11_unused(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g12_dead_code_prior(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.dead_code_prior(snapshot_graphs(spark, folder).symbols)
+    g = snapshot_graphs(spark, folder)
+    return quality.dead_code_prior(g.symbols, g.calls().select("graph", F.col("dst").alias("name"), F.col("dst_file").alias("file")))
+
+
+def largest_repositories(spark: SparkSession, folder: str) -> list[str]:
+    """The two repositories with most entries; ties by name."""
+    own = entries(spark, folder).where("repo_key IS NOT NULL").groupBy("repo_key").agg(F.count("*").alias("n"))
+    return [r["repo_key"] for r in own.orderBy(F.desc("n"), "repo_key").limit(2).collect()]
+
+
+def j21_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols of the two largest repositories matched one to one."""
+    own = entries(spark, folder).withColumn("id", F.col("entry_id"))
+    a, b = (own.where(F.col("repo_key") == r) for r in largest_repositories(spark, folder))
+    return quality.greedy_matches(a, b)
+
+
+def x9_match_breakdown(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.match_breakdown(j21_matches(spark, folder))
+
+
+def j21_similar_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of structs of different repositories, the largest and the second, whose names are similar."""
+    own = entries(spark, folder).where("kind = 'struct'").select(F.col("entry_id").alias("id"), "repo_key", "kind", F.col("name").alias("text"))
+    a, b = (own.where(F.col("repo_key") == r) for r in largest_repositories(spark, folder))
+    return quality.edit_candidates(a, b, quality.LEAST_NAME)
 
 
 def f_path_predicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,16 +139,17 @@ def r3_identifier_parts(spark: SparkSession, folder: str) -> DataFrame:
     return entries(spark, folder).select("entry_id", F.array_join(text.split_identifier(F.col("name")), " ").alias("parts"))
 
 
-def scalar_cyclomatic(spark: SparkSession, folder: str) -> DataFrame:
-    return entries(spark, folder).where(F.col("body").isNotNull()).select("entry_id", text.cyclomatic(F.col("body")).alias("cyclomatic"))
-
-
 QUERIES = {
     "a14_function_metrics": lambda s, d: quality.function_metrics(entries(s, d)),
     "a15_repository_ratios": lambda s, d: quality.repository_ratios(files(s, d)),
     "a16_duplication": lambda s, d: duplicates.duplication_ratio(entries(s, d)),
     "a17_grade": lambda s, d: quality.grade(_metrics(s, d)).select("repo_key", "score", "grade"),
     "a18_recommendations": lambda s, d: quality.recommendations(_metrics(s, d)),
+    "a14_magic_numbers": lambda s, d: quality.magic_numbers(entries(s, d)),
+    "scalar_measures": lambda s, d: quality.function_measures(entries(s, d)).drop("start_line"),
+    "j21_matches": j21_matches,
+    "j21_similar_names": j21_similar_names,
+    "x9_match_breakdown": x9_match_breakdown,
     "a18_outliers": lambda s, d: quality.outliers(entries(s, d)),
     "a19_file_complexity": lambda s, d: quality.file_complexity(entries(s, d)),
     "a8_call_ratios": lambda s, d: quality.call_ratios(snapshot_graphs(s, d).calls()),
@@ -137,25 +169,35 @@ QUERIES = {
     "j10_innermost": j10_innermost,
     "j12_preceding": j12_preceding,
     "r3_identifier_parts": r3_identifier_parts,
-    "scalar_cyclomatic": scalar_cyclomatic,
 }
 
 _E = "WITH " + ENTRIES_SQL
 _F = "WITH " + FILES_SQL
 _G = "WITH " + GRAPH_SQL
 _TEST = predicates.TEST_FILE.replace("'", "''")
-_FM = """fm AS (SELECT repo_key, count(*) AS functions, round(avg(end_line - start_line + 1), 6) AS avg_lines, max(end_line - start_line + 1)::BIGINT AS max_lines,
-  round(avg(complexity), 6) AS avg_complexity, max(complexity) AS max_complexity,
-  round(avg(CASE WHEN coalesce(length(doc_comment), 0) > 0 THEN 1 ELSE 0 END), 6) AS doc_ratio
-  FROM entries WHERE kind IN ('function', 'method') GROUP BY repo_key)"""
+_PUBLIC = "coalesce(is_public, false) OR CASE WHEN lower(coalesce(language, '')) IN ('go', 'java', 'csharp') THEN regexp_matches(name, '^[A-Z]') ELSE NOT starts_with(name, '_') AND name <> '' END"
+_FM = measured_sql(_TEST) + f""",
+fm AS (SELECT m.*, doc_ratio, interfaces FROM (
+    SELECT repo_key, count(*) AS functions, """ + ", ".join(
+    f"round(coalesce(avg({c}), 0), 6) AS avg_{name}, coalesce(max({c}), 0)::BIGINT AS max_{name}"
+    for c, name in (("lines", "lines"), ("cyclomatic", "complexity"), ("cognitive", "cognitive"), ("nesting", "nesting"), ("parameters", "parameters"))
+) + f""", round(coalesce(avg(handled), 0), 6) AS error_ratio, round(coalesce(avg((magic > 0)::INT), 0), 6) AS magic_ratio FROM measured GROUP BY repo_key) m
+  JOIN (SELECT repo_key, round(coalesce(avg(CASE WHEN {_PUBLIC} THEN coalesce((length(doc_comment) > 0)::INT, 0) END), 0), 6) AS doc_ratio,
+          count(*) FILTER (kind = 'interface') AS interfaces FROM entries GROUP BY repo_key) d USING (repo_key))"""
 _RR = f"""rr AS (SELECT repo, count(*) AS files, round(avg(CASE WHEN regexp_matches(path, '{_TEST}') THEN 1 ELSE 0 END), 6) AS test_ratio,
   round(avg(CASE WHEN coalesce(lines, 0) > 250 THEN 1 ELSE 0 END), 6) AS large_ratio FROM files GROUP BY repo)"""
 _DR = """dr AS (SELECT repo_key, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS ratio, sum(n)::BIGINT AS functions
   FROM (SELECT repo_key, body_hash, count(*) AS n FROM entries WHERE body_hash <> 0 AND kind IN ('function', 'method') GROUP BY ALL) GROUP BY repo_key)"""
-_PART = [
-    f"least(greatest((coalesce({m}::DOUBLE, {best}) - {worst}) / ({best} - {worst}), 0), 1)" for m, worst, best, _ in quality.GRADE
-]
-_ALL = f"{_E}, {FILES_SQL}, {_FM}, {_RR}, {_DR}, m AS (SELECT fm.*, rr.test_ratio, dr.ratio AS duplication FROM fm LEFT JOIN rr ON rr.repo = fm.repo_key LEFT JOIN dr USING (repo_key))"
+
+
+def _sub_score(area: str, measure: str, best: float, worst: float) -> str:
+    known = {"semantic_ratio": "0.0", "fresh_ratio": "0.0", "secure_ratio": "0.0"}
+    score = f"least(greatest((coalesce({known.get(measure, measure)}::DOUBLE, 0) - {worst}) / ({best} - {worst}), 0), 1)"
+    return "1.0" if area in quality.OF_DEPENDENCIES else score  # the tables hold no manifests
+
+
+_PART = [_sub_score(area, measure, best, worst) for area, measure, best, worst, _ in quality.GRADE]
+_ALL = f"{_E}, {FILES_SQL}, {_FM}, {_RR}, {_DR}, m AS (SELECT fm.*, rr.files, rr.test_ratio, rr.large_ratio, dr.ratio AS duplication FROM fm LEFT JOIN rr ON rr.repo = fm.repo_key LEFT JOIN dr USING (repo_key))"
 _GREP = "hits AS MATERIALIZED (SELECT repo, path, pos AS line, text FROM (SELECT repo, path, unnest(lines_) AS text, generate_subscripts(lines_, 1)::INT AS pos FROM (SELECT repo, path, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines_ FROM files WHERE content IS NOT NULL)) WHERE regexp_matches(text, '(?i)error|fault'))"
 _SPANS = r"spans AS MATERIALIZED (SELECT DISTINCT repo_key AS repo, replace(file, '\', '/') AS file, name, start_line, end_line FROM entries)"
 _CALLS = r"call_sites AS MATERIALIZED (SELECT DISTINCT repo_key AS repo, file AS caller_file, unnest(regexp_extract_all(body, '\b([A-Za-z_]\w*)\(', 1)) AS callee FROM entries WHERE body IS NOT NULL), homes AS MATERIALIZED (SELECT DISTINCT repo_key AS repo, name AS callee, file FROM entries)"
@@ -168,11 +210,17 @@ SQL = {
     "a14_function_metrics": f"{_E}, {_FM} SELECT * FROM fm",
     "a15_repository_ratios": f"{_F}, {_RR} SELECT * FROM rr",
     "a16_duplication": f"{_E}, {_DR} SELECT repo_key, ratio, functions FROM dr",
-    "a17_grade": f"{_ALL}, s AS (SELECT repo_key, round(100 * (" + " + ".join(f"{w} * {p}" for p, (_, _, _, w) in zip(_PART, quality.GRADE, strict=True)) + "), 4) AS score FROM m)"
-    " SELECT repo_key, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s",
-    "a18_recommendations": f"{_ALL} SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT repo_key, '{m}' AS measure, round(100 * {w} * (1 - {p}), 4) AS points FROM m" for p, (m, _, _, w) in zip(_PART, quality.GRADE, strict=True)
-    ) + ") WHERE points >= 1",
+    "a17_grade": f"{_ALL}, s AS (SELECT repo_key, CASE WHEN coalesce(files, 1) = 0 THEN 0 ELSE round(round(100 * (" + " + ".join(f"{x[-1]} * {p}" for p, x in zip(_PART, quality.GRADE, strict=True)) + "), 9)) END AS score FROM m)"
+    " SELECT repo_key, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END AS grade FROM s",
+    "a18_recommendations": f"{_ALL} SELECT repo_key, area, points, round(points)::INT AS potential FROM (" + " UNION ALL ".join(
+        f"SELECT repo_key, '{x[0]}' AS area, 1 - {p} AS gap, round(100 * {x[-1]} * (1 - {p}), 4) AS points FROM m" for p, x in zip(_PART, quality.GRADE, strict=True)
+    ) + ") WHERE round(gap, 9) >= 0.05",
+    "a14_magic_numbers": f"{_E}, {measured_sql(_TEST)} SELECT repo_key, file, name, start_line, magic FROM measured WHERE magic > 0",
+    "scalar_measures": f"{_E}, {measured_sql(_TEST)} SELECT repo_key, file, name, lines, cyclomatic, cognitive, nesting, magic, parameters, handled FROM measured",
+    "j21_similar_names": f"""{_E}, r AS (SELECT repo_key, row_number() OVER (ORDER BY count(*) DESC, repo_key) AS rn FROM entries WHERE repo_key IS NOT NULL GROUP BY repo_key),
+      s AS (SELECT entry_id, name, rn FROM entries JOIN r USING (repo_key) WHERE kind = 'struct' AND name <> '')
+      SELECT a.entry_id AS a_id, b.entry_id AS b_id, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS score
+      FROM s a JOIN s b ON a.rn = 1 AND b.rn = 2 WHERE round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) >= 0.7""",
     "a18_outliers": f"""{_E} SELECT a.repo_key, a.name AS most_complex, b.name AS longest FROM
       (SELECT repo_key, name, row_number() OVER (PARTITION BY repo_key ORDER BY coalesce(complexity, 0) DESC, file, name) AS rn FROM entries WHERE kind IN ('function', 'method')) a
       JOIN (SELECT repo_key, name, row_number() OVER (PARTITION BY repo_key ORDER BY coalesce(end_line - start_line + 1, 0) DESC, file, name) AS rn FROM entries WHERE kind IN ('function', 'method')) b
@@ -191,8 +239,15 @@ SQL = {
       WHERE kind IN ('function', 'method') AND NOT regexp_matches(name, '{predicates.ENTRY_POINT}') AND NOT regexp_matches(file, '{_TEST}')
         AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.label IN ('CALLS', 'USES') AND e.graph = s.graph AND e.dst = s.name AND e.dst_file = s.file)
         AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.label = 'IMPLEMENTS' AND e.graph = s.graph AND e.src = s.name AND e.src_file = s.file)""",
-    "g12_dead_code_prior": _G + """SELECT graph, name, file, round(1 / (1 + exp(-(CASE WHEN starts_with(name, '_') THEN 1.2 WHEN regexp_matches(name, '^(get|set|is|has)') THEN 0.8 ELSE 1.0 END
-      * CASE WHEN regexp_matches(file, '(^|/)(cmd|main)') THEN 0.5 WHEN regexp_matches(file, '(^|/)internal/') THEN 1.1 ELSE 1.0 END * (1 + ln(1 + complexity) / 10)))), 6) AS prior FROM symbols""",
+    "g12_dead_code_prior": _G + """SELECT graph, name, file, prior FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY prior DESC, name, file) AS place FROM (
+        SELECT s.graph, name, file, n, round(CASE WHEN name = 'main' THEN 0.05 WHEN starts_with(name, 'Test') OR starts_with(name, 'test_') THEN 0.1
+            WHEN starts_with(name, 'setup_') OR starts_with(name, 'teardown_') OR starts_with(name, 'example_') OR starts_with(name, 'Example') OR starts_with(name, 'Benchmark') THEN 0.2 ELSE 1 END
+          * CASE WHEN contains(file, '_test.go') OR contains(file, '_test.py') THEN 0.1 WHEN contains(file, '/test/') OR contains(file, '/tests/') THEN 0.15
+            WHEN contains(file, 'evaluation/') OR contains(file, 'examples/') THEN 0.25 WHEN contains(file, '/scripts/') THEN 0.3 WHEN contains(file, 'benchmark') THEN 0.2 ELSE 1 END
+          * complexity, 6) AS prior
+        FROM symbols s JOIN (SELECT graph, count(*) AS n FROM symbols GROUP BY graph) USING (graph) WHERE kind = 'function'
+          AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.graph = s.graph AND c.dst = s.name AND c.dst_file = s.file)))
+      WHERE place <= least(200, greatest(50, floor(n / 60)))""",
     "j13_resolve_callees": f"""{_E}, {_CALLS}, c AS (SELECT s.repo, caller_file, s.callee, h.file AS callee_file,
         CASE WHEN caller_file = h.file THEN 0 WHEN {package_sql('caller_file')} = {package_sql('h.file')} THEN 1 ELSE 2 END AS rank,
         len(list_filter(range(1, least(len(string_split(caller_file, '/')), len(string_split(h.file, '/'))) + 1),
@@ -215,5 +270,4 @@ SQL = {
     "j12_preceding": f"""{_F}, {ENTRIES_SQL}, {_GREP}, {_SPANS} SELECT point_id, name FROM (SELECT h.repo || '#' || path || '#' || line AS point_id, name,
       row_number() OVER (PARTITION BY h.repo, path, line ORDER BY start_line DESC, name DESC) AS rn FROM hits h JOIN spans s ON s.repo = h.repo AND s.file = h.path AND start_line <= line) WHERE rn = 1""",
     "r3_identifier_parts": f"{_E} SELECT entry_id, array_to_string(list_filter(list_transform(regexp_split_to_array({_CAMEL}, '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 2), ' ') AS parts FROM entries",
-    "scalar_cyclomatic": rf"{_E} SELECT entry_id, (1 + len(regexp_extract_all(body, '\b(?:if|for|while|case|catch|except|elif|when)\b')) + len(regexp_extract_all(body, '&&|\|\|')))::INT AS cyclomatic FROM entries WHERE body IS NOT NULL",
 }

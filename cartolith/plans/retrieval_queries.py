@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartolith.functions import text
+from cartolith.functions import predicates, text
 from cartolith.operators import retrieval
 from cartolith.session import table
 from cartolith.sources.tables import ENTRIES_SQL, FILES_SQL, entries, files
@@ -27,7 +27,7 @@ def search_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r5_bm25f(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.bm25f(search_docs(spark, folder), questions(spark))
+    return retrieval.bm25f(search_docs(spark, folder), questions(spark), predicates.is_low_priority(F.col("path")))
 
 
 def t4_trigram(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,10 +73,6 @@ def arms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r8_rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.fuse_ranks(arms(spark, folder), window=10)
-
-
-def r8_rank_fusion_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of every arm fused, as the reference does by default."""
     return retrieval.fuse_ranks(arms(spark, folder), window=None)
 
@@ -111,10 +107,6 @@ def r17_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _metrics(spark, folder, r8_rank_fusion(spark, folder))
 
 
-def r17_metrics_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _metrics(spark, folder, r8_rank_fusion_all(spark, folder))
-
-
 def _means(spark: SparkSession, folder: str, metrics: DataFrame) -> DataFrame:
     repos = table(spark, folder, "hypotheses").select(F.col("investigation_id").alias("query"), "repo_key").distinct()
     means = retrieval.mean_metrics(metrics.join(repos, "query"), ["repo_key"])
@@ -125,10 +117,6 @@ def a25_mean_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _means(spark, folder, r17_metrics(spark, folder))
 
 
-def a25_mean_metrics_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _means(spark, folder, r17_metrics_all(spark, folder))
-
-
 def a26_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.percentiles(table(spark, folder, "events"), "event_type", "value")
 
@@ -139,13 +127,10 @@ QUERIES = {
     "t2_dense": t2_dense,
     "t3_sparse": t3_sparse,
     "r8_rank_fusion": r8_rank_fusion,
-    "r8_rank_fusion_all": r8_rank_fusion_all,
     "r11_score_fusion": r11_score_fusion,
     "r14_stale": r14_stale,
     "r17_metrics": r17_metrics,
-    "r17_metrics_all": r17_metrics_all,
     "a25_mean_metrics": a25_mean_metrics,
-    "a25_mean_metrics_all": a25_mean_metrics_all,
     "a26_percentiles": a26_percentiles,
 }
 
@@ -155,11 +140,12 @@ _SPLIT = (
 )
 
 
-def _tokens(column: str) -> str:
-    """All tokens of a text field as a list: words and their parts of at least three characters."""
-    words = f"regexp_extract_all(coalesce({column}, ''), '[A-Za-z0-9_]+')"
+def _tokens(column: str, compact: bool = False) -> str:
+    """All tokens of a text field as a list: words and their parts of at least three characters, run together if ``compact``."""
+    words = f"regexp_extract_all(coalesce({column}, ''), '[A-Za-z0-9]+')"
     parts = f"list_filter(list_transform(regexp_split_to_array({_SPLIT.format(w='w')}, '[^A-Za-z0-9]+'), lambda p: lower(p)), lambda p: length(p) >= 2 AND p <> lower(w))"
-    return f"list_filter(list_concat(list_transform({words}, lambda w: lower(w)), flatten(list_transform({words}, lambda w: {parts}))), lambda t: length(t) >= 3)"
+    more = f", CASE WHEN len({words}) > 1 THEN [lower(array_to_string({words}, ''))] ELSE [] END" if compact else ""
+    return f"list_filter(list_concat(list_transform({words}, lambda w: lower(w)), flatten(list_transform({words}, lambda w: {parts})){more}), lambda t: length(t) >= 3)"
 
 
 _TERMS = "terms(query, term) AS (VALUES " + ", ".join(
@@ -183,7 +169,7 @@ WITH rows AS (SELECT investigation_id AS query, hyp_id AS doc, coalesce(max(span
 arms AS (SELECT query, 'semantic' AS arm, 1.0 AS w, doc, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc) AS place FROM rows
   UNION ALL SELECT query, 'keyword', 0.5, doc, row_number() OVER (PARTITION BY query ORDER BY a DESC, doc) FROM rows
   UNION ALL SELECT query, 'recency', 0.1, doc, row_number() OVER (PARTITION BY query ORDER BY t DESC, doc) FROM rows),
-fused AS (SELECT query, doc, round(sum(w / (60 + place)), 9) AS score, CASE WHEN count(DISTINCT arm) > 1 THEN 'hybrid' ELSE min(arm) END AS source FROM arms WHERE place <= 10 GROUP BY ALL)
+fused AS (SELECT query, doc, round(sum(w / (60 + place)), 9) AS score, CASE WHEN count(DISTINCT arm) > 1 THEN 'hybrid' ELSE min(arm) END AS source FROM arms GROUP BY ALL)
 """
 _JUDGED = _ARMS + """, good AS (SELECT DISTINCT investigation_id AS query, hyp_id AS doc FROM hypotheses WHERE confidence = 'high'),
 total AS (SELECT query, count(*) AS n FROM good GROUP BY query),
@@ -193,15 +179,16 @@ rolled AS (SELECT query, sum(CASE WHEN rel = 1 AND place <= 10 THEN 1 / log2(pla
 metrics AS (SELECT query, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg10, round(a10 / n, 6) AS recall10, round(a20 / n, 6) AS recall20,
   round(coalesce(1 / first, 0), 6) AS mrr FROM rolled JOIN total USING (query))
 """
+_LOW = f"{predicates.LOW_PRIORITY}|{predicates.TEST_FILE}"
 SQL = {
     "r5_bm25f": f"""WITH {ENTRIES_SQL}, {_TERMS},
-      tok AS MATERIALIZED (SELECT entry_id AS doc, {_tokens('name')} AS s, {_tokens('file')} AS p, {_tokens('doc_comment')} AS d FROM entries),
-      len AS (SELECT doc, 5.0 * len(s) + 5.0 * len(p) + 2.0 * len(d) AS length FROM tok),
+      tok AS MATERIALIZED (SELECT entry_id AS doc, {_tokens('name', True)} AS s, {_tokens('file', True)} AS p, {_tokens('doc_comment')} AS d, coalesce(regexp_matches(file, '{_LOW}'), false) AS low, CASE WHEN length(doc_comment) > 0 THEN 2.0 ELSE 0 END AS docs FROM entries),
+      len AS (SELECT doc, low, 5.0 * len(s) + docs + 5.0 AS length FROM tok),
       corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
       tf AS (SELECT doc, term, sum(w) AS tf FROM (SELECT doc, unnest(s) AS term, 5.0 AS w FROM tok UNION ALL SELECT doc, unnest(p), 5.0 FROM tok UNION ALL SELECT doc, unnest(d), 2.0 FROM tok)
              WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
       df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-      SELECT t.query, tf.doc, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+      SELECT t.query, tf.doc, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf / CASE WHEN low THEN 5 ELSE 1 END) * 2.2 / (tf / CASE WHEN low THEN 5 ELSE 1 END + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
       FROM tf JOIN df USING (term) JOIN len USING (doc) JOIN terms t USING (term), corpus GROUP BY ALL""",
     "t4_trigram": f"""WITH {ENTRIES_SQL}, g AS MATERIALIZED (SELECT entry_id AS doc, {_grams('name')} AS a, {_grams('file')} AS b, {_grams("'walkShardCursor'")} AS q FROM entries),
       s AS (SELECT doc, {_jaccard('a', 'q')} AS ns, {_jaccard('b', 'q')} AS ps FROM g)
@@ -222,5 +209,3 @@ SQL = {
       FROM m GROUP BY GROUPING SETS ((repo_key), ())""",
     "a26_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type",
 }
-#: The same over every place.
-SQL |= {f"{name}_all": SQL[name].replace(" WHERE place <= 10 GROUP BY ALL", " GROUP BY ALL") for name in ("r8_rank_fusion", "r17_metrics", "a25_mean_metrics")}

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.functions.predicates import BINARY, contains_any, is_ignored, language_of, matches_glob
 from cartolith.sources.tables import package_of
 
-# Signals by which a manifest's text tells the role of its layer, first match wins.
+# Code by which a layer's sources tell its role; the first role with a match wins.
 ROLES = (
-    ("server", ("express", "fastapi", "flask", "gin-gonic", "actix", "spring-boot", "django", "net/http")),
-    ("client", ("react", "vue", "svelte", "angular", "astro", "next")),
-    ("worker", ("celery", "sidekiq", "bull", "temporal", "kafka")),
-)
-
-
-def walk_files(spark: SparkSession, folder: str, max_bytes: int = 1_000_000) -> DataFrame:
-    """``path, size, language, content, skipped``: all files below a folder; ``skipped`` says why content is null."""
+    ("server", (
+        "http.ListenAndServe", "http.Serve", "http.Server{", "http.ServeMux", "http.HandleFunc", "gin.Default", "echo.New", "chi.NewRouter",
+        "mux.HandleFunc", "express()", "fastify()", "Hono(", "createServer(", "Flask(__name__)", "FastAPI()", "Django", "uvicorn.run",
+        "SpringApplication.run", "SpringBootApplication", "HttpServer::new", "axum::Router", "rocket::build", "Sinatra::Base", "Rails.application",
+        "WebApplication.CreateBuilder", "Host.CreateDefaultBuilder",
+    )),
+    ("client", (
+        "ReactDOM", "createRoot", "document.querySelector", "document.getElementById", "fetch(", "axios.", "XMLHttpRequest", "Vue.createApp",
+        "createApp(", "angular.module",
+    )),
+    ("worker", ("import torch", "import tensorflow", "from sklearn", "import pandas", "torch.nn", "tf.keras", "model.fit", "model.train")),
+)
+
+
+def walk_files(spark: SparkSession, folder: str, max_bytes: int = 1_000_000, ignore: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """``path, size, language, content, skipped``: all files below a folder; ``skipped`` says why content is null.
+
+    ``ignore`` are patterns in the manner of ignore files; of the rest the
+    first ``most`` by path are kept and the others skipped as ``count``.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = F.regexp_replace(F.lit(folder.rstrip("/")), r"^file:/*", "/")
     path = F.expr("substring(path, locate(root, path) + length(root) + 1)")
     rows = raw.withColumn("root", root).select(path.alias("path"), F.col("length").alias("size"), "modificationTime", "content")
     reason = (
-        F.when(is_ignored(F.col("path")), "ignored")
+        F.when(is_ignored(F.col("path")) | gitignored(F.col("path"), ignore or []), "ignored")
         .when(F.col("path").rlike(BINARY), "binary")
         .when(F.col("size") > max_bytes, "oversize")
     )
+    if most is not None:
+        kept = rows.where(reason.isNull()).select("path").orderBy("path").limit(most).withColumn("_kept", F.lit(True))
+        rows = rows.join(kept, "path", "left")
+        reason = F.coalesce(reason, F.when(F.col("_kept").isNull(), "count"))
     return rows.select(
         "path", "size", F.col("modificationTime").alias("mod_time"), language_of(F.col("path")).alias("language"),
         F.when(reason.isNull(), F.decode("content", "UTF-8")).alias("content"), reason.alias("skipped"),
@@ -147,27 +165,41 @@ def document_sections(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Of each ecosystem: name of the manifest, the sections that list dependencies, and one dependency in them.
+MANIFESTS = (
+    ("go", r"^go\.mod$", r"(?m)^require\s*\([^)]*\)|^require\s+[^(\n]+$", r"(?m)^\s*(?:require\s+)?([^\s()/]+\.[^\s()]*)\s+(v[^\s/]+)"),
+    ("npm", r"^package\.json$", r"\"(?:dev|peer|optional)?[dD]ependencies\"\s*:\s*\{[^}]*\}", r"\"(@?[\w./-]+)\"\s*:\s*\"([^\"]*)\""),
+    ("pypi", r"^requirements[\w.-]*\.txt$", r"(?s).+", r"(?m)^\s*([A-Za-z][\w.-]*)(?:\[[^\]]*\])?\s*(?:==|>=|~=|<=|>|<)?\s*([\w.]*)"),
+    ("pypi", r"^pyproject\.toml$", r"(?m)^dependencies\s*=\s*\[[^\]]*\]", r"[\"']([A-Za-z][\w.-]*)(?:\[[^\]]*\])?\s*(?:==|>=|~=|<=|>|<)?\s*([\w.]*)"),
+    ("pypi", r"^pyproject\.toml$", r"(?m)^\[tool\.poetry[\w.-]*dependencies\][^\[]*", r"(?m)^([A-Za-z][\w.-]*)\s*=\s*(?:\{[^}\n]*?version\s*=\s*)?\"([^\"]*)\""),
+    ("cargo", r"^Cargo\.toml$", r"(?m)^\[(?:[^\]\n]*\.)?(?:dev-|build-)?dependencies\][^\n]*\n(?:(?!\[)[^\n]*\n?)*", r"(?m)^([\w-]+)\s*=\s*(?:\{[^}\n]*?version\s*=\s*)?\"([^\"]*)\""),
+    ("maven", r"^pom\.xml$", r"(?s)<dependency>.*?</dependency>", r"(?s)<artifactId>([^<]+)</artifactId>.*?<version>([^<]+)</version>"),
+    ("nuget", r"\.csproj$", r"<PackageReference[^>]*>", r"Include=\"([^\"]+)\"[^>]*\bVersion=\"([^\"]+)\""),
+    ("gem", r"^Gemfile$", r"(?m)^\s*gem .*$", r"gem\s+['\"]([\w-]+)['\"](?:,\s*['\"][~>= ]*([\w.]+)['\"])?"),
+)
+#: Names in dependency sections that are no dependencies.
+NO_DEPENDENCY = {"pypi": ("python",)}
+
+
 def manifest_dependencies(files: DataFrame) -> DataFrame:
-    """``repo, path, ecosystem, name, version`` from manifests (repo, path, content): go.mod, package.json, requirements, Cargo, pom, csproj, Gemfile."""
+    """``repo, path, ecosystem, name, version`` from manifests (repo, path, content): go.mod, package.json, requirements, pyproject, Cargo, pom, csproj, Gemfile.
+
+    Only the sections that list dependencies are read, so that a package's own
+    name, version or edition is none; a version range keeps its first number.
+    """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    patterns = (
-        ("go", r"^go\.mod$", r"(?m)^\s*(?:require\s+)?([\w./-]+\.[\w./-]+) (v[\w.+-]+)"),
-        ("npm", r"^package\.json$", r"\"(@?[\w./-]+)\"\s*:\s*\"([~^]?\d[\w.-]*)\""),
-        ("pypi", r"^requirements.*\.txt$|^pyproject\.toml$", r"(?m)^\s*\"?([A-Za-z][\w.-]*)\s*(?:==|>=|~=)\s*([\w.]+)"),
-        ("cargo", r"^Cargo\.toml$", r"(?m)^([\w-]+)\s*=\s*(?:\{[^}\n]*version\s*=\s*)?\"([~^]?\d[\w.-]*)\""),
-        ("maven", r"^pom\.xml$", r"<artifactId>([^<]+)</artifactId>\s*<version>([^<]+)</version>"),
-        ("nuget", r"\.csproj$", r"Include=\"([^\"]+)\"\s+Version=\"([^\"]+)\""),
-        ("gem", r"^Gemfile$", r"(?m)^\s*gem ['\"]([\w-]+)['\"],\s*['\"][~>= ]*([\w.]+)['\"]"),
-    )
     found = None
-    for ecosystem, file, pattern in patterns:
-        own = files.where(name.rlike(file) & F.col("content").isNotNull())
-        rows = own.select("repo", "path", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("m")).select(
-            "repo", "path", F.lit(ecosystem).alias("ecosystem"), F.regexp_extract("m", pattern, 1).alias("name"),
-            F.regexp_replace(F.regexp_extract("m", pattern, 2), r"^[~^]", "").alias("version"),
-        )
+    for ecosystem, file, section, item in MANIFESTS:
+        text = F.regexp_replace(F.regexp_replace("content", r"\r\n?", "\n"), r"(?m)(?<!:)//.*$" if ecosystem == "go" else r"(?m)^\s*#.*$", "")
+        own = files.where(name.rlike(file) & F.col("content").isNotNull()).select("repo", "path", F.explode(F.regexp_extract_all(text, F.lit(section), F.lit(0))).alias("s"))
+        if ecosystem == "npm":
+            own = own.withColumn("s", F.regexp_replace("s", r"^[^{]*", ""))
+        rows = own.select("repo", "path", F.explode(F.regexp_extract_all("s", F.lit(item), F.lit(0))).alias("m")).select(
+            "repo", "path", F.lit(ecosystem).alias("ecosystem"), F.regexp_extract("m", item, 1).alias("name"),
+            F.nullif(F.regexp_replace(F.regexp_extract("m", item, 2), r"^[~^>=< ]+", ""), F.lit("")).alias("version"),
+        ).where(~F.col("name").isin("", *NO_DEPENDENCY.get(ecosystem, ())))
         found = rows if found is None else found.unionByName(rows)
-    return found
+    return found.distinct()
 
 
 def image_pins(files: DataFrame) -> DataFrame:
@@ -231,15 +263,49 @@ def import_rows(files: DataFrame) -> DataFrame:
     return lines.select("repo", "file", bare.alias("target")).where("target <> ''").distinct()
 
 
-def detected_layers(manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """``repo, path, layer, role``: the nearest folder with a manifest (repo, path, content) owns a file (repo, path)."""
+def layer_role(sources: Column) -> Column:
+    """Role of a layer by its sources (an array of texts): server, client, worker, or library without any sign."""
     role = F.lit("library")
     for name, signals in reversed(ROLES):
-        role = F.when(contains_any(F.col("content"), list(signals)), name).otherwise(role)
-    roots = manifests.select("repo", package_of(F.col("path")).alias("layer"), role.alias("role")).distinct()
-    folders = files.select("repo", "path", F.split(package_of(F.col("path")), "/").alias("f")).select(
+        role = F.when(F.exists(sources, lambda x: reduce(lambda a, b: a | b, [x.contains(sign) for sign in signals])), name).otherwise(role)
+    return role
+
+
+def detected_layers(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """``repo, path, layer, role``: the nearest folder with a manifest (repo, path) owns a file (repo, path, content).
+
+    The role of a layer is the first that any of its own files shows; signs are
+    looked for file by file and only their ranks are combined.
+    """
+    roots = manifests.select("repo", package_of(F.col("path")).alias("layer")).distinct()
+    folders = files.select("repo", "path", F.split(package_of(F.col("path")), "/").alias("f")).distinct().select(
         "repo", "path", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.size("f")), lambda n: F.array_join(F.slice("f", 1, n), "/")), F.array(F.lit(".")))).alias("layer")
     ).distinct()
-    owned = folders.join(roots, ["repo", "layer"])
-    best = F.struct(F.when(F.col("layer") == ".", 0).otherwise(F.length("layer")), "layer", "role")
-    return owned.groupBy("repo", "path").agg(F.max(best).alias("b")).select("repo", "path", "b.layer", "b.role")
+    best = F.struct(F.when(F.col("layer") == ".", 0).otherwise(F.length("layer")), "layer")
+    owned = folders.join(roots, ["repo", "layer"]).groupBy("repo", "path").agg(F.max(best).alias("b")).select("repo", "path", "b.layer")
+    order = [name for name, _ in ROLES] + ["library"]
+    sign = F.array_position(F.array(*map(F.lit, order)), layer_role(F.array(F.coalesce("content", F.lit("")))))
+    shown = owned.join(files.select("repo", "path", sign.alias("sign")), ["repo", "path"]).groupBy("repo", "layer").agg(F.min("sign").alias("sign"))
+    roles = shown.select("repo", "layer", F.element_at(F.array(*map(F.lit, order)), F.col("sign").cast("int")).alias("role"))
+    return owned.join(roles, ["repo", "layer"]).select("repo", "path", "layer", "role")
+
+
+def assigned_layers(files: DataFrame, layers: DataFrame) -> DataFrame:
+    """``repo, path, layer``: the first layer (repo, layer, root, place) in the order of ``place`` whose root is a folder above the file; ``.`` is above all."""
+    folders = files.select("repo", "path", F.split("path", "/").alias("f")).distinct().select(
+        "repo", "path", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.size("f")), lambda n: F.array_join(F.slice("f", 1, n), "/")), F.array(F.lit(".")))).alias("root")
+    )
+    own = layers.select("repo", "layer", F.coalesce(F.nullif(F.rtrim(F.col("root"), F.lit("/")), F.lit("")), F.lit(".")).alias("root"), "place")
+    return folders.join(own, ["repo", "root"]).groupBy("repo", "path").agg(F.min_by("layer", F.struct("place", "layer")).alias("layer"))
+
+
+def skip_counts(walked: DataFrame) -> DataFrame:
+    """``reason, files``: how many files of a walk were skipped for each reason, ``kept`` for the rest."""
+    return walked.groupBy(F.coalesce("skipped", F.lit("kept")).alias("reason")).agg(F.count("*").alias("files"))
+
+
+def content_focused(files: DataFrame, words: list[str]) -> DataFrame:
+    """Files (repo, path, content) in which an identifier has any of the words as a part, in any case."""
+    wanted = F.array(*[F.lit(w.lower()) for w in words])
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(r"[a-z_]\w*"), F.lit(0)))
+    return files.where(F.exists(tokens, lambda t: F.exists(wanted, lambda w: F.instr(t, w) > 0)))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from cartolith.functions import predicates, stats, text
+from cartolith.functions import complexity, predicates, stats, text
 from cartolith.operators import duplicates, evaluation, graph_algorithms, history, incident, policy, quality, retrieval
 from cartolith.operators.snapshots import next_in_order, snapshot_changes
 from cartolith.plans import graph_queries, retrieval_queries
@@ -176,7 +176,7 @@ class TestGraph:
 
     def test_fusion_keeps_every_row(self, spark, small):
         asked = retrieval_queries.arms(spark, small).select("query", "doc").distinct()
-        assert retrieval_queries.QUERIES["r8_rank_fusion_all"](spark, small).count() == asked.count()
+        assert retrieval_queries.QUERIES["r8_rank_fusion"](spark, small).count() == asked.count()
         lists = spark.createDataFrame([("q", "semantic", "d", 1), ("q", "keyword", "d", 2), ("q", "keyword", "e", 1)], "query string, arm string, doc string, place int")
         assert {(r["doc"], r["source"]) for r in retrieval.fuse_ranks(lists, window=1).collect()} == {("d", "semantic"), ("e", "keyword")}
         assert {(r["doc"], r["source"]) for r in retrieval.fuse_ranks(lists).collect()} == {("d", "hybrid"), ("e", "keyword")}
@@ -263,22 +263,35 @@ class TestScanners:
 
     def test_manifests_pins_layers(self, spark):
         data = [
-            ("r", "go.mod", "module m\nrequire github.com/a/b v1.2.3\n"), ("r", "web/package.json", '{"dependencies": {"react": "^18.0.1"}}'),
+            ("r", "go.mod", "module m\ngo 1.22\nrequire github.com/a/b v1.2.3 // indirect\nrequire (\n\tx.org/c v0.1.0\n)\n"),
+            ("r", "web/package.json", '{"name": "w", "version": "9.9.9", "engines": {"node": "20.1.0"}, "dependencies": {"react": "^18.0.1"}}'),
+            ("r", "web/a.tsx", "const r = createRoot(document.body)"), ("r", "b.go", "package b"),
+            ("r", "Cargo.toml", '[package]\nname = "p"\nversion = "0.3.0"\nedition = "2021"\n[dependencies]\nserde = { version = "1.0", features = [] }\nrand = "0.8"\n[profile.release]\nlto = "2"\n'),
+            ("r", "pyproject.toml", '[project]\nname = "q"\nversion = "1.2.3"\ndependencies = ["numpy>=1.20", "rich"]\n'), ("r", "pom.xml", "<version>7</version><dependency><artifactId>junit</artifactId><version>4.13</version></dependency>"),
             ("r", "Dockerfile", "FROM golang:1.22 AS b\nFROM $BASE\n"), ("r", "compose.yaml", "services:\n  x:\n    image: redis\n"),
         ]
         files = spark.createDataFrame(data, "repo string, path string, content string")
-        assert {(r["name"], r["version"]) for r in scanners.manifest_dependencies(files).collect()} == {("github.com/a/b", "v1.2.3"), ("react", "18.0.1")}
+        assert {(r["name"], r["version"]) for r in scanners.manifest_dependencies(files).collect()} == {
+            ("github.com/a/b", "v1.2.3"), ("x.org/c", "v0.1.0"), ("react", "18.0.1"), ("serde", "1.0"), ("rand", "0.8"), ("numpy", "1.20"), ("rich", None), ("junit", "4.13"),
+        }
         pins = {(r["image"], r["tag"], r["unresolved"]) for r in scanners.image_pins(files).collect()}
         assert pins == {("golang", "1.22", False), ("$BASE", None, True), ("redis", None, False)}
         layers = scanners.detected_layers(files.where("path LIKE '%o.mod' OR path LIKE '%package.json'"), files)
         assert {(r["path"], r["layer"], r["role"]) for r in layers.collect()} >= {("web/package.json", "web", "client"), ("Dockerfile", ".", "library")}
+        named = spark.createDataFrame([("r", "front", "web/", 2), ("r", "all", ".", 3), ("r", "first", "web", 1)], "repo string, layer string, root string, place int")
+        assert {(r["path"], r["layer"]) for r in scanners.assigned_layers(files, named).collect()} >= {("web/a.tsx", "first"), ("b.go", "all")}
+        assert {r["path"] for r in scanners.content_focused(files, ["ROOT"]).collect()} == {"web/a.tsx"}
 
     def test_walk(self, spark, tmp_path):
         (tmp_path / "src").mkdir()
         (tmp_path / "src/a.go").write_text("package a")
         (tmp_path / "b.png").write_bytes(b"x")
-        found = {r["path"]: (r["language"], r["skipped"]) for r in scanners.walk_files(spark, str(tmp_path)).collect()}
-        assert found == {"src/a.go": ("go", None), "b.png": (None, "binary")}
+        (tmp_path / "src/b.go").write_text("package a")
+        (tmp_path / "gen.go").write_text("package a")
+        walked = scanners.walk_files(spark, str(tmp_path), ignore=["gen.go"], most=1)
+        found = {r["path"]: (r["language"], r["skipped"]) for r in walked.collect()}
+        assert found == {"src/a.go": ("go", None), "b.png": (None, "binary"), "gen.go": ("go", "ignored"), "src/b.go": ("go", "count")}
+        assert rows(scanners.skip_counts(walked)) == [("binary", 1), ("count", 1), ("ignored", 1), ("kept", 1)]
 
 
 class TestAnalytics:
@@ -310,12 +323,99 @@ class TestAnalytics:
         found = duplicates.first_failing_filter(pairs)
         assert rows(duplicates.drop_counts(found)) == [("kept", 1), ("test", 1)]
 
+    matched = "id int, name string, kind string, file string, signature string, body string, body_hash bigint"
+
+    def match(self, spark, a, b, near=None):
+        sides = [spark.createDataFrame([(x + (None,) * 7)[:7] for x in side], self.matched) for side in (a, b)]
+        return quality.greedy_matches(*sides, near)
+
     def test_matches_are_one_to_one(self, spark):
-        schema = "id int, name string, kind string"
-        a = spark.createDataFrame([(1, "parseFile", "f"), (2, "parseFile", "f"), (3, "loadAll", "f")], schema)
-        b = spark.createDataFrame([(7, "parseFile", "f"), (8, "parseFiles", "f"), (9, "other", "f")], schema)
-        found = rows(quality.greedy_matches(a, b).select("a_id", "b_id", "how"))
-        assert found == [(1, 7, "exact"), (2, 8, "fuzzy")]
+        a = [(1, "parseFile", "f"), (2, "parseFile", "f"), (3, "loadAll", "f")]
+        found = rows(self.match(spark, a, [(7, "parseFile", "f"), (8, "parseFiles", "f"), (9, "other", "f")]).select("a_id", "b_id", "how"))
+        assert found == [(1, 7, "exact"), (2, 8, "fuzzy"), (3, None, "gap"), (None, 9, "gap")]
+
+    def test_matches_by_stage(self, spark):
+        a = [(1, "ServeHTTP", "method"), (2, "NewServer", "function"), (3, "OnlyInA", "function")]
+        b = [(1, "ServeHTTP", "method"), (2, "NewServer", "function"), (3, "OnlyInB", "type")]
+        assert rows(quality.match_breakdown(self.match(spark, a, b))) == [("exact", "both", 2), ("gap", "only_a", 1), ("gap", "only_b", 1)]
+        one = self.match(spark, [(1, "HandleRequest", "f")], [(1, "HandleRequests", "f")]).first()
+        assert one["how"] == "fuzzy" and one["score"] >= 0.7
+        assert self.match(spark, [(1, "HandleRequest", "f")], [(1, "HandleRequests", "g")]).where("how = 'gap'").count() == 2
+        a = [(1, "parseFileX", "f"), (2, "parseFileY", "f")]
+        b = [(7, "parseFileXa", "f"), (8, "parseFileXYZ", "f")]
+        assert {(r["a_id"], r["b_id"]) for r in self.match(spark, a, b).collect()} == {(1, 7), (2, 8)}
+        sig = "func (s *S) %s(ctx context.Context, key string, value []byte) error"
+        a = [(1, "alpha", "f", "x.go", sig % "alpha", "b", 5), (2, "same", "f", "x.go", None, "b", 6), (3, "kept", "f", "x.go", None, "b", 7)]
+        b = [(1, "omega", "f", "y.go", sig % "omega", "b", 5), (2, "same", "f", "x.go", None, "c", 9), (3, "kept", "f", "z.go", None, "b", 7)]
+        found = {(r["a_id"], r["how"]): r["score"] for r in self.match(spark, a, b).collect()}
+        assert set(found) == {(1, "renamed"), (2, "modified"), (3, "moved")} and found[1, "renamed"] > 0.92
+        near = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 2, 0.78), (3, 2, 0.5)], "a_id int, b_id int, score double")
+        found = self.match(spark, [(1, "abcdef", "f"), (2, "ghijkl", "f")], [(1, "mnopqr", "f"), (2, "stuvwx", "f")], near)
+        assert rows(found.select("a_id", "b_id", "how")) == [(1, 1, "semantic"), (2, 2, "semantic")]
+        assert self.match(spark, [], []).count() == 0
+
+    def test_similar_texts_by_brute_force(self, spark):
+        import random
+
+        random.seed(6)
+        words = ["".join(random.choice("abc") for _ in range(random.randint(1, 9))) for _ in range(160)]
+        sides = [[(k, "f", w) for k, w in enumerate(words[s::2])] for s in (0, 1)]
+        a, b = (spark.createDataFrame(s, "id int, kind string, text string") for s in sides)
+        for least, gram in ((0.7, 2), (0.85, 3)):
+            found = {(r["a_id"], r["b_id"]) for r in quality.edit_candidates(a, b, least, gram).collect()}
+            scored = spark.createDataFrame([(i, j, x, y) for i, _, x in sides[0] for j, _, y in sides[1]], "i int, j int, x string, y string")
+            true = {(r["i"], r["j"]) for r in scored.where(F.round(text.name_similarity(F.col("x"), F.col("y")), 6) >= least).collect()}
+            assert found == true
+
+    def test_grades(self, spark):
+        perfect = {"files": 10, "avg_cognitive": 5.0, "avg_complexity": 3.0, "max_complexity": 8, "test_ratio": 0.3, "doc_ratio": 0.6, "avg_lines": 15.0, "error_ratio": 0.6, "max_nesting": 2}
+        rest = {"large_ratio": 0.0, "duplication": 0.0, "magic_ratio": 0.0, "semantic_ratio": 0.0, "fresh_ratio": 0.8, "secure_ratio": 1.0, "total_deps": 10, "deps_scanned": True, "dead_code": 0}
+        cases = [{}, {"files": 0}, {"fresh_ratio": 0.0}, {"fresh_ratio": 0.0, "secure_ratio": 0.0, "total_deps": 0}, {"fresh_ratio": 0.0, "secure_ratio": 0.0, "total_deps": 0, "deps_scanned": False}, {"dead_code": 5}, {"dead_code": 500}]
+        data = [{**perfect, **rest, **c, "repo_key": str(k)} for k, c in enumerate(cases)]
+        found = {r["repo_key"]: (r["score"], r["grade"]) for r in quality.grade(spark.createDataFrame(data)).collect()}
+        assert found == {"0": (100, "A+"), "1": (0, "F"), "2": (94, "A+"), "3": (100, "A+"), "4": (88, "A"), "5": (98, "A+"), "6": (92, "A+")}
+        assert sum(x[-1] for x in quality.GRADE) == pytest.approx(1)
+        advice = rows(quality.recommendations(spark.createDataFrame([data[2]])))
+        assert advice == [("2", "dep_freshness", 6.0, 6)]
+
+    def test_dead_code_prior(self, spark):
+        named = [("main", "a.go"), ("TestX", "a_test.go"), ("load", "examples/a.go"), ("work", "b.go"), ("used", "b.go")]
+        symbols = spark.createDataFrame([(1, n, f, "function", 10) for n, f in named] + [(2, f"f{k:03}", "x.go", "function", k) for k in range(80)], "graph int, name string, file string, kind string, complexity int")
+        called = spark.createDataFrame([(1, "used", "b.go")], "graph int, name string, file string")
+        found = quality.dead_code_prior(symbols, called)
+        assert {(r["name"], r["prior"]) for r in found.where("graph = 1").collect()} == {("main", 0.5), ("TestX", 0.1), ("load", 2.5), ("work", 10.0)}
+        assert found.where("graph = 2").agg(F.count("*"), F.min("prior")).first() == (50, 30.0)
+
+    bodies = [
+        ("", "go", 0, 0, 0), ("func foo() { return 42 }", "go", 0, 0, 1), ("func f() {\n  if x {\n    for i := range y {\n      if z {\n      }\n    }\n  }\n}", "go", 6, 3, 0),
+        ("func f() {\n  if a {\n  } else if b {\n  } else if c {\n  }\n}", "go", 3, 1, 0), ("func f() {\n  if a && b || c {\n  }\n}", "go", 3, 1, 0),
+        ('func f() {\n  fmt.Println("if this were real")\n}', "go", 0, 0, 0), ('func f() {\n  sql := "WHERE a && b || c"\n  return sql\n}', "go", 0, 0, 0),
+        ("func f() {\n  // if needed, add more\n  return 1\n}", "go", 0, 0, 0), (None, "go", 0, 0, 0),
+        ("def foo(x):\n    if x > 0:\n        for i in range(10):\n            if i > x:\n                return i\n    return 0", "python", 6, 3, 1),
+        ("x := 0\ny := -1\nz := 1.00", "go", 0, 0, 0), ("x := 0.5", "go", 0, 0, 1), ("x := $3 + $8", "go", 0, 0, 0), ("a := 30\nb := -42", "go", 0, 0, 2), ("const maxSize = 1024", "go", 0, 0, 0),
+        ("x := 42 //nolint:mnd\ny := 100", "go", 0, 0, 1), ("a := m[3]\nx := arr[42]", "go", 0, 0, 1), ("const (\n A = 5\n)\nvar x = 9", "go", 0, 0, 1), ("x" * 50_000 + '"' + "y\\\\" * 20_000 + '"', "go", 0, 0, 0),
+    ]
+
+    def test_bodies(self, spark):
+        df = spark.createDataFrame(self.bodies, "b string, l string, c int, n int, m int")
+        b, l = F.col("b"), F.col("l")
+        found = df.select("c", complexity.cognitive(b, l), "n", complexity.nesting(b, l), "m", complexity.magic_numbers(b, l)).collect()
+        assert [(r[0], r[2], r[4]) for r in found] == [(r[1], r[3], r[5]) for r in found]
+
+    def test_signatures(self, spark):
+        data = [
+            ("func (s *S) Do(ctx context.Context, f func(a, b int) error, m map[string]int) (int, error)", 3, True), ("def f(self, a, b=(1,2))", 2, False),
+            ("func X()", 0, False), ("type A struct", 0, False), ("func Y(a int) error", 1, True), ("public Map<String, List<A>> f(Map<String, A> x, int y)", 2, False),
+        ]
+        df = spark.createDataFrame(data, "s string, n int, e boolean")
+        assert all(r[0] == r[1] and r[2] == r[3] for r in df.select("n", complexity.parameters(F.col("s")), "e", complexity.returns_error(F.col("s"))).collect())
+
+    def test_query_terms(self, spark):
+        assert text.query_terms("what getUserName in HTTPServer2?") == ["what", "getusername", "httpserver2", "get", "user", "name", "http", "server"]
+        df = spark.createDataFrame([("How the getUserName code file works, and works",)], "t string")
+        assert df.select(text.keywords(F.col("t"))).first()[0] == ["getusername", "works"]
+        tokens = spark.createDataFrame([("get_user", ["get", "user", "getuser"]), ("loadAll", ["loadall", "load", "all"]), ("auth", ["auth"])], "t string, w array<string>")
+        assert all(r[0] == r[1] for r in tokens.select("w", text.field_tokens(F.col("t"), compact=True)).collect())
 
     def test_diverse_selection(self):
         c = [("a", 1.0, 5, frozenset("xy")), ("b", 0.9, 5, frozenset("xy")), ("c", 0.6, 5, frozenset("z")), ("d", 0.5, 50, frozenset("w"))]
