@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.functions import stats
 from cartolith.functions.predicates import is_low_priority, is_test_file
 from cartolith.operators import retrieval
 from cartolith.operators.graph_algorithms import pagerank
@@ -311,7 +310,3 @@ def top_share_threshold(rows: DataFrame, value: str, group: str, parts: int = 10
     placed = counts.withColumns({"_run": run, "_all": total})
     at = F.greatest(F.floor(F.col("_all") / parts), F.lit(1))
     return placed.where(F.col("_run") >= at).groupBy(group).agg(F.max(value).alias("threshold"))
-
-
-def scaled(value: Column, low: Column, high: Column) -> Column:
-    return stats.min_max(value, low, high)
