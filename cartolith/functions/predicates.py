@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,3 +135,12 @@ def is_junk_route(path: Column) -> Column:
 def is_entry_point(name: Column) -> Column:
     """Names that are called from outside, so that no call is expected: mains, tests, dunders, constructors, handlers."""
     return name.rlike(ENTRY_POINT)
+
+
+# Verbs that write in a graph query.
+WRITE_VERBS = "CREATE DELETE SET MERGE REMOVE DROP DETACH".split()
+
+
+def is_read_only(query: str) -> bool:
+    """Whether a graph query has none of the verbs that write, in any case, as a word."""
+    return re.search(r"(?i)\b(?:" + "|".join(WRITE_VERBS) + r")\b", query) is None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import stats
-from cartolith.session import broadcast_if_bounded, cut_lineage
+from cartolith.session import cut_lineage
 
 #: Files of a time bucket that one part of its pairs starts from.
 BUCKET_PART = 1000
@@ -25,23 +25,21 @@ def churn(commits: DataFrame) -> DataFrame:
 def cumulative_share(df: DataFrame, value: str, alias: str) -> DataFrame:
     """Add the share of rows with at most this value (``cume_dist``) without one task for all rows.
 
-    Values are counted first (map-side); the running total goes over distinct
-    values, cut by range into partitions whose sums are added up.
+    Values are counted first (map-side) and cut by range into partitions, which
+    are written once; the running total goes over the distinct values of a
+    partition, and the partitions' sums, a row each, are added up.
     """
-    counts = cut_lineage(df.groupBy(value).agg(F.count("*").alias("_n")), "value-counts")
-    parts = max(1, min(200, counts.count() // 50_000 + 1))
-    spread = cut_lineage(
-        counts.repartitionByRange(parts, value).withColumn("_part", F.spark_partition_id()), "value-ranges"
-    )
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    spread = cut_lineage(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), "value-ranges")
     sums = spread.groupBy("_part").agg(F.sum("_n").alias("_sum"))
     before = sums.select(
         "_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy(F.lit(1))).alias("_all")
-    )  # one row a range
+    )  # one row a partition
     within = Window.partitionBy("_part").orderBy(value)
     shares = spread.withColumn("_run", F.sum("_n").over(within)).join(F.broadcast(before), "_part").select(
         value, ((F.col("_before") + F.col("_run")) / F.col("_all")).alias(alias)
     )
-    return df.join(broadcast_if_bounded(shares), value)
+    return df.join(shares, value)
 
 
 def hotspots(churned: DataFrame, complexity: DataFrame, limit: int | None = 20) -> DataFrame:
@@ -130,11 +128,11 @@ def reviewers(commits: DataFrame, partners: DataFrame, as_of: Column, days: int
     file; the limit is applied before the shuffle as well.
     """
     own = commits.select("path", "author", "commit_id", "ts").distinct()
-    signals = own.select("path", "author", F.lit(1.0).alias("w")).unionByName(
-        own.where(F.col("ts") >= as_of - F.expr(f"INTERVAL {days} DAYS")).select("path", "author", F.lit(0.4).alias("w"))
-    ).unionByName(
-        partners.join(own.select(F.col("path").alias("other"), "author"), "other").select("path", "author", F.lit(0.5).alias("w"))
-    )
+    recent = F.count_if(F.col("ts") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+    authors = cut_lineage(own.groupBy("path", "author").agg(F.count("*").alias("n"), recent.alias("recent")), "file-authors")
+    signals = authors.select("path", "author", (F.col("n") + 0.4 * F.col("recent")).alias("w")).unionByName(
+        partners.join(authors.select(F.col("path").alias("other"), "author", "n"), "other").select("path", "author", (0.5 * F.col("n")).alias("w"))
+    )
     scored = signals.groupBy("path", "author").agg(F.round(F.sum("w"), 6).alias("score"))
     order = Window.partitionBy("path").orderBy(F.desc("score"), "author")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

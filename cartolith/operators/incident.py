@@ -152,3 +152,33 @@ def sibling_drift(runtime: DataFrame) -> DataFrame:
     return runtime.groupBy("image").agg(
         F.count_distinct("tag").alias("tags"), F.min("container").alias("container")
     ).where("tags > 1")
+
+
+#: Order in which drifts are shown.
+STATUS_ORDER = ("drift", "only_source", "only_runtime", "same")
+
+
+def by_status(drift: DataFrame) -> DataFrame:
+    """Add ``place``: rows of ``fleet_drift`` of each image group in the order of their status, then by image and tags."""
+    rank = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
+    order = Window.partitionBy(F.substring_index("image", "/", 1)).orderBy(rank, "image", "source_tag", "live_tag")
+    return drift.withColumn("place", F.row_number().over(order))
+
+
+def latest_notes(notes: DataFrame, k: int = 3) -> DataFrame:
+    """The newest k notes (repo, symbol, id, at) of each symbol of a repository; ties by id."""
+    order = Window.partitionBy("repo", "symbol").orderBy(F.desc("at"), F.desc("id"))
+    return notes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def metrics_like(samples: DataFrame, pattern: str) -> DataFrame:
+    """``metric, samples``: metrics whose name matches a pattern."""
+    return samples.where(F.col("metric").rlike(pattern)).groupBy("metric").agg(F.count("*").alias("samples"))
+
+
+def repository_hits(hits: DataFrame, repositories: DataFrame, least_stars: int, most: int | None = None) -> DataFrame:
+    """Hits (name, place) of repositories (name, stars) with enough stars, each name once in any case, the first in order."""
+    own = repositories.groupBy(F.lower("name").alias("_key")).agg(F.max("stars").alias("stars")).where(F.col("stars") >= least_stars)
+    first = hits.groupBy(F.lower("name").alias("_key")).agg(F.min_by(F.struct("name", "place"), F.struct("place", "name")).alias("v"))
+    found = first.join(own, "_key").select("v.name", "stars", "v.place")
+    return found if most is None else found.orderBy("place", "name").limit(most)

@@ -85,7 +85,33 @@ def a24_spans_by_operation(spark: SparkSession, folder: str) -> DataFrame:
     return incident.spans_by_operation(spans, ("k", "user"))
 
 
+def t10_by_status(spark: SparkSession, folder: str) -> DataFrame:
+    return incident.by_status(j20_fleet_drift(spark, folder)).select("image", "source_tag", "live_tag", "status", "n", "place")
+
+
+def r18_latest_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of hypotheses stand for notes about their subject."""
+    rows = table(spark, folder, "hypotheses").groupBy("hyp_id").agg(F.max(F.struct("reported_at", "repo_key", "subject")).alias("v"))
+    notes = rows.select(F.col("v.repo_key").alias("repo"), F.col("v.subject").alias("symbol"), F.col("hyp_id").alias("id"), F.col("v.reported_at").alias("at"))
+    return incident.latest_notes(notes, 2).select("repo", "symbol", "id", "place")
+
+
+def i5_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return incident.metrics_like(table(spark, folder, "events").select(F.concat("event_type", F.lit("_total")).alias("metric")), "^(?:c|s).*_total$")
+
+
+def x18_repository_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers stand for repositories, their balance for stars; orders of a customer for hits."""
+    hits = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    own = table(spark, folder, "customer").select(F.upper("c_name").alias("name"), F.col("c_acctbal").alias("stars"))
+    return incident.repository_hits(hits.select(F.col("c_name").alias("name"), F.col("o_orderkey").alias("place")), own, 5000)
+
+
 QUERIES = {
+    "t10_by_status": t10_by_status,
+    "r18_latest_notes": r18_latest_notes,
+    "i5_metrics": i5_metrics,
+    "x18_repository_hits": x18_repository_hits,
     "i2_failure_spikes": i2_failure_spikes,
     "i3_latency_spikes": i3_latency_spikes,
     "i4_saturation_spikes": i4_saturation_spikes,
@@ -110,6 +136,10 @@ WITH pinned AS (SELECT p_brand || '/' || p_name AS image, p_size::VARCHAR AS tag
 runtime AS (SELECT p_brand || '/' || p_name AS image, l_quantity::INT::VARCHAR AS tag, 'c' || l_orderkey AS container FROM lineitem JOIN part ON l_partkey = p_partkey)
 """
 SQL = {
+    "r18_latest_notes": """WITH n AS (SELECT hyp_id AS id, max_by(repo_key, k) AS repo, max_by(subject, k) AS symbol, max(reported_at) AS t FROM (SELECT *, (reported_at, repo_key, subject) AS k FROM hypotheses) GROUP BY hyp_id)
+      SELECT repo, symbol, id, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo, symbol ORDER BY t DESC, id DESC) AS place FROM n) WHERE place <= 2""",
+    "i5_metrics": "SELECT event_type || '_total' AS metric, count(*) AS samples FROM events WHERE regexp_matches(event_type || '_total', '^(?:c|s).*_total$') GROUP BY 1",
+    "x18_repository_hits": """SELECT c_name AS name, c_acctbal AS stars, min(o_orderkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 5000 GROUP BY ALL""",
     "i2_failure_spikes": _SAMPLES + _FAIL,
     "i3_latency_spikes": _GAUGES + """, p AS (SELECT metric, quantile_disc(value, 0.99) FILTER (side = 1) AS w, quantile_disc(value, 0.99) FILTER (side = 0) AS b FROM sides GROUP BY metric)
         SELECT metric, w AS window_value, b AS baseline_value, round(w / b, 6) AS ratio, CASE WHEN w / b > 2 THEN 0.9 WHEN w / b > 1.5 THEN 0.7 ELSE 0.3 END::DOUBLE AS score FROM p WHERE w IS NOT NULL""",
@@ -131,3 +161,5 @@ SQL = {
     "a24_spans_by_operation": """SELECT event_type AS operation, count(*) AS spans, min_by(json_extract_string(props, '$.k'), event_id) FILTER (json_extract_string(props, '$.k') <> '') AS k,
         min_by(user_id::VARCHAR, event_id) AS "user" FROM events GROUP BY event_type""",
 }
+SQL["t10_by_status"] = f"""SELECT *, row_number() OVER (PARTITION BY split_part(image, '/', 1) ORDER BY list_position(['drift', 'only_source', 'only_runtime', 'same'], status), image, source_tag NULLS FIRST, live_tag NULLS FIRST)::INT AS place
+  FROM ({SQL['j20_fleet_drift']})"""

@@ -439,7 +439,7 @@ class TestStreaming:
         changes.incremental_index(stream, table, mark, index, ["path"], "ts").awaitTermination()
         spark.createDataFrame([("a", at(5), 9)], schema).write.mode("append").parquet(source)
         changes.incremental_index(stream, table, mark, index, ["path"], "ts").awaitTermination()
-        assert rows(spark.read.parquet(f"{table}/v1").select("path", "hash")) == [("a", 9), ("b", 3)]
+        assert rows(spark.read.parquet(table).select("path", "hash")) == [("a", 9), ("b", 3)]
         query = changes.debounced(stream).writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.table("bursts").where("path = 'a'").count() >= 1
@@ -455,6 +455,14 @@ class TestStreaming:
 
         df = spark.createDataFrame([event("opened", "u", "User"), event("opened", "x[bot]", "Bot"), event("closed", "u", "User")], "json string")
         assert rows(changes.webhook_pushes(df)) == [("o/r", "opened", 1, "u")]
+        import hashlib
+        import hmac
+
+        body = event("opened", "ü", "User")[0]
+        for secret in ("key", "k" * 100):
+            right = "sha256=" + hmac.new(secret.encode(), body.encode(), hashlib.sha256).hexdigest()
+            sent = spark.createDataFrame([(body, right), (body + " ", right), (body, None), (None, right)], "json string, signature string")
+            assert rows(changes.signed_deliveries(sent, secret)) == [(body, right)]
 
 
 class TestEvaluationAndPolicy:
