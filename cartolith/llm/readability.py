@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.session import cut_lineage
+
 #: Words of running English prose that a text needs to have a level.
 LEAST_WORDS = 40
 #: Words that a piece of text needs to count as a sentence.
@@ -16,27 +18,27 @@ LEAST_SENTENCE = 3
 BASIC, MIDDLE = 6.5, 12.5
 
 _FENCE = r"(?s)(?:```|~~~).*?(?:```|~~~|\z)"
-# Whole lines that are no prose: tables, headings, traces, logs, code, settings, comments, differences.
+# Whole lines that are no prose: tables, code by its end or operators; headings; headings by the next line; emphasis,
+# traces, code by its beginning, comments, differences; logs; settings.  What a pattern looks for anywhere in a line is
+# looked for at once, and what begins a line is only tried there, so that a line of prose is gone through few times.
 _LINES = (
-    r"[^\n]*\|[^\n]*\|[^\n]*",
+    r"[^\n]*(?:\|[^\n]*\|[^\n]*|[;{}\[][^\S\n]*|(?:[:+*!=-]=|[=-]>|&&|\|\|)[^\n]*)",
     r"#{1,6}[^\S\n][^\n]*",
-    r"[^\n]+\n[=~-]{3,}",
-    r"[^\S\n]*(?:\*\*|__)[^\n]*(?:\*\*|__)[^\S\n]*",
-    r"[^\S\n]*(?:at|File) [^\n]*[:(][^\n]*\d+\)?[^\n]*",
+    r"[^\n]++\n[=~-]{3,}",
+    r"[^\S\n]*+(?:(?:\*\*|__)[^\n]*(?:\*\*|__)[^\S\n]*"
+    r"|(?:at|File) [^\n]*[:(][^\n]*\d+\)?[^\n]*"
+    r"|[})\]][^\n]*"
+    r"|[\w.\[\]]+ = [^\n]*"
+    r"|(?:if|for|while|elif|else|def|func|fn|class|switch|try|except|catch|with)\b[^\n]*[:{][^\S\n]*"
+    r"|(?:return|raise|throw|import|from|let|const|var|package|use|pub|export|await|break|continue|pass)\b"
+    r"(?![^\n]*[a-z][.!?]$)(?: [^\s]+){0,6}[^\S\n]*(?=\n|\z)"
+    r"|[\w.]+\([^\n]*\)[^\S\n]*"
+    r"|(?://|/\*|\*/|\$ |>>> |@@)[^\n]*"
+    r"|(?:diff|index|---|\+\+\+) [^\n]*)",
     r"[^\n]{0,3}\d{4}-\d\d-\d\d[T ][^\n]*",
     r"\[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b[^\n]*",
     r"\d\d:\d\d:\d\d[^\n]*",
-    r"[^\n]*[;{}\[][^\S\n]*",
-    r"[^\S\n]*[})\]][^\n]*",
-    r"[^\n]*(?:[:+*!=-]=|[=-]>|&&|\|\|)[^\n]*",
     r"[+-]?[^\S\n]*[\w.\[\]\"']+[^\S\n]*[=:][^\S\n]*[\w.\[\]\"'-]*,?[^\S\n]*",
-    r"[^\S\n]*[\w.\[\]]+ = [^\n]*",
-    r"[^\S\n]*(?:if|for|while|elif|else|def|func|fn|class|switch|try|except|catch|with)\b[^\n]*[:{][^\S\n]*",
-    r"[^\S\n]*(?:return|raise|throw|import|from|let|const|var|package|use|pub|export|await|break|continue|pass)\b"
-    r"(?![^\n]*[a-z][.!?]$)(?: [^\s]+){0,6}[^\S\n]*(?=\n|\z)",
-    r"[^\S\n]*[\w.]+\([^\n]*\)[^\S\n]*",
-    r"[^\S\n]*(?://|/\*|\*/|\$ |>>> |@@)[^\n]*",
-    r"[^\S\n]*(?:diff|index|---|\+\+\+) [^\n]*",
 )
 _NO_PROSE = r"(?m)^(?:" + "|".join(_LINES) + r")$"
 _SENTENCE_END = r"(?<=[.!?])[\"')\]]*\s+|\n\s*\n|\n(?=[A-HJ-Z][a-z' ]|I[a-z'])"
@@ -53,18 +55,19 @@ OTHERS = (
     "el los las un una y del por con lo al sin ya esta están pero het een van dat zijn di che gli per non não um uma os ao mais"
 ).split()
 
-WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}]+)*"
+WORD = r"[\p{L}\p{N}]++(?:['’]\p{L}++)*+"
 
 
 def prose_of(text: Column) -> Column:
     """The running text without code, logs, tables, links and headings; list items become paragraphs."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.translate(t, "\u00a0\u2009\u2007\u202f\t\u2019\u200b\ufeff", "     '")
+    t = F.regexp_replace(t, "[\u00a0\u2009\u2007\u202f\t]", " ")
+    t = F.replace(F.regexp_replace(t, "[\u200b\ufeff]", ""), F.lit("\u2019"), F.lit("'"))
     t = F.regexp_replace(t, _FENCE, "\n")
     t = F.regexp_replace(t, _NO_PROSE, "")
     t = F.regexp_replace(t, r"`[^`\n]*`", "it")
     t = F.regexp_replace(t, r"\b(?:https?|ftp)://\S*[^\s.,;:!?)]", "")
-    t = F.regexp_replace(t, r"\b(e\.g|i\.e|etc|vs|cf)\.", "$1")
+    t = F.regexp_replace(t, r"(?<!\w)(e\.g|i\.e|etc|vs|cf)\.", "$1")
     return F.regexp_replace(t, r"(?m)^[^\S\n]*(?:[*+>-]+|\d+[.)])[^\S\n]+", "\n\n")
 
 
@@ -142,7 +145,7 @@ def reading_levels(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 F.regexp_count(x["split"], F.lit("[aeiouy]+")).alias("vowels"),
                 F.regexp_count(x["split"], F.lit(LONG_WORD)).alias("long_words"),
                 F.size(F.filter(x["w"], lambda w: w.isin(*ENGLISH))).alias("english"),
-                F.size(F.filter(x["w"], lambda w: w.isin(*OTHERS) | w.rlike(r"[^\x00-\x7F]"))).alias("other"),
+                F.size(F.filter(x["w"], lambda w: w.isin(*OTHERS) | (F.length(w) < F.octet_length(w)))).alias("other"),
             ),
         )[0]
 
@@ -180,3 +183,28 @@ def reading_levels(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     bands = [(BASIC, "basic"), (MIDDLE, "middle"), (float("inf"), "advanced")]
     band = reduce(lambda c, b: c.when(F.col("grade") < b[0], b[1]), bands[1:], F.when(F.col("grade") < bands[0][0], bands[0][1]))
     return levels.withColumn("band", band)
+
+
+#: Rated documents below which the median of the formulas is not fitted to ratings.
+LEAST_RATED = 20
+#: Least and greatest school years that are given.
+YEARS = (0.0, 20.0)
+
+
+def with_school_years(levels: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Add ``school_years``: the grade on the scale of human ratings (doc_id, grade), by the least-squares line through all rated documents.
+
+    The formulas order texts, but each has a scale of its own.  The line is one
+    row of sums, whatever the number of ratings; null and impossible ratings
+    are left out and several of a document averaged.  With fewer than
+    ``LEAST_RATED`` rated documents school years are null.  Bands stay those of
+    the formulas.
+    """
+    levels = cut_lineage(levels, "reading-levels")
+    rated = ratings.where(F.col("grade").between(0, 30)).groupBy("doc_id").agg(F.avg("grade").alias("rated"))
+    line = rated.join(levels.where("grade IS NOT NULL").select("doc_id", "grade"), "doc_id").agg(
+        F.count("*").alias("_n"), F.regr_slope("rated", "grade").alias("_slope"), F.regr_intercept("rated", "grade").alias("_base")
+    )
+    years = F.least(F.greatest(F.col("_base") + F.col("_slope") * F.col("grade"), F.lit(YEARS[0])), F.lit(YEARS[1]))
+    found = levels.crossJoin(F.broadcast(line))  # one row
+    return found.withColumn("school_years", F.when(F.col("_n") >= LEAST_RATED, F.round(years, 1))).drop("_n", "_slope", "_base")

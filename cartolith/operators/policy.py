@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.operators.retrieval import overlapping_spans
+from cartolith.session import broadcast_if_bounded
 
 
 def forbidden_imports(imports: DataFrame, rules: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def forbidden_imports(imports: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules are a small table of parameters, so that every import is tried against each of them.
     """
-    return imports.join(F.broadcast(rules), F.expr("file rlike path_pattern AND target rlike import_pattern")).select(
+    return imports.join(broadcast_if_bounded(rules), F.expr("file rlike path_pattern AND target rlike import_pattern")).select(
         "rule", "repo", "file", "target"
     )
 
@@ -27,8 +28,8 @@ def magic_statuses(lines: DataFrame) -> DataFrame:
 
 def missing_companions(changed: DataFrame, rules: DataFrame) -> DataFrame:
     """``rule, repo``: rules (rule, when_pattern, then_pattern) for which a changed file (repo, file) calls for another that did not change."""
-    hit = changed.join(F.broadcast(rules), F.expr("file rlike when_pattern")).select("rule", "repo").distinct()
-    met = changed.join(F.broadcast(rules), F.expr("file rlike then_pattern")).select("rule", "repo").distinct()
+    hit = changed.join(broadcast_if_bounded(rules), F.expr("file rlike when_pattern")).select("rule", "repo").distinct()
+    met = changed.join(broadcast_if_bounded(rules), F.expr("file rlike then_pattern")).select("rule", "repo").distinct()
     return hit.join(met, ["rule", "repo"], "left_anti")
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("history_queries", "graph_queries", "incident_queries", "quality_queries", "retrieval_queries", "source_queries", "search_queries", "structure_queries")
+MODULES = ("history_queries", "graph_queries", "incident_queries", "quality_queries", "retrieval_queries", "source_queries", "search_queries", "structure_queries", "scan_queries")
 
 
 def _all() -> list:
