@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -183,26 +184,36 @@ def merge_matrix(ids: np.ndarray, vocab: Vocabulary) -> list[np.ndarray]:
 
 
 def merge_long(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    """Merge one very long row: each round all pairs of minimum rank at once, left to right without overlap.
+    """Merge one very long row as ``merge_matrix`` does: each time the leftmost pair of minimum rank.
 
-    A pair that contains a merged id ranks behind the merge that made it, so
-    that this gives the same ids as one pair a round.
+    Pairs wait in a heap by rank and place and the ids are a linked list, so
+    that a merge costs the logarithm of the length, not the length; pairs that
+    a merge has changed are passed over when they come up.
     """
-    while len(ids) > 1:
-        ranks = vocab.pairs.rank_of(ids[:-1], ids[1:])
-        best = ranks.min()
-        if best == NEVER:
-            break
-        at = np.flatnonzero(ranks == best)
-        if (np.diff(at) == 1).any():  # a run of one repeated id: take every second
-            start = np.r_[True, np.diff(at) != 1]
-            first = np.maximum.accumulate(np.where(start, at, 0))
-            at = at[(at - first) % 2 == 0]
-        ids[at] = vocab.pairs.merged[best]
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        ids = ids[keep]
-    return ids
+    n = len(ids)
+    ids = ids.copy()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    ranks = vocab.pairs.rank_of(ids[:-1], ids[1:]).tolist() + [int(NEVER)]
+    heap = [(r, k) for k, r in enumerate(ranks) if r != NEVER]
+    heapq.heapify(heap)
+    while heap:
+        rank, k = heapq.heappop(heap)
+        if ranks[k] != rank:
+            continue
+        gone = after[k]
+        ids[k], ids[gone] = vocab.pairs.merged[rank], PAD
+        ranks[gone] = int(NEVER)
+        after[k] = after[gone]
+        if after[k] < n:
+            before[after[k]] = k
+        here = [j for j in (before[k], k) if j >= 0]
+        left = np.array([ids[j] for j in here], ids.dtype)
+        right = np.array([ids[after[j]] if after[j] < n else PAD for j in here], ids.dtype)
+        for j, r in zip(here, vocab.pairs.rank_of(left, right).tolist(), strict=True):
+            ranks[j] = r
+            if r != NEVER:
+                heapq.heappush(heap, (r, j))
+    return ids[ids != PAD]
 
 
 def encode_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
