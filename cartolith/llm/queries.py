@@ -108,8 +108,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """Words and sentences of English prose, grade and band of every document."""
-    return readability.reading_levels(table(spark, folder, "documents"))
+    """Words and sentences of English prose, grade, band and school years of every document."""
+    return readability.with_school_years(readability.reading_levels(table(spark, folder, "documents")), table(spark, folder, "doc_grades"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

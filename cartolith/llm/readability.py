@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cartolith.session import cut_lineage
 
+from cartolith.session import cut_lineage
+
 #: Words of running English prose that a text needs to have a level.
 LEAST_WORDS = 40
 #: Words that a piece of text needs to count as a sentence.
@@ -207,4 +209,29 @@ def with_school_years(levels: DataFrame, ratings: DataFrame) -> DataFrame:
     )
     years = F.least(F.greatest(F.col("_base") + F.col("_slope") * F.col("grade"), F.lit(YEARS[0])), F.lit(YEARS[1]))
     found = levels.crossJoin(F.broadcast(line))  # one row
-    return found.withColumn("school_years", F.when(F.col("_n") >= LEAST_RATED, F.round(years, 1))).drop("_n", "_slope", "_base")
+    return found.withColumn("school_years", F.when((F.col("_n") >= LEAST_RATED) & F.col("grade").isNotNull(), F.round(years, 1))).drop("_n", "_slope", "_base")
+
+
+#: Rated documents below which the median of the formulas is not fitted to ratings.
+LEAST_RATED = 20
+#: Least and greatest school years that are given.
+YEARS = (0.0, 20.0)
+
+
+def with_school_years(levels: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Add ``school_years``: the grade on the scale of human ratings (doc_id, grade), by the least-squares line through all rated documents.
+
+    The formulas order texts, but each has a scale of its own.  The line is one
+    row of sums, whatever the number of ratings; null and impossible ratings
+    are left out and several of a document averaged.  With fewer than
+    ``LEAST_RATED`` rated documents school years are null.  Bands stay those of
+    the formulas.
+    """
+    levels = cut_lineage(levels, "reading-levels")
+    rated = ratings.where(F.col("grade").between(0, 30)).groupBy("doc_id").agg(F.avg("grade").alias("rated"))
+    line = rated.join(levels.where("grade IS NOT NULL").select("doc_id", "grade"), "doc_id").agg(
+        F.count("*").alias("_n"), F.regr_slope("rated", "grade").alias("_slope"), F.regr_intercept("rated", "grade").alias("_base")
+    )
+    years = F.least(F.greatest(F.col("_base") + F.col("_slope") * F.col("grade"), F.lit(YEARS[0])), F.lit(YEARS[1]))
+    found = levels.crossJoin(F.broadcast(line))  # one row
+    return found.withColumn("school_years", F.when((F.col("_n") >= LEAST_RATED) & F.col("grade").isNotNull(), F.round(years, 1))).drop("_n", "_slope", "_base")

@@ -1,6 +1,7 @@
 """Operators for training data: brute force, round trips, and rows that go wrong in every column."""
 
 import datetime as dt
+import functools
 import math
 import random
 
@@ -227,31 +228,45 @@ class TestDocumentation:
 
 
 class TestEncoding:
-    @settings(max_examples=60, deadline=None)
-    @given(st.text(max_size=200))
-    def test_same_ids_as_the_public_library(self, text):
+    @staticmethod
+    @functools.cache
+    def both():
+        """The public library with the same vocabulary, and the encoder."""
         import base64
 
         import tiktoken
 
-        if not hasattr(TestEncoding, "reference"):
-            with open(f"{bpe.VOCABULARIES}/byte_bpe_50k.tiktoken", "rb") as file:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            TestEncoding.reference = tiktoken.Encoding("own", pat_str=bpe.WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            TestEncoding.encoders = [bpe.Encoder("byte_bpe_50k")]
+        with open(f"{bpe.VOCABULARIES}/byte_bpe_50k.tiktoken", "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        return tiktoken.Encoding("own", pat_str=bpe.WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Encoder("byte_bpe_50k")
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.text(max_size=200))
+    def test_same_ids_as_the_public_library(self, text):
+        reference, encoder = self.both()
         text = text.encode("utf-8", "ignore").decode()
-        ids, offsets = self.encoders[0].encode([text, None, ""])
-        assert ids[: offsets[1]].tolist() == self.reference.encode_ordinary(text)
+        ids, offsets = encoder.encode([text, None, ""])
+        assert ids[: offsets[1]].tolist() == reference.encode_ordinary(text)
         assert offsets.tolist()[1:] == [len(ids)] * 3
 
     def test_long_words_merge_alike(self):
         vocab = bpe.vocabulary("byte_bpe_50k")
         random.seed(3)
-        for n in (2, 40, 255, 256):
-            word = "".join(random.choice("etaoin=-") for _ in range(n)).encode()
+        for n in (2, 40, 255, 256, 257, 700, 3000):
+            word = "".join(random.choice("etaoin=-" if n % 2 else "aab") for _ in range(n)).encode()
             cells = vocab.byte_ids[np.frombuffer(word, np.uint8)]
             assert bpe.merge_long(cells.copy(), vocab).tolist() == bpe.merge_matrix(cells[None, :].copy(), vocab)[0].tolist()
 
+    def test_long_words_and_the_public_library(self):
+        reference, encoder = self.both()
+        random.seed(9)
+        letters = ["aab", "etaoin", "xyzw", "abcdefghijklmnopqrstuvwxyz", "=", "-=", "\u00e4\u00f6", "0123456789"]
+        for n in (257, 300, 600, 5000, 60_000):
+            for choice in letters:
+                text = "".join(random.choices(choice, k=n))
+                ids, _ = encoder.encode([text])
+                assert ids.tolist() == reference.encode_ordinary(text)
+
     def test_column(self, spark):
         df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "y"), (2, "", "z")], "doc_id bigint, text string, ids string")
         assert rows(bpe.encode_documents(df)) == [(1, [64, 275]), (1, [64, 275]), (2, []), (None, [])]
@@ -333,6 +348,14 @@ class TestReadability:
         found = {r[0]: r[1] for r in df.select("w", F.regexp_count(readability.divided(F.col("w")), F.lit("[aeiouy]+"))).collect()}
         assert sum(found[w] == n for w, n in words.items()) >= 8
 
+    def test_school_years(self, spark):
+        levels = spark.createDataFrame([(k, k / 2) for k in range(60)] + [(99, None)], "doc_id int, grade double")
+        ratings = spark.createDataFrame([(k, 3 + k // 4) for k in range(0, 40, 2)] + [(3, None), (5, 900), (1000, 4)], "doc_id int, grade int")
+        found = {r["doc_id"]: r["school_years"] for r in readability.with_school_years(levels, ratings).collect()}
+        assert found[99] is None and abs(found[20] - 8) < 0.6 and found[0] >= 0 and len(found) == 61
+        assert readability.with_school_years(levels, ratings.limit(5)).where("school_years IS NOT NULL").count() == 0
+        assert readability.with_school_years(levels.limit(0), ratings).count() == 0
+
     def test_empty_and_long(self, spark):
         assert self.bands(spark, []) == []
         assert self.bands(spark, [self.easy * 2000, "a" * 100_000, "|" * 5000 + "\n" * 5000]) == ["basic", None, None]
