@@ -5,6 +5,8 @@ Each is a fold over the lines or braces of one body, so that nothing is exploded
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,14 +17,16 @@ BRANCHES = r"if |for |while |case |catch |catch\(|except |rescue "
 CONTINUATION = r"^(?:else if |elif )|\} (?:else if |elif )"
 DECISION = r"^(?:if |for |while |switch |catch |except )| (?:if |for |while |switch |catch |except )"
 # Calls that can fail, and signs that an error is dealt with.
-FALLIBLE = (
-    r"os\.(?:Open|Create|ReadFile|WriteFile|Remove|Mkdir|Stat)|io\.(?:Read|Write|Copy)|http\.(?:Get|Post|Do|NewRequest)|"
-    r"json\.(?:Marshal|Unmarshal|NewDecoder|NewEncoder)|sql\.|exec\.Command|\.Query\(|\.QueryRow\(|err :=|err ="
-)
-HANDLED = (
-    r"if err |if err!|!= nil|err :=|err =|return err|fmt\.Errorf|errors\.(?:New|Is\(|As\(|Join\()|\.Error\(\)|except |catch \(|catch\(|"
-    r"rescue |filepath\.Skip"
-)
+FALLIBLE_CALLS = (
+    "os.Open", "os.Create", "os.ReadFile", "os.WriteFile", "os.Remove", "os.Mkdir", "os.Stat", "io.Read", "io.Write", "io.Copy",
+    "http.Get", "http.Post", "http.Do", "http.NewRequest", "json.Marshal", "json.Unmarshal", "json.NewDecoder", "json.NewEncoder",
+    "sql.", "exec.Command", ".Query(", ".QueryRow(", "err :=", "err =",
+)
+HANDLING_SIGNS = (
+    "if err ", "if err!", "!= nil", "err :=", "err =", "return err", "fmt.Errorf", "errors.New", "errors.Is(", "errors.As(", "errors.Join(",
+    ".Error()", "except ", "catch (", "catch(", "rescue ", "filepath.Skip",
+)
+FALLIBLE, HANDLED = ("|".join(re.sub(r"([.()])", r"\\\1", x) for x in words) for words in (FALLIBLE_CALLS, HANDLING_SIGNS))
 #: Lines up to which a function that returns an error is taken to hand it on.
 SHORT = 12
 

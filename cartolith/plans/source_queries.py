@@ -21,6 +21,19 @@ def s7_imports(spark: SparkSession, folder: str) -> DataFrame:
     return scanners.import_rows(files(spark, folder))
 
 
+def s6_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return scanners.call_rows(files(spark, folder))
+
+
+def s6_type_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes made of the type edges of the graphs, read back."""
+    up = snapshot_graphs(spark, folder).edges.where(F.col("label").isin("INHERITS", "IMPLEMENTS"))
+    word = F.when(F.col("label") == "INHERITS", "extends").otherwise("implements")
+    line = F.concat(F.lit("class "), "src", F.lit(" "), word, F.lit(" "), "dst", F.lit(" {}"))
+    code = up.groupBy(F.col("graph").alias("repo"), F.col("src_file").alias("path")).agg(F.array_join(F.collect_set(line), "\n").alias("content"))
+    return scanners.type_relations(code).select(F.col("repo").cast("bigint").alias("repo"), "file", "subject", "target", "kind")
+
+
 def s21_sections(spark: SparkSession, folder: str) -> DataFrame:
     return scanners.document_sections(table(spark, folder, "documents")).select("doc_id", "section", "title")
 
@@ -109,6 +122,8 @@ def x21_skeletons(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "s7_symbols": s7_symbols,
     "s7_imports": s7_imports,
+    "s6_calls": s6_calls,
+    "s6_type_relations": s6_type_relations,
     "s21_sections": s21_sections,
     "z7_tumbling": z7_tumbling,
     "k3_upsert": k3_upsert,
@@ -131,6 +146,7 @@ SQL = {
       SELECT * FROM (SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.file, n.file) AS file, coalesce(o.name, n.name) AS name,
         CASE WHEN n.repo IS NULL THEN 'remove' WHEN o.repo IS NULL THEN 'add' WHEN NOT coalesce(was = now AND now <> 0, false) THEN 'update' END AS action
         FROM o FULL JOIN n ON o.repo = n.repo AND o.file = n.file AND o.name = n.name) WHERE action IS NOT NULL""",
+    "s6_type_relations": "WITH " + GRAPH_SQL + " SELECT DISTINCT graph AS repo, src_file AS file, src AS subject, dst AS target, CASE label WHEN 'INHERITS' THEN 'extends' ELSE 'implements' END AS kind FROM edges WHERE label IN ('INHERITS', 'IMPLEMENTS')",
     "k4_updated": f"WITH {_VERSIONS} SELECT coalesce(repo_key, '') AS repo_key, coalesce(file_path, '') AS file_path, coalesce(symbol_name, '') AS symbol_name, coalesce(max(vec_id) FILTER (rn > 1), max(vec_id) FILTER (rn = 1)) AS vec_id FROM v GROUP BY ALL",
     "u5_without_orphans": "SELECT DISTINCT vec_id FROM code_embeddings e WHERE EXISTS (SELECT 1 FROM source_files s WHERE s.repo_key = e.repo_key AND s.file_path = e.file_path)",
     "a29_table_counts": "SELECT repo_key, count(*) AS rows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM source_files s WHERE s.repo_key = e.repo_key AND s.file_path = e.file_path)) AS orphans FROM code_embeddings e GROUP BY repo_key",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolith.functions import complexity
 from cartolith.functions.predicates import BINARY, contains_any, is_ignored, language_of, matches_glob
 from cartolith.sources.tables import package_of
 
@@ -217,6 +218,32 @@ def image_pins(files: DataFrame) -> DataFrame:
     )
 
 
+_TYPESCRIPT = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function|class|interface|type|const|enum)\s+(\w+)"
+_CURLY = r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|sealed|partial|readonly)\s+)+(?:class|interface|enum|struct|record|[\w<>\[\], ]+)\s+(\w+)\s*[({=;:<]"
+_C = r"^(?:typedef\s+)?(?:struct|enum|union|class|namespace)\s+(\w+)|^(?:(?:static|inline|extern|const|virtual|unsigned)\s+)*[A-Za-z_][\w:<>]*[\s*&]+(?:[A-Za-z_]\w*::)*~?([A-Za-z_]\w*)\s*\([^;]*$"
+#: How a line of each language defines a symbol; its name is the group that matches.
+DEFINITIONS = {
+    "go": r"^(?:func\s+(?:\([^)]*\)\s*)?|type\s+|const\s+|var\s+)(\w+)",
+    "python": r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)",
+    "typescript": _TYPESCRIPT,
+    "javascript": _TYPESCRIPT,
+    "svelte": _TYPESCRIPT,
+    "vue": _TYPESCRIPT,
+    "astro": _TYPESCRIPT,
+    "java": _CURLY,
+    "csharp": _CURLY,
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?(?:fn|struct|enum|trait|const|static|type|mod)\s+(\w+)",
+    "ruby": r"^\s*(?:def\s+(?:self\.)?|class\s+|module\s+)(\w+)",
+    "php": r"^\s*(?:(?:abstract|final|public|private|protected|static)\s+)*(?:function|class|interface|trait|const)\s+&?(\w+)",
+    "kotlin": r"^\s*(?:(?:public|private|internal|protected|open|override|suspend|data|sealed|abstract|inline|enum)\s+)*(?:fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?|class\s+|interface\s+|object\s+|val\s+|var\s+)(\w+)",
+    "swift": r"^\s*(?:(?:public|private|internal|fileprivate|open|static|final|override|mutating)\s+)*(?:func|class|struct|enum|protocol|extension|let|var)\s+(\w+)",
+    "c": _C,
+    "cpp": _C,
+}
+# Words that stand before a bracket without being called.
+NOT_CALLED = "if for while switch catch return func function def fn fun class struct sizeof typeof match when elif except lambda and or not in is await new throw".split()
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """``repo, file, line, name, kind, signature`` by one pattern a language; a symbol is a line that defines it.
 
@@ -226,23 +253,18 @@ def extract_symbols(files: DataFrame) -> DataFrame:
         "repo", F.col("path").alias("file"), F.coalesce("language", language_of(F.col("path"))).alias("language"),
         F.posexplode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n")).alias("at", "text"),
     )
-    patterns = {
-        "go": r"^(?:func\s+(?:\([^)]*\)\s*)?|type\s+|const\s+|var\s+)(\w+)",
-        "python": r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)",
-        "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|interface|type|const|enum)\s+(\w+)",
-        "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|const)\s+(\w+)",
-        "java": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)+(?:class|interface|enum|[\w<>\[\], ]+)\s+(\w+)\s*[({=;]",
-        "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|const|static|type)\s+(\w+)",
-    }
     name = F.lit("")
-    for language, pattern in patterns.items():
-        name = F.when(F.col("language") == language, F.regexp_extract("text", pattern, 1)).otherwise(name)
+    for language, pattern in DEFINITIONS.items():
+        found = F.regexp_extract("text", pattern, 1)
+        if "|^" in pattern:
+            found = F.coalesce(F.nullif(found, F.lit("")), F.regexp_extract("text", pattern, 2))
+        name = F.when(F.col("language") == language, found).otherwise(name)
     kind = (
         F.when(F.col("text").rlike(r"\bfunc\s+\("), "method")
-        .when(F.col("text").rlike(r"^\s+(?:async\s+)?def\b|^\s+(?:pub\s+)?fn\b"), "method")
-        .when(F.col("text").rlike(r"\b(?:func|def|function|fn)\b"), "function")
-        .when(F.col("text").rlike(r"\b(?:struct|class)\b"), "struct")
-        .when(F.col("text").rlike(r"\b(?:interface|trait)\b"), "interface")
+        .when(F.col("text").rlike(r"^\s+(?:async\s+)?def\b|^\s+(?:pub\s+)?fn\b|^\s+(?:[a-z]+\s+)*(?:func|fun|function)\b"), "method")
+        .when(F.col("text").rlike(r"\b(?:func|fun|def|function|fn)\b"), "function")
+        .when(F.col("text").rlike(r"\b(?:struct|class|record|union)\b"), "struct")
+        .when(F.col("text").rlike(r"\b(?:interface|trait|protocol)\b"), "interface")
         .when(F.col("text").rlike(r"\("), "method")
         .otherwise("const")
     )
@@ -251,6 +273,42 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     ).where("name <> ''")
 
 
+def call_rows(files: DataFrame) -> DataFrame:
+    """``repo, file, line, callee, receiver`` of names before a bracket in files (repo, path, language, content), not where they are defined.
+
+    Comments and what strings hold are no calls.
+    """
+    language = F.coalesce("language", language_of(F.col("path")))
+    code = complexity.without_strings(complexity.without_comments(F.regexp_replace("content", r"\r\n?", "\n"), language))
+    lines = files.where(F.col("content").isNotNull() & language.isin(*DEFINITIONS)).select("repo", F.col("path").alias("file"), F.posexplode(F.split(code, "\n")).alias("at", "text"))
+    call = r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|::|->)\s*)?([A-Za-z_$][\w$]*)\("
+    defined = r"\b(?:func|function|def|fn|fun|class)\s+(?:\([^)]*\)\s*)?(?:self\.)?[\w$.]+\("
+    bare = F.regexp_replace("text", defined, " ")
+    found = lines.select("repo", "file", (F.col("at") + 1).alias("line"), F.explode(F.regexp_extract_all(bare, F.lit(call), F.lit(0))).alias("m"))
+    return found.select(
+        "repo", "file", "line", F.regexp_extract("m", call, 2).alias("callee"), F.nullif(F.regexp_extract("m", call, 1), F.lit("")).alias("receiver")
+    ).where(~F.col("callee").isin(*NOT_CALLED))
+
+
+def type_relations(files: DataFrame) -> DataFrame:
+    """``repo, file, line, subject, target, kind``: what classes and types extend or implement, by the words of their language."""
+    lines = files.where("content IS NOT NULL").select("repo", F.col("path").alias("file"), F.posexplode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n")).alias("at", "text"))
+    subject = F.regexp_extract("text", r"\b(?:class|interface|struct|trait)\s+(\w+)", 1)
+    names = r"((?:[\w.]+(?:<[^>]*>)?)(?:\s*,\s*[\w.]+(?:<[^>]*>)?)*)"
+    rules = (
+        ("extends", subject, rf"\bextends\s+{names}"), ("implements", subject, rf"\bimplements\s+{names}"), ("extends", subject, r"^\s*class\s+\w+\(([\w., ]+)\)\s*:"),
+        ("extends", subject, r"\bclass\s+\w+\s*(?:<|:)\s*([\w.]+)\s*(?:$|\{|,|\()"), ("implements", F.regexp_extract("text", r"\bimpl(?:<[^>]*>)?\s+[\w:]+(?:<[^>]*>)?\s+for\s+(\w+)", 1), r"\bimpl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s"),
+    )
+    parts = [_relations(kind, own, pattern) for kind, own, pattern in rules]
+    found = lines.select("repo", "file", (F.col("at") + 1).alias("line"), F.inline(F.array_distinct(F.concat(*parts))))
+    return found.where("subject <> '' AND target NOT IN ('', 'object')").distinct()
+
+
+def _relations(kind: str, own: Column, pattern: str) -> Column:
+    targets = F.filter(F.split(F.regexp_extract("text", pattern, 1), ","), lambda t: F.trim(t) != "")
+    return F.transform(targets, lambda t: F.struct(own.alias("subject"), F.regexp_replace(F.trim(t), "<.*$", "").alias("target"), F.lit(kind).alias("kind")))
+
+
 def import_rows(files: DataFrame) -> DataFrame:
     """``repo, file, target`` of import statements."""
     lines = files.where(F.col("content").isNotNull()).select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import predicates
 from cartolith.operators import duplicates, search, structure, vectors
-from cartolith.sources import code_routes, sinks
+from cartolith.sources import code_routes, scanners, sinks
 
 
 def rows(df):
@@ -220,6 +220,30 @@ class TestRoutes:
         assert rows(code_routes.token_evidence(pairs, tokens, 1)) == [("a", "s.go", "b", "c.ts", ["beta"])]
 
 
+class TestSources:
+    def test_definitions(self, spark):
+        src = {
+            "go": ("func (s *S) Load(a int) {", "Load"), "python": ("    async def load(self):", "load"), "typescript": ("export default async function load() {", "load"), "javascript": ("const load = () => 1", "load"),
+            "svelte": ("function load() {", "load"), "vue": ("export class Load {", "Load"), "astro": ("interface Props {", "Props"), "java": ("  public static List<String> load(int a) {", "load"),
+            "csharp": ("public sealed record Load(int A);", "Load"), "rust": ("pub(crate) async fn load<T>(a: T) {", "load"), "ruby": ("  def self.load(a)", "load"), "php": ("  public static function load($a) {", "load"),
+            "kotlin": ("suspend fun String.load(a: Int) = 1", "load"), "swift": ("public final class Load: Base {", "Load"), "c": ("static int load(struct x *a) {", "load"), "cpp": ("void Store::load(int a)", "load"),
+        }
+        df = spark.createDataFrame([("r", f"f{k}", language, f"\n{text}\n  x = y;") for k, (language, (text, _)) in enumerate(src.items())], "repo string, path string, language string, content string")
+        found = {r["file"]: (r["name"], r["line"]) for r in scanners.extract_symbols(df).collect()}
+        assert found == {f"f{k}": (name, 2) for k, (_, name) in enumerate(src.values())}
+
+    def test_calls_and_relations(self, spark):
+        data = [
+            ("r", "a.go", "go", 'func Load() {\n\tx := db.Query("f(1)") // g()\n\tif ok(x) {\n\t}\n}'), ("r", "b.ts", "typescript", "class A<T> extends Base<T> implements I, J {\n}"),
+            ("r", "c.py", "python", "class B(Base, mixins.M):\n    def run(self):\n        self.go()\nclass C(object):\n    pass"), ("r", "d.rs", "rust", "impl<T> Show for Thing<T> {\n}"), ("r", "e.kt", "kotlin", "class K : Base {"),
+        ]
+        df = spark.createDataFrame(data, "repo string, path string, language string, content string")
+        calls = {(r["file"], r["line"], r["callee"], r["receiver"]) for r in scanners.call_rows(df.where("path IN ('a.go', 'c.py')")).collect()}
+        assert calls == {("a.go", 2, "Query", "db"), ("a.go", 3, "ok", None), ("c.py", 3, "go", "self")}
+        found = {(r["subject"], r["target"], r["kind"]) for r in scanners.type_relations(df).collect()}
+        assert found == {("A", "Base", "extends"), ("A", "I", "implements"), ("A", "J", "implements"), ("B", "Base", "extends"), ("B", "mixins.M", "extends"), ("Thing", "Show", "implements"), ("K", "Base", "extends")}
+
+
 class TestSinks:
     def test_texts(self, spark):
         edges = spark.createDataFrame([(1, "b", "a"), (1, "a", "c"), (1, "a", "c")], "graph int, src string, dst string")
