@@ -249,22 +249,39 @@ def dead_code_probability(raw: Column) -> Column:
     return stats.sigmoid(raw)
 
 
-def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Call sites (repo, caller_file, callee) with the file their callee is defined in: same file, same folder, else most shared folders.
+def nearest_homes(asked: DataFrame, homes: DataFrame) -> DataFrame:
+    """``repo, name, file, home``: for each name that a file asks for (repo, name, file) the home (repo, name, home) that lies nearest.
 
-    Ties go to the smallest path.  The best is an aggregate, combined before the shuffle.
+    The same file, else one in the same folder, else one that shares most
+    leading folders; ties go to the smallest path.  Homes are summed by name and
+    leading folder first, so that a name with many homes and many callers meets
+    once for each folder above a caller, never each with each.
     """
-    from cartolith.functions.text import common_prefix_folders
     from cartolith.sources.tables import package_of
 
-    found = calls.join(symbols.select("repo", F.col("name").alias("callee"), F.col("file").alias("callee_file")).distinct(), ["repo", "callee"])
-    rank = F.when(F.col("caller_file") == F.col("callee_file"), 0).when(
-        package_of(F.col("caller_file")) == package_of(F.col("callee_file")), 1
-    ).otherwise(2)
-    shared = common_prefix_folders(F.col("caller_file"), F.col("callee_file"))
-    return found.groupBy("repo", "caller_file", "callee").agg(
-        F.min_by("callee_file", F.struct(rank, -shared, "callee_file")).alias("callee_file")
-    )
+    asked = asked.select("repo", "name", "file").distinct()
+    homes = homes.select("repo", "name", "home").where("home IS NOT NULL").distinct()
+
+    def above(file: str) -> Column:
+        parts = F.split(package_of(F.col(file)), "/")
+        return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+
+    same_file = homes.select("repo", "name", F.col("home").alias("file"), F.lit(True).alias("_own"))
+    folder = homes.groupBy("repo", "name", package_of(F.col("home")).alias("folder")).agg(F.min("home").alias("_near"))
+    shared = homes.select("repo", "name", "home", F.explode(above("home")).alias("folder")).groupBy("repo", "name", "folder").agg(F.min("home").alias("home"))
+    far = asked.select("repo", "name", "file", F.explode(above("file")).alias("folder")).join(shared, ["repo", "name", "folder"])
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.length("folder"))
+    far = far.groupBy("repo", "name", "file").agg(F.max_by("home", depth).alias("_far"))
+    found = asked.join(far, ["repo", "name", "file"]).join(same_file, ["repo", "name", "file"], "left")
+    found = found.withColumn("folder", package_of(F.col("file"))).join(folder, ["repo", "name", "folder"], "left")
+    return found.select("repo", "name", "file", F.when(F.col("_own"), F.col("file")).otherwise(F.coalesce("_near", "_far")).alias("home"))
+
+
+def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Call sites (repo, caller_file, callee) with the file their callee is defined in, the nearest one (``nearest_homes``)."""
+    asked = calls.select("repo", F.col("callee").alias("name"), F.col("caller_file").alias("file"))
+    homes = symbols.select("repo", "name", F.col("file").alias("home"))
+    return nearest_homes(asked, homes).select("repo", F.col("file").alias("caller_file"), F.col("name").alias("callee"), F.col("home").alias("callee_file"))
 
 
 def reference_graph(calls: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.functions.text import common_prefix_folders
+from cartolith.operators.quality import nearest_homes
 from cartolith.session import broadcast_if_bounded, cut_lineage
 from cartolith.sources.tables import package_of
 
@@ -66,15 +66,14 @@ def imported_by(resolved: DataFrame) -> DataFrame:
 def type_edges(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     """``repo, src, src_file, dst, dst_file, label``: type relations (repo, subject, target, kind, file) with the type that the target's name means.
 
-    Of several types of the name the one whose folder shares most with the
-    subject's; ties go to the smallest path.  Extending and embedding inherit.
+    Of several types of the name the nearest one.  Extending and embedding inherit.
     """
-    homes = symbols.select("repo", F.col("name").alias("target"), F.col("file").alias("dst_file")).distinct()
-    shared = common_prefix_folders(F.col("file"), F.col("dst_file"))
+    homes = symbols.select("repo", "name", F.col("file").alias("home"))
     label = F.when(F.col("kind") == "implements", "IMPLEMENTS").otherwise("INHERITS")
-    found = relations.join(homes, ["repo", "target"])
-    return found.groupBy("repo", F.col("subject").alias("src"), F.col("file").alias("src_file"), F.col("target").alias("dst"), label.alias("label")).agg(
-        F.min_by("dst_file", F.struct(package_of(F.col("file")) != package_of(F.col("dst_file")), -shared, "dst_file")).alias("dst_file")
+    found = nearest_homes(relations.select("repo", F.col("target").alias("name"), "file"), homes)
+    edges = relations.select("repo", F.col("subject").alias("src"), "file", F.col("target").alias("name"), label.alias("label")).distinct()
+    return edges.join(found, ["repo", "name", "file"]).select(
+        "repo", "src", F.col("file").alias("src_file"), F.col("name").alias("dst"), "label", F.col("home").alias("dst_file")
     )
 
 
