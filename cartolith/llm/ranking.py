@@ -16,8 +16,6 @@ WINSOR = (0.05, 0.95)
 EXACT, ERROR = 4_000, 1 / 10_000
 #: Items from which a group is hot; the rows of hot groups are joined in so many parts.
 HOT, SALTS = 100_000, 64
-#: Steps into which closeness is cut to rank a large group by several tasks.
-STEPS = 4096
 
 
 def _usable(column: str) -> Column:
@@ -186,16 +184,21 @@ def first_places(scored: DataFrame, group: str, item: str) -> DataFrame:
 def ranked(scored: DataFrame, group: str, item: str) -> DataFrame:
     """Add ``place`` (1 is best, ties by ``unclipped``, then by id) to scored items.
 
-    Closeness is cut into steps; rows are ordered within a step and the rows of
-    higher steps counted before, so that one group is ranked by many tasks.
+    All rows are cut by range of group and order into partitions, which are
+    written once; a row's place is that in its partition and group, and the
+    group's rows in the partitions before.  Neither a hot group nor a third of
+    all rows of one closeness makes a task larger than its range.
     """
-    stepped = scored.withColumn("_step", F.floor((1 - F.col("closeness")) * STEPS).cast("int"))
-    counts = stepped.groupBy(group, "_step").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(group, "_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(group, "_step").orderBy(F.col("closeness").desc(), _tie(scored).desc(), item)
+    scored = scored.withColumn("_tie", _tie(scored))
+    order = [F.desc("closeness"), F.desc("_tie"), F.col(item)]
+    cut = scored.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
+    cut = cut_lineage(cut, "rank-ranges")
+    counts = cut.groupBy("_part", group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_part", group).orderBy(*order)
     return (
-        stepped.join(counts, [group, "_step"])
+        cut.join(counts, ["_part", group])
         .withColumn("place", F.row_number().over(within) + F.col("_before"))
         .select(group, item, "closeness", "place")
     )

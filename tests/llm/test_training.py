@@ -82,6 +82,11 @@ class TestRanking:
         order = sorted(range(5000), key=lambda k: (-(k % 1000) / 1000, k))
         assert all(placed[k] == n + 1 for n, k in enumerate(order))
 
+    def test_places_of_many_equals(self, spark):
+        df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, "h").otherwise("g").alias("g"), "id", F.lit(0.5).alias("closeness"))
+        placed = ranking.ranked(df.repartition(5), "g", "id").toPandas().sort_values(["g", "id"])
+        assert all(own["place"].tolist() == list(range(1, len(own) + 1)) for _, own in placed.groupby("g"))
+
     def test_leader_of_a_large_investigation(self, spark):
         n = 20_000
         both, leads = F.abs(F.xxhash64("id")) % 1000, F.col("id") == n - 1
