@@ -503,7 +503,11 @@ LABEL_WEIGHTS = {"CALLS": 3.0, "IMPLEMENTS": 2.0, "INHERITS": 2.0, "TESTED_BY":
 
 
 def louvain(g: Graph, weighted: bool = True, resolution: float = 1.0) -> DataFrame:
-    """``graph, name, file, detected``: communities of each graph, one task a graph (a graph is one repository's)."""
+    """``graph, name, file, detected``: communities of each graph.
+
+    Moves are sequential, so that a graph is one task, whatever its size; many
+    small graphs share a task.
+    """
     ship_package(g.symbols.sparkSession)
     weight = F.lit(0.0)
     for label, w in LABEL_WEIGHTS.items():
@@ -513,19 +517,24 @@ def louvain(g: Graph, weighted: bool = True, resolution: float = 1.0) -> DataFra
     links = g.edges.select(
         "graph", F.concat_ws("\0", "src", "src_file").alias("a"), F.concat_ws("\0", "dst", "dst_file").alias("b"), weight.alias("w")
     ).where("w > 0")
+    bucket = _bucket(graph_sizes(nodes, links), SMALL_GRAPH)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pairs: dict[tuple[str, str], float] = {}
-        for r in rows[rows["b"].notna()].itertuples():
-            pair = (min(r.a, r.b), max(r.a, r.b))
-            pairs[pair] = max(r.w, pairs.get(pair, 0.0))
-        found = louvain_levels(pairs, rows.loc[rows["b"].isna(), "a"].tolist(), resolution, summed=weighted)
-        names = [k.split("\0", 1) for k in found]
-        return pd.DataFrame(
-            {"graph": rows["graph"].iloc[0], "name": [n[0] for n in names], "file": [n[1] for n in names], "detected": list(found.values())}
-        )
-
-    return nodes.unionByName(links).groupBy("graph").applyInPandas(run, "graph bigint, name string, file string, detected int")
+        parts = []
+        for graph, own in rows.groupby("graph", sort=False):
+            linked = own["b"].notna().to_numpy()
+            a, b, w = (own.loc[linked, c].to_numpy() for c in ("a", "b", "w"))
+            pairs: dict[tuple[str, str], float] = {}
+            for x, y, z in zip(a, b, w, strict=True):
+                pair = (x, y) if x < y else (y, x)
+                if z > pairs.get(pair, 0.0):
+                    pairs[pair] = z
+            found = louvain_levels(pairs, own.loc[~linked, "a"].tolist(), resolution, summed=weighted)
+            names = [k.split("\0", 1) for k in found]
+            parts.append(pd.DataFrame({"graph": graph, "name": [n[0] for n in names], "file": [n[1] for n in names], "detected": list(found.values())}))
+        return pd.concat(parts)
+
+    return nodes.unionByName(links).groupBy(bucket).applyInPandas(run, "graph bigint, name string, file string, detected int")
 
 
 def flows(g: Graph, ranked: DataFrame, handlers: DataFrame | None = None, depth: int = 8, limit: int = 50) -> DataFrame:

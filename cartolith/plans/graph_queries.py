@@ -103,8 +103,8 @@ QUERIES: dict[str, Query] = {
     "g3_weighted_pagerank": _graph(
         lambda g: _rounded(ga.pagerank(g.symbols, _weighted(g), _seeds(g), weight="w"), "pagerank"), stage=True
     ),
-    "g4_louvain": _graph(lambda g: ga.louvain(g, weighted=False)),
-    "g5_louvain_weighted": _graph(ga.louvain),
+    "g4_louvain": _graph(lambda g: ga.louvain(g, weighted=False), stage=True),
+    "g5_louvain_weighted": _graph(ga.louvain, stage=True),
     "g6_surprise": _with_rank(lambda r, g: ga.surprise_scores(g, r.withColumn("pagerank", F.round("pagerank", 9)))),
     "a5_node_surprise": _with_rank(
         lambda r, g: ga.node_surprise(ga.surprise_scores(g, r.withColumn("pagerank", F.round("pagerank", 9))))
