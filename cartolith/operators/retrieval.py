@@ -126,6 +126,27 @@ def demote_stale(results: DataFrame, indexed_at: Column) -> DataFrame:
     return results.withColumn("stale", stale).withColumn("new_place", F.row_number().over(order))
 
 
+def matched_labels(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """``query, label, place``: the best place at which a hit (query, place, file, symbol) meets each label (query, label).
+
+    A label without a colon is a symbol; with one it is the end of a file's
+    path and a symbol.  Labels and hits are joined on the symbol.
+    """
+    text = F.trim("label")
+    named = labels.where(text != "").select(
+        "query", "label", F.when(F.instr(text, ":") > 0, F.substring_index(text, ":", 1)).alias("_end"), F.regexp_replace(text, "^[^:]*:", "").alias("symbol")
+    )
+    met = named.join(hits, ["query", "symbol"]).where(F.col("_end").isNull() | F.endswith("file", F.col("_end")))
+    return met.groupBy("query", "label").agg(F.min("place").alias("place"))
+
+
+def label_recall(hits: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """``query, recall``: of a query's distinct labels the share that a hit among its first k meets."""
+    total = labels.where(F.trim("label") != "").groupBy("query").agg(F.count_distinct("label").alias("_n"))
+    found = matched_labels(hits.where(F.col("place") <= k), labels).groupBy("query").agg(F.count("*").alias("_k"))
+    return total.join(found, "query", "left").select("query", F.round(F.coalesce("_k", F.lit(0)) / F.col("_n"), 6).alias("recall"))
+
+
 def ranking_metrics(judged: DataFrame, total: DataFrame) -> DataFrame:
     """nDCG@10, recall@10, recall@20 and reciprocal rank of each query.
 

@@ -157,9 +157,21 @@ def new_insights(scored: DataFrame, known: DataFrame, least: float, flag: str) -
     return ends.distinct().withColumn("flag", F.lit(flag)).join(known, ["name", "file", "flag"], "left_anti")
 
 
-def god_packages(symbols: DataFrame, least: int = 30) -> DataFrame:
-    """Packages with at least ``least`` distinct symbols."""
-    return symbols.groupBy("graph", package_of(F.col("file")).alias("package")).agg(F.count_distinct("name", "file").alias("symbols")).where(F.col("symbols") >= least)
+def god_packages(edges: DataFrame, least: int = 5, most: int = 50) -> DataFrame:
+    """``graph, package, importers``: packages that at least ``least`` others import (graph, src, dst), the most imported of each graph."""
+    counts = edges.where("src <> dst").groupBy("graph", F.col("dst").alias("package")).agg(F.count_distinct("src").alias("importers")).where(F.col("importers") >= least)
+    order = Window.partitionBy("graph").orderBy(F.desc("importers"), "package")
+    return counts.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most).drop("_at")
+
+
+def abstraction(symbols: DataFrame) -> DataFrame:
+    """``graph, interfaces, interface_ratio, communities``: interfaces, their share of interfaces and structs, and distinct communities."""
+    interfaces, structs = F.count_if(F.col("kind") == "interface"), F.count_if(F.col("kind") == "struct")
+    return symbols.groupBy("graph").agg(
+        interfaces.alias("interfaces"),
+        F.round(F.coalesce(interfaces / F.nullif(interfaces + structs, F.lit(0)), F.lit(0.0)), 6).alias("interface_ratio"),
+        F.count_distinct("community").alias("communities"),
+    )
 
 
 def roots_and_leaves(edges: DataFrame) -> DataFrame:

@@ -121,7 +121,18 @@ def a26_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.percentiles(table(spark, folder, "events"), "event_type", "value")
 
 
+def r17_label_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Complex entries of each repository against labels in three forms: a symbol, a whole path with it, the end of a path with it."""
+    own = entries(spark, folder).where("repo_key IS NOT NULL AND name IS NOT NULL AND file IS NOT NULL")
+    order = Window.partitionBy("repo_key").orderBy(F.desc_nulls_last("complexity"), "entry_id")
+    hits = own.select(F.col("repo_key").alias("query"), "file", F.col("name").alias("symbol"), F.row_number().over(order).alias("place"))
+    form = F.col("entry_id") % 3
+    label = F.when(form == 0, F.col("name")).when(form == 1, F.concat_ws(":", "file", "name")).otherwise(F.concat_ws(":", F.substring_index("file", "/", -1), "name"))
+    return retrieval.label_recall(hits, own.where("kind = 'method'").select(F.col("repo_key").alias("query"), label.alias("label")), 20)
+
+
 QUERIES = {
+    "r17_label_recall": r17_label_recall,
     "r5_bm25f": r5_bm25f,
     "t4_trigram": t4_trigram,
     "t2_dense": t2_dense,
@@ -181,6 +192,11 @@ metrics AS (SELECT query, round(dcg / list_sum(list_transform(range(1, least(n,
 """
 _LOW = f"{predicates.LOW_PRIORITY}|{predicates.TEST_FILE}"
 SQL = {
+    "r17_label_recall": "WITH " + ENTRIES_SQL + """, own AS (SELECT * FROM entries WHERE repo_key IS NOT NULL AND name IS NOT NULL AND file IS NOT NULL),
+      hits AS (SELECT repo_key AS query, file, name, row_number() OVER (PARTITION BY repo_key ORDER BY complexity DESC NULLS LAST, entry_id) AS place FROM own),
+      labels AS (SELECT DISTINCT repo_key AS query, CASE entry_id % 3 WHEN 0 THEN name WHEN 1 THEN file || ':' || name ELSE regexp_extract(file, '([^/]*)$', 1) || ':' || name END AS label FROM own WHERE kind = 'method')
+      SELECT l.query, round(count(*) FILTER (EXISTS (SELECT 1 FROM hits h WHERE h.query = l.query AND place <= 20 AND (h.name = label OR h.file || ':' || h.name = label
+        OR (contains(label, ':') AND h.name = split_part(label, ':', 2) AND ends_with(h.file, split_part(label, ':', 1)))))) / count(*), 6) AS recall FROM labels l GROUP BY l.query""",
     "r5_bm25f": f"""WITH {ENTRIES_SQL}, {_TERMS},
       tok AS MATERIALIZED (SELECT entry_id AS doc, {_tokens('name', True)} AS s, {_tokens('file', True)} AS p, {_tokens('doc_comment')} AS d, coalesce(regexp_matches(file, '{_LOW}'), false) AS low, CASE WHEN length(doc_comment) > 0 THEN 2.0 ELSE 0 END AS docs FROM entries),
       len AS (SELECT doc, low, 5.0 * len(s) + docs + 5.0 AS length FROM tok),

@@ -120,7 +120,13 @@ def x17_new_insights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a2_god_packages(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.god_packages(snapshot_graphs(spark, folder).symbols, 10)
+    return structure.god_packages(_package_edges(snapshot_graphs(spark, folder)), 3)
+
+
+def a8_abstraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Structs of a community divisible by three stand for interfaces, of which the graphs have none."""
+    kind = F.when((F.col("kind") == "struct") & (F.col("community") % 3 == 0), "interface").otherwise(F.col("kind"))
+    return structure.abstraction(snapshot_graphs(spark, folder).symbols.withColumn("kind", kind))
 
 
 def a20_roots_and_leaves(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         x7_resolved_imports, x8_imported_by, x24_code_routes, j25_route_evidence, j30_handler_edges, j26_token_evidence, g17_package_cycles, g17_has_cycle, g18_focused, g20_community_overview,
-        g20_detected_overview, g22_graph_flags, x17_new_insights, a2_god_packages, a20_roots_and_leaves, x3_template_users, x5_hidden_callers,
+        g20_detected_overview, g22_graph_flags, x17_new_insights, a2_god_packages, a8_abstraction, a20_roots_and_leaves, x3_template_users, x5_hidden_callers,
         x6_without_string_uses, j29_type_edges, j31_layers, j32_hook_edges, j33_merged_calls, f19_without_standard, i10_downstream, i10_upstream, a23_freshness,
     )
 }
@@ -276,7 +282,9 @@ SQL = {
       UNION ALL SELECT graph, name, file, 'high_surprise' FROM symbols WHERE (graph, name, file) IN (SELECT (graph, name, file) FROM high)""",
     "x17_new_insights": _PR + _SURPRISE + """SELECT DISTINCT name, file, 'surprise' AS flag FROM (SELECT src AS name, src_file AS file, score FROM scores UNION ALL SELECT dst, dst_file, score FROM scores)
       WHERE score >= 3 AND (name, file) NOT IN (SELECT (name, file) FROM symbols WHERE kind = 'const')""",
-    "a2_god_packages": W + f"SELECT graph, {package_sql('file')} AS package, count(DISTINCT (name, file)) AS symbols FROM symbols GROUP BY ALL HAVING count(DISTINCT (name, file)) >= 10",
+    "a2_god_packages": _G + " SELECT graph, dst AS package, count(DISTINCT src) AS importers FROM pk WHERE src <> dst GROUP BY ALL HAVING count(DISTINCT src) >= 3",
+    "a8_abstraction": W + """SELECT graph, count(*) FILTER (i) AS interfaces, round(coalesce(count(*) FILTER (i) / nullif(count(*) FILTER (kind = 'struct'), 0), 0), 6) AS interface_ratio, count(DISTINCT community) AS communities
+      FROM (SELECT *, coalesce(kind = 'struct' AND community % 3 = 0, false) AS i FROM symbols) GROUP BY graph""",
     "a20_roots_and_leaves": _G + """ SELECT DISTINCT graph, src AS package, 'root' AS place FROM pk p WHERE NOT EXISTS (SELECT 1 FROM pk q WHERE q.graph = p.graph AND q.dst = p.src)
       UNION ALL SELECT DISTINCT graph, dst, 'leaf' FROM pk p WHERE NOT EXISTS (SELECT 1 FROM pk q WHERE q.graph = p.graph AND q.src = p.dst)""",
     "x3_template_users": W + "SELECT DISTINCT graph, src AS name, src_file AS file, 1 AS distance FROM edges WHERE label = 'USES' AND dst = 'scoreAnchor87'",
