@@ -99,7 +99,6 @@ _STATEMENT = re.compile(
 _BLOCK = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''", re.S)
 _LINE_COMMENT = re.compile(r"(?://|#).*")
 _WORD = re.compile(r"\w+")
-_SPACE = re.compile(r"\s+")
 
 
 def head_and_rest(content: str) -> tuple[str, str]:
@@ -134,7 +133,10 @@ def code_and_foot(rest: str) -> tuple[str, str]:
 
 def _bits(counts: Counter) -> float:
     n = sum(counts.values())
-    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+    if not n:
+        return 0.0
+    alike = Counter(counts.values())  # few different counts
+    return math.log2(n) - sum(k * c * math.log2(c) for c, k in alike.items()) / n
 
 
 def _even(counts: Counter) -> float:
@@ -157,11 +159,12 @@ def measure(code: str) -> list[float]:
     solid = len(re.sub(r"\s+", "", code))
     masked = re.sub(r"\d+", "0", code)
     windows = [_ratio(masked[k : k + WINDOW]) for k in range(0, max(1, len(masked) - WINDOW // 2), WINDOW // 2)]
-    plain = [re.sub(r"\d+", "0", t) for t in tokens]
+    plain = _TOKEN.findall(masked)
     runs = [_bits(Counter(plain[k : k + TOKENS])) for k in range(0, max(1, len(plain) - TOKENS // 2), TOKENS // 2)]
     lines = [line.strip() for line in code.split("\n") if line.strip()]
     bare = [len(_LITERAL.sub("", line)) for line in lines]
-    shapes = Counter(_SPACE.sub(" ", _IDENTIFIER.sub("a", _LITERAL.sub("0", line))) for line in lines)
+    shaped = _IDENTIFIER.sub("a", _LITERAL.sub("0", code)).split("\n")
+    shapes = Counter(" ".join(line.split()) for line in shaped if line.strip())
     names = [len(x) for x in _IDENTIFIER.findall(outside)]
     literal = sum(len(x) for x in _LITERAL.findall(without))
     return [
@@ -174,7 +177,7 @@ def measure(code: str) -> list[float]:
         min(runs),
         max(runs),
         _even(shapes),
-        len({re.sub(r"\d+", "0", line) for line in lines}) / max(1, len(lines)),
+        len({line.strip() for line in masked.split("\n") if line.strip()}) / max(1, len(lines)),
         sum(map(len, lines)) / max(1, len(lines)),
         max(bare, default=0) / max(1, sum(bare)),
         sum(names) / max(1, len(names)),
