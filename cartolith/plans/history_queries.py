@@ -48,7 +48,7 @@ def a13_window_cochange(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a30_reviewers(spark: SparkSession, folder: str) -> DataFrame:
-    own = commits(spark, folder)
+    own = cut_lineage(commits(spark, folder), "commits")
     pairs = cut_lineage(history.coupled_files(own, limit=None).where(F.col("together") >= 2), "partners")
     partners = pairs.select("path", "other").unionByName(pairs.select(F.col("other").alias("path"), F.col("path").alias("other")))
     return history.reviewers(own, partners, F.lit(AS_OF).cast("timestamp"))
