@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import stats
-from cartolith.session import cut_lineage
+from cartolith.session import broadcast_if_bounded, cut_lineage, ship_package
 
-#: Files of a time bucket that one part of its pairs starts from.
-BUCKET_PART = 1000
+#: Files, and touched buckets of these, of one part; each two parts are counted against each other.
+BUCKET_PART, PART_TOUCHES = 32_768, 2_000_000
+#: Pairs that a task gives out at a time.
+PAIRS_OUT = 200_000
+#: A file's hits are sorted if they are fewer than this share of the other part's files, else counted by place.
+SPARSE = 16
 
 
 def churn(commits: DataFrame) -> DataFrame:
@@ -83,42 +93,116 @@ def window_cochange(
 
     ``touches``: repo, file, ts.  Files in more than ``ubiquity`` of the
     buckets are left out, as they go with everything; files in fewer than
-    ``least`` cannot make a pair.  The pairs of a bucket grow with the square of
-    its distinct files and are found in parts of ``BUCKET_PART`` files against all.
+    ``least`` cannot make a pair.  Common buckets grow with the square of a
+    bucket's files and are never rows: files are cut into parts by repository
+    and name, and each two parts are counted in one task from their files'
+    lists of buckets, so that a file travels once for each part.
     """
     bucketed = touches.select(
         F.floor(F.unix_timestamp("ts") / window).alias("bucket"), "repo", "file"
     ).distinct()
     bucketed = cut_lineage(bucketed, "touch-buckets")
-    total = bucketed.agg(F.count_distinct("bucket").alias("n"))
-    counts = bucketed.groupBy("repo", "file").agg(F.count("*").alias("k")).crossJoin(F.broadcast(total))  # one row
-    usual = counts.where(F.col("k") <= ubiquity * F.col("n"))
-    kept = bucketed.join(usual.where(F.col("k") >= least).select("repo", "file"), ["repo", "file"])
-    kept = cut_lineage(kept, "touch-kept")
-    parts = kept.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_PART).cast("int").alias("parts"))
-    kept = kept.join(parts, "bucket")
-    other = kept.select(
-        "bucket", F.col("repo").alias("repo_b"), F.col("file").alias("file_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    pairs = (
-        kept.withColumn("part", F.pmod(F.xxhash64("repo", "file"), "parts").cast("int")).join(other, ["bucket", "part"])
-        .where(F.col("repo") < F.col("repo_b"))
-        .groupBy("repo", "file", "repo_b", "file_b")
-        .agg(F.count("*").alias("co"))
-        .where(F.col("co") >= least)
-    )
-    sides = pairs.join(usual.select("repo", "file", F.col("k").alias("a"), "n"), ["repo", "file"]).join(
-        usual.select(F.col("repo").alias("repo_b"), F.col("file").alias("file_b"), F.col("k").alias("b")), ["repo_b", "file_b"]
-    )
-    co, a, b, n = (F.col(c).cast("double") for c in ("co", "a", "b", "n"))
-    g2 = stats.log_likelihood(co, a, b, n)
-    return sides.select(
-        F.col("repo").alias("repo_a"), F.col("file").alias("file_a"), "repo_b", "file_b", "co",
-        F.round(stats.lift(co, a, b, n), 6).alias("lift"),
+    n = bucketed.agg(F.count_distinct("bucket")).first()[0]
+    counts = bucketed.groupBy("repo", "file").agg(F.count("*").alias("k"), F.collect_list("bucket").alias("buckets"))
+    kept = counts.where(F.col("k").between(least, ubiquity * F.lit(n)) & F.col("repo").isNotNull() & F.col("file").isNotNull())
+    kept = cut_lineage(kept, "touch-files")
+    counted = _counted_pairs(kept, least)
+    co, a, b = (F.col(c).cast("double") for c in ("co", "a", "b"))
+    total = F.lit(float(n))
+    g2 = stats.log_likelihood(co, a, b, total)
+    scored = counted.select(
+        "pairs", "co",
+        F.round(stats.lift(co, a, b, total), 6).alias("lift"),
         F.round(stats.wilson_lower(co, F.least(a, b)), 6).alias("confidence"),
         F.round(g2, 4).alias("g2"),
         stats.significance(F.round(g2, 4)).alias("label"),
     )
+    return scored.select(F.inline("pairs"), "co", "lift", "confidence", "g2", "label")
+
+
+def _counted_pairs(kept: DataFrame, least: int) -> DataFrame:
+    """``a, b, co, pairs`` of all files of two repositories with ``least`` buckets in common.
+
+    ``kept``: repo, file, k, buckets; staged.  A task's pairs with equal counts
+    share a row, so that their measures are computed once.
+    """
+    ship_package(kept.sparkSession)
+    files, touched = kept.agg(F.count("*"), F.coalesce(F.sum(F.size("buckets")), F.lit(0))).first()
+    parts = max(1, -(-files // BUCKET_PART), -(-touched // PART_TOUCHES))
+    cut = cut_lineage(kept.repartitionByRange(parts, "repo", "file").withColumn("part", F.spark_partition_id()), "touch-parts")
+    spans = cut.groupBy("part").agg(F.min("repo").alias("first"), F.max("repo").alias("last"))
+    meets = spans.select(F.col("part").alias("left"), "first", F.explode(F.sequence("part", F.lit(parts - 1))).alias("right")).join(
+        spans.select(F.col("part").alias("right"), "last"), "right"
+    )
+    meets = cut_lineage(meets.where(F.col("first") < F.col("last")).select("left", "right"), "touch-meets")
+    held = broadcast_if_bounded(meets)
+    mine = cut.join(held, F.col("part") == F.col("left")).withColumn("side", F.lit(0))
+    theirs = cut.join(held.where(F.col("left") < F.col("right")), F.col("part") == F.col("right")).withColumn("side", F.lit(1))
+    columns = ["left", "right", "side", "repo", "file", "k", "buckets"]
+    both = mine.select(columns).unionByName(theirs.select(columns))
+    tasks = max(1, 2 * meets.count())  # by number, as these rows are few but dear
+    return both.repartition(tasks, "left", "right").groupBy("left", "right").applyInArrow(
+        _common_buckets(least), "a bigint, b bigint, co bigint, pairs array<struct<repo_a: string, file_a: string, repo_b: string, file_b: string>>"
+    )
+
+
+def _common_buckets(least: int):
+    """Counts the buckets that files of side 0 share with files of later repositories of side 1, or of side 0 if there is no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        mine, theirs = (table.filter(pc.equal(table["side"], side)).sort_by([("repo", "ascending"), ("file", "ascending")]).combine_chunks() for side in (0, 1))
+        theirs = theirs if theirs.num_rows else mine
+        width, repos = theirs.num_rows, theirs["repo"].to_pylist()
+        after = {repo: bisect.bisect_right(repos, repo) for repo in mine["repo"].unique().to_pylist()}
+        times, at = np.unique(_flat(theirs)[0], return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        owners = np.repeat(np.arange(width), np.diff(_flat(theirs)[1]))[order]
+        touching = np.split(owners, np.cumsum(np.bincount(at, minlength=len(times)))[:-1])
+        own, ends = _flat(mine)
+        known = np.isin(own, times)
+        ends = np.append(0, np.cumsum(known))[ends].tolist()
+        place = np.searchsorted(times, own[known]).tolist()
+        found, size = [], 0
+        for k, repo in enumerate(mine["repo"].to_pylist()):
+            if ends[k + 1] - ends[k] < least or after[repo] == width:
+                continue
+            hits = np.concatenate([touching[p] for p in place[ends[k] : ends[k + 1]]])
+            if SPARSE * len(hits) < width:
+                other, co = np.unique(hits, return_counts=True)
+                held = (co >= least) & (other >= after[repo])
+                other, co = other[held], co[held]
+            else:
+                counts = np.bincount(hits, minlength=width)
+                other = after[repo] + np.flatnonzero(counts[after[repo] :] >= least)
+                co = counts[other]
+            if len(other):
+                found.append((np.full(len(other), k), other, co))
+                size += len(other)
+            if size >= PAIRS_OUT:
+                yield _named(mine, theirs, found)
+                found, size = [], 0
+        if found:
+            yield _named(mine, theirs, found)
+
+    return run
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of a table's files one after the other, and where each file's begin and the last one's end."""
+    sizes = np.append(0, pc.list_value_length(table["buckets"]).to_numpy())
+    return pc.list_flatten(table["buckets"]).to_numpy(), np.cumsum(sizes)
+
+
+def _named(mine: pa.Table, theirs: pa.Table, found: list) -> pa.RecordBatch:
+    left, right, co = (np.concatenate(x) for x in zip(*found))
+    a, b = mine["k"].to_numpy()[left], theirs["k"].to_numpy()[right]
+    order = np.lexsort((co, b, a))
+    left, right, a, b, co = (x[order] for x in (left, right, a, b, co))
+    first = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(co) != 0)))
+    names = [t[c].take(pa.array(x)).combine_chunks() for t, x in ((mine, left), (theirs, right)) for c in ("repo", "file")]
+    pairs = pa.ListArray.from_arrays(pa.array(np.append(first, len(co)), pa.int32()), pa.StructArray.from_arrays(names, ["repo_a", "file_a", "repo_b", "file_b"]))
+    return pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (a, b, co)), pairs], ["a", "b", "co", "pairs"])
 
 
 def reviewers(commits: DataFrame, partners: DataFrame, as_of: Column, days: int = 90, most: int = 5) -> DataFrame:

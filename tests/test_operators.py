@@ -1,6 +1,7 @@
 """Operators on small tables made by hand."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,38 @@ class TestGraph:
         found = history.window_cochange(spark.createDataFrame(data, "repo string, file string, ts timestamp"))
         assert {(r["repo_a"], r["file_a"], r["repo_b"], r["file_b"], r["co"]) for r in found.collect()} == true
 
+    def test_common_buckets_are_never_shuffled(self, spark):
+        draw = random.Random(3)
+        touched = {(repo, f"f{k}"): draw.sample(range(50), 3) for repo in "ab" for k in range(3000)}
+        data = [(*key, dt.datetime(2025, 1, 1) + dt.timedelta(hours=h)) for key, hours in touched.items() for h in hours]
+        touches = spark.createDataFrame(data, "repo string, file string, ts timestamp")
+        store = spark.sparkContext._jsc.sc().statusStore()
+        before = store.executorList(True).head().totalShuffleWrite()
+        found = {(r["file_a"], r["file_b"], r["co"]) for r in history.window_cochange(touches).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        assert store.executorList(True).head().totalShuffleWrite() - before < 5_000_000  # 1.6 million common buckets
+        by = {}
+        for (repo, file), hours in touched.items():
+            by.setdefault((repo, tuple(sorted(hours))), []).append(file)
+        assert found == {(f, g, 3) for (repo, hours), files in by.items() if repo == "a" for f in files for g in by.get(("b", hours), [])}
+
+    @pytest.mark.parametrize("sparse", [0, 10**6])
+    def test_pairs_of_parts(self, spark, monkeypatch, sparse):
+        monkeypatch.setattr(history, "BUCKET_PART", 7)
+        monkeypatch.setattr(history, "PAIRS_OUT", 5)
+        monkeypatch.setattr(history, "SPARSE", sparse)
+        draw = random.Random(5)
+        data = [(draw.choice("abcdé"), f"f{draw.randrange(9)}", dt.datetime(1970, 1, 1) + dt.timedelta(hours=draw.randrange(-20, 20))) for _ in range(400)]
+        data += [(r, f, t) for r, f, t in [(None, "f1", data[0][2]), ("a", None, data[0][2]), ("a", "f1", None)]]
+        data += [("b", "everywhere", dt.datetime(1970, 1, 1) + dt.timedelta(hours=h)) for h in range(-20, 20)]
+        touched = {}
+        for r, f, t in data:
+            if r and f and t and f != "everywhere":
+                touched.setdefault((r, f), set()).add(t)
+        true = {(*a, *b, len(x & y)) for a, x in touched.items() for b, y in touched.items() if a[0] < b[0] and len(x & y) >= 3}
+        found = history.window_cochange(spark.createDataFrame(data, "repo string, file string, ts timestamp")).collect()
+        assert {(r["repo_a"], r["file_a"], r["repo_b"], r["file_b"], r["co"]) for r in found} == true and len(found) == len(true) > 0
+
     def test_components(self, spark):
         pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
         found = dict(map(tuple, graph_algorithms.components(pairs).collect()))
